@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +34,28 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: workers need not have it on their path."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    out = Path(tempfile.mkdtemp(prefix="tidemark-code-"), f"{package.name}.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(out))
+    _SHIPPED.add(app)
+
+
 class Scratch:
     """Written tables of one operator call; ``drop`` frees those no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -96,6 +116,7 @@ def append(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBa
 
     A column of `df` whose name (in any case) is one of the new names gives way to the new one.
     """
+    ship(df.sparkSession)
     new = {f.name.lower() for f in fields}
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new])
     schema = T.StructType([*df.schema.fields, *fields])
@@ -112,6 +133,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def remainder(doc_id: str, by: int) -> "F.Column":
+def remainder(doc_id: str, by: int) -> Column:
     """crc32 of the id as text, modulo `by`; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string")) % by

@@ -5,17 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, core, decontaminate, minhash, substring
+from . import bpe, core, decontaminate, langid, minhash, quality, substring
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(core.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(core.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(core.documents(spark, sf_dir))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(core.documents(spark, sf_dir))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(core.documents(spark, sf_dir))
 
@@ -24,5 +32,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(core.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash, op6_byte_bpe, op8_substring, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality, op4_minhash, op6_byte_bpe, op7_langid, op8_substring, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
