@@ -18,6 +18,7 @@ import struct
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,9 +76,12 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encode and decode with a serialised model; made once in each worker."""
+    """Encode and decode with a serialised model; made once in each worker.
 
-    def __init__(self, model: bytes, ranks: dict[bytes, int], pattern: str):
+    Ids are decimal text joined by spaces, or with `dtype` the bytes of a flat array.
+    """
+
+    def __init__(self, model: bytes, ranks: dict[bytes, int], pattern: str, dtype: str | None = None):
         import regex
         import sentencepiece
 
@@ -86,11 +90,13 @@ class Codec:
         self._rank = [0, *sorted(ranks.values())]
         letters = alphabet()
         self._spell = {b: letters[b] for b in range(256)}
-        self._whole = {piece.decode("latin-1"): str(rank) for piece, rank in ranks.items()}
+        self._glue = b"" if dtype else " "
+        self._write = (lambda ids: np.array(ids, dtype).tobytes()) if dtype else (lambda ids: " ".join(map(str, ids)))
+        self._whole = {piece.decode("latin-1"): self._write([rank]) for piece, rank in ranks.items()}
         self._bytes = {str(rank): piece for piece, rank in ranks.items()}
-        self._known: dict[str, str] = {}
+        self._known: dict[str, str | bytes] = {}
 
-    def _learn(self, tokens: Iterable[str]) -> dict[str, str]:
+    def _learn(self, tokens: Iterable[str]) -> dict[str, str | bytes]:
         out, spelled = {}, []
         for token in tokens:
             raw = token.encode().decode("latin-1")
@@ -100,24 +106,24 @@ class Codec:
                 spelled.append((token, raw.translate(self._spell)))
         rank = self._rank
         for (token, _), ids in zip(spelled, self._model.encode([s for _, s in spelled], out_type=int, num_threads=1) if spelled else [], strict=True):
-            out[token] = " ".join([str(rank[i]) for i in ids])
+            out[token] = self._write([rank[i] for i in ids])
         return out
 
-    def _join(self, tokens: list[str]) -> str:
+    def _join(self, tokens: list[str]) -> str | bytes:
         known = self._known
         try:
-            return " ".join([known[t] for t in tokens])
+            return self._glue.join([known[t] for t in tokens])
         except KeyError:
             pass
         new = self._learn({t for t in tokens if t not in known})
-        text = " ".join([known[t] if t in known else new[t] for t in tokens])
+        text = self._glue.join([known[t] if t in known else new[t] for t in tokens])
         if len(known) + len(new) > REMEMBERED:
             known.clear()
         known.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
         return text
 
-    def blocks(self, text: str) -> Iterator[str]:
-        """The ids of a text in decimal, joined by spaces, in one or more non-empty blocks."""
+    def blocks(self, text: str) -> Iterator[str | bytes]:
+        """The ids of a text in non-empty blocks, one unless it is long."""
         if len(text) <= LONG:
             if text:
                 yield self._join(self._find.findall(text))
@@ -145,8 +151,6 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, *, text: str = "text",
     fields = [*FIELDS, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False))] if with_ids else FIELDS
 
     def run(piece: pa.RecordBatch) -> list:
-        import numpy as np
-
         if not made:
             made.append(Codec(*sent.value))
         counts, ids_hex, bytes_hex, all_ids = [], [], [], []

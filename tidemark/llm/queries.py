@@ -5,7 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, core, decontaminate, langid, minhash, quality, substring
+from . import ann, bpe, core, decontaminate, langid, minhash, quality, substring, tokencount, toxicity, warc
+
+#: The id the rank file leaves free.
+EOD = 50256
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +23,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(core.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.report(core.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, EOD)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(core.documents(spark, sf_dir))
 
@@ -28,9 +43,13 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(core.documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(core.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(core.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_minhash, op6_byte_bpe, op7_langid, op8_substring, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_token_counts, op4_minhash, op5_ann, op6_byte_bpe, op7_langid, op8_substring, op9_toxicity, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
