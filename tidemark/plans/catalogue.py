@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import relational, scored, series, texts
+from . import ingests, relational, scored, series, texts
 
-MODULES = (scored, relational, series, texts)
+MODULES = (scored, relational, series, texts, ingests)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
