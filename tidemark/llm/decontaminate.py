@@ -130,11 +130,14 @@ def search(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, most: i
 def _pass(df: DataFrame, sent, spots: str, names: str, text: str, first: bool, fields=None, finish=None) -> DataFrame:
     """Adds the word count and covered spans (n, start, end, start, end, ...) and the items of one block of windows."""
     made: list[list[Searcher]] = []
+    was = [f"{spots}_was", f"{names}_was"]
+    if not first:
+        df = df.withColumnsRenamed(dict(zip((spots, names), was)))
 
     def run(piece: pa.RecordBatch) -> list:
         if not made:
             made.append([Searcher(p) for p in sent.value.values()])
-        old = [([], [])] * piece.num_rows if first else zip(piece.column(spots).to_pylist(), piece.column(names).to_pylist(), strict=True)
+        old = [([], [])] * piece.num_rows if first else zip(*(piece.column(c).to_pylist() for c in was), strict=True)
         all_spots, all_items = [], []
         for value, (at, items) in zip(piece.column(text).to_pylist(), old, strict=True):
             words = split(value)
@@ -149,7 +152,7 @@ def _pass(df: DataFrame, sent, spots: str, names: str, text: str, first: bool, f
         return out if finish is None else finish(pa.RecordBatch.from_arrays(out, names=[spots, names]))
 
     both = [T.StructField(spots, T.ArrayType(T.LongType())), T.StructField(names, T.ArrayType(T.StringType()))]
-    return core.append(df, fields or both, run, text)
+    return core.append(df, fields or both, run, text).drop(*was)
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

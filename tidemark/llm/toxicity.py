@@ -34,15 +34,26 @@ SLOTS, PER_CLASS, MOST_VALUES = 1 << 18, 2000, 20
 LEAST_DOCS, APART, PASSES, RATE, L1 = 5, 4.0, 1500, 1.0, 2e-5
 #: Words of a log odds over ODDS and in LEAST_MARKED marked documents grade them.
 ODDS, LEAST_MARKED = 3.0, 5
+_KEYS = np.random.default_rng(9).integers(0, 2**63, 12).astype(np.uint64)
 _GAP = np.ones(256, bool)
 _GAP[0x41:0x5B] = _GAP[0x61:0x7B] = _GAP[0x80:] = False
 
 
-def slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The slot of each word, and the n+1 bounds of the texts' words."""
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and the n+1 bounds of the texts' words."""
     data, offsets = core.bytes_of(texts)
     starts, ends, bounds = words.spans(data, offsets, _GAP)
-    return (words.hashes(data, starts, ends, fold=True, separator=_GAP) & np.uint64(SLOTS - 1)).astype(np.int64), bounds
+    return words.hashes(data, starts, ends, fold=True, separator=_GAP), bounds
+
+
+def slots(word: np.ndarray) -> np.ndarray:
+    return (word & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def minima(word: np.ndarray) -> np.ndarray:
+    """Twelve minima over a text's 5-word runs, to tell near copies in the sample."""
+    run = words.windows(word, min(5, len(word))) if len(word) else np.zeros(1, np.uint64)
+    return np.array([(words.mix(run ^ k)).min() for k in _KEYS], np.uint64).view(np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -62,8 +73,8 @@ class Model:
         """P(grade > k) for each text and threshold."""
         table = np.zeros(SLOTS)
         table[self.slot] = self.weight
-        word, bounds = slots(texts)
-        n = len(bounds) - 1
+        word, bounds = hashed(texts)
+        word, n = slots(word), len(bounds) - 1
         on = np.flatnonzero(table[word])
         key = np.unique((np.searchsorted(bounds, on, "right") - 1) * SLOTS + word[on])  # a word of a text counts once
         x = np.bincount(key // SLOTS, table[key % SLOTS], n)
@@ -75,11 +86,9 @@ class Model:
 
 
 def unlike(each: np.ndarray) -> list[int]:
-    """The sample's documents without later near copies of earlier ones, whose shared words would all seem telling."""
-    keys = np.random.default_rng(9).permutation(SLOTS * 12).reshape(12, SLOTS)
+    """The sample's documents, by their minima, without later near copies of earlier ones, whose shared words would all seem telling."""
     seen, out = set(), []
-    for k, at in enumerate(each):
-        least = keys[:, at.astype(np.int64)].min(1) if len(at) else np.arange(12)
+    for k, least in enumerate(each):
         bands = {(b, *least[3 * b : 3 * b + 3].tolist()) for b in range(4)}
         if seen.isdisjoint(bands):
             out.append(k)
@@ -132,13 +141,14 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", learn:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in core.steps(batches):
-            word, bounds = slots(core.text_of(piece.column("text")))
-            at = [np.unique(word[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y"), pa.array(at, pa.list_(pa.int64()))], names=["doc_id", "y", "at"])
+            word, bounds = hashed(core.text_of(piece.column("text")))
+            each = [word[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
+            at, least = [np.unique(slots(w)) for w in each], [minima(w) for w in each]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y"), pa.array(at, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "y", "at", "least"])
 
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most MOST_VALUES * per_class rows
-    rows = base.mapInArrow(encode, "doc_id long, y int, at array<long>").toArrow().sort_by("doc_id")
-    rows = rows.take(unlike(rows.column("at").to_numpy()))
+    rows = base.mapInArrow(encode, "doc_id long, y int, at array<long>, least array<long>").toArrow().sort_by("doc_id")
+    rows = rows.take(pa.array(unlike(rows.column("least").to_numpy()), pa.int64()))
     y = np.asarray(rows.column("y")).astype(int)
     if len(np.unique(y)) < 2:
         return none

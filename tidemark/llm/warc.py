@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import core
 
@@ -157,7 +158,7 @@ def with_bytes(derived: DataFrame) -> DataFrame:
             rows = b.select(columns).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([serialise(r) for r in rows], pa.binary())], names=[*b.schema.names, "record"])
 
-    return derived.mapInArrow(run, derived.schema.add("record", "binary"))
+    return derived.mapInArrow(run, T.StructType([*derived.schema.fields, T.StructField("record", T.BinaryType())]))
 
 
 def report(pages: DataFrame) -> DataFrame:
