@@ -73,3 +73,24 @@ NOT_COMPANY_WIDE = r"\badditional\s+(?:turnover|revenue|income|sales|business)\b
 FISCAL_YEAR = r"\bFY\s?'?(\d{4}|\d{2})(?:\s*[-–/]\s*'?(\d{4}|\d{2}))?\b"
 GUIDED = {"pat": r"\b(?:pat|profit\s+after\s+tax|net\s+profit|bottom[\s-]?line)\b", "revenue": r"\b(?:total\s+income|revenues?(?:\s+from\s+operations)?|turnover|top[\s-]?line|net\s+sales|sales|income)\b"}
 GROWTH = r"(?:grow\w*|growth|increase\w*|rise|jump)\s+(?:of\s+|by\s+)?(?:around\s+|about\s+|approximately\s+|over\s+)?(\d{1,3}(?:\.\d+)?)\s*%|(\d{1,3}(?:\.\d+)?)\s*%\s*(?:(?:[-–]|to)\s*\d{1,3}(?:\.\d+)?\s*%\s*)?(?:y-?o-?y\s+)?(?:growth|increase|rise|jump)"
+
+# Order-book statements.
+BOOK_ANCHOR = r"\border[\s-]?books?\b(?!\s*(?:ing|ed)\b)|\border\s+backlog\b|\bunexecuted\s+(?:orders?|order\s+value|projects?\s+value)\b(?!\s*(?:book|backlog))|\borders?\s+(?:in|on)\s+hand\b|\boutstanding\s+orders\b|\bpending\s+orders\b"
+BOOK_OTHER_SENSE = r"international order book\s*\(iob\)|london stock exchange|book[\s-]?building|book running|oversubscri|bids? received|order[\s-]?book\s*(?:to|/)\s*(?:bill|revenue|sales)"
+BOOK_FORWARD = r"\b(?:expect\w*|target\w*|aim(?:s|ing)?|plan(?:s|ning)?|aspir\w*|anticipat\w*|envisag\w*|projected|guid\w+|outlook|will\s+(?:build|reach|touch|cross)|would|potential|by\s+(?:the\s+)?(?:close|end)\s+of|by\s+fy)\b"
+BOOK_REDUCTION = r"\b(?:reduction|reduced|decrease\w*|cancell?\w*|short[\s-]?clos\w*|impact)\b"
+BOOK_CURRENCY = r"₹|Rs\.?|INR|US\s?\$|USD|\$|EUR|€|`"
+BOOK_UNIT = r"lakh\s+crores?|crores?|crs?\b\.?|lakhs?|lacs?|millions?|mn\b|m\b|billions?|bn\b|b\b|k\b"
+BOOK_UNITS = {"crore": 1e7, "cr": 1e7, "lakh": 1e5, "lac": 1e5, "lakh crore": 1e12, "million": 1e6, "mn": 1e6, "m": 1e6, "billion": 1e9, "bn": 1e9, "b": 1e9, "k": 1e3}
+BOOK_INDIAN = ["crore", "cr", "lakh", "lac", "lakh crore"]
+BOOK_APPROX = r"approximately|approx\.?|about|around|nearly|over|above|beyond|more than|close to|exceeds?|crosse?s|~"
+BOOK_OTHER_QUANTITY = r"\b(?:inflows?|intake|new\s+orders?|wins?|won|addition|added|adds|orders?\s+(?:received|secured|negotiated)|negotiated|excluding\s+orders|revenues?|turnover|ebitda|pat|profits?|margins?|income|debt|cash|capex|guidance|pipeline|bids?|bidding|enquir\w*|tenders?|l-?1|market\s+cap\w*|valuation|share\s+capital|net\s+worth|reduction|while|whereas|of\s+which|out\s+of\s+which|comprising|representing|accounting|secured|bagged|received)\b"
+BOOK_INFLOW_AFTER = r"\s*(?:\(?[^)]{0,30}\)\s*)?(?:of|in|worth\s+of)?\s*(?:new|fresh|additional)?\s*(?:orders?\b(?!\s*book)|order\s+(?:inflow|intake|wins?))"
+BOOK_ORDER_BEFORE = r"\b(?:worth|valued|value\s+of|orders?\s+of|secur\w*|bag\w*|wins?|won|adds?|added|received|targeting|target\s+of(?:\s+a)?|reiterat\w*)\b[^.]{0,22}$"
+BOOK_BINDING = r"\b(?:stands?|stood|is|was|of|at|reached|reaches|crossed|crosses|increased|grew|rose|touched|totals?|totalled|amounts?|aggregat\w*|valued|worth|to|now|currently|approximately|record|robust|healthy|strong|position|remains?|swells?|exceeds?|beyond)\b|[:–\-]"
+BOOK_CHANGE = r"\b(?:from|increas\w*|grew|grow\w*|rose|rising|surg\w*|taking|takes|took|went\s+up|moved\s+up|strengthened|swell\w*|expand\w*|jump\w*)\b"
+BOOK_SEGMENT_NEXT = r"\b(?:division|segment|vertical|business|export|domestic|overseas|international|transmission|smart\s+meter\w*|o&m|railway|nuclear|defen[cs]e|toll|bess|cng|omc|epc|manufacturing|telecom|ict|energy|data\s+cent(?:er|re)|dg\s+sets?|aftermarket|digital|advisory|ads)\b(?:\s+business)?(?:\s*\([^)]{0,12}\))?[^\w]{0,3}(?:&\s*\w+\s*)?$"
+BOOK_SEGMENT = r"\b(?:division|segment|vertical|export|domestic|overseas|transmission|smart\s+meter\w*|o&m)\b"
+BOOK_TOTAL = r"\b(?:total|overall|consolidated|group(?:'s|’s)?|company(?:'s|’s)|aggregate|entire)\b"
+MONTH = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+ABBREVIATIONS = ["rs", "approx", "no", "nos", "mr", "ms", "mrs", "dr", "ltd", "pvt", "co", "inc", "st", "viz", "vs", "sr", "jr", "ref", "sec", "reg", "regn", "u.s", "e.g", "i.e", "etc", "fig", "corp", "bros", "govt", "dept", "est", "excl", "incl"]
