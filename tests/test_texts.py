@@ -23,7 +23,7 @@ def test_order_value(said, value):
 
 
 def test_scanned_units_are_repaired():
-    assert [a.value_inr for a in money.amounts("worth n 0.07 crorcs and 9 - I1 crores")] == [10e7, 0.07e7]
+    assert [round(a.value_inr) for a in money.amounts("worth n 0.07 crorcs and 9 - I1 crores")] == [100_000_000, 700_000]
 
 
 def test_guidance():
