@@ -25,17 +25,19 @@ def months(n: Column, unit: Column) -> Column:
     return F.when((m >= 0.1) & (m <= 240), m)
 
 
-def _first(text: Column, pattern: str) -> Column:
-    """The first valid duration among all matches of a pattern whose groups 1 and 2 are number and unit."""
-    n, u = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2))
-    return F.get(F.filter(F.transform(F.arrays_zip(n.alias("n"), u.alias("u")), lambda x: months(number(x["n"]), x["u"])), lambda m: m.isNotNull()), 0)
+def _first(text: Column, pattern: str, at_end: bool) -> Column:
+    """The first valid duration among all matches of a pattern that begins or ends with number and unit; matched once."""
+    span = rf"(?i){SPAN}$" if at_end else rf"(?i)^{SPAN}"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    length = lambda x: months(number(F.regexp_extract(x, span, 1)), F.regexp_extract(x, span, 2))
+    return F.get(F.filter(F.transform(found, length), lambda m: m.isNotNull()), 0)
 
 
 def duration_months(text: Column, as_of: Column) -> Column:
     """A table label, then leading phrases, trailing phrases, and a completion month counted from `as_of`."""
-    labelled = _first(text, rf"(?i){D.DURATION_LABEL}[\s\S]{{0,320}}?\b{SPAN}")
-    lead = _first(text, rf"(?i)(?:{D.DURATION_LEADS})\s*(?:a\s+period\s+of\s+)?(?:approximately\s+|about\s+|approx\.?\s+)?{SPAN}")
-    tail = _first(text, rf"(?i)({TOKEN})[-\s]*(months?|years?|yrs?|weeks?|days?)\s*(?:{D.DURATION_TAILS})")
+    labelled = F.when(F.rlike(text, F.lit(r"(?i)time\s*period")), _first(text, rf"(?i){D.DURATION_LABEL}[\s\S]{{0,320}}?\b{SPAN}", True))
+    lead = _first(text, rf"(?i)(?:{D.DURATION_LEADS})\s*(?:a\s+period\s+of\s+)?(?:approximately\s+|about\s+|approx\.?\s+)?{SPAN}", True)
+    tail = _first(text, rf"(?i)({TOKEN})[-\s]*(months?|years?|yrs?|weeks?|days?)\s*(?:{D.DURATION_TAILS})", False)
     end = r"(?i)(?:by|before|on or before|latest by|complet\w+ by)\s+(?:end of\s+)?(?:FY\s?)?(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*[,\s]+(20\d{2})"
     month = F.ceil(F.position(F.lower(F.regexp_extract(text, end, 1)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) / 3)
     year = F.nullif(F.regexp_extract(text, end, 2), F.lit("")).cast("int")
