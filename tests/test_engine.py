@@ -29,7 +29,7 @@ def shown(v):
     return v.isoformat() if hasattr(v, "isoformat") else repr(v) if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_sql(spark, duck, sf, name):
     df = catalogue.QUERIES[name](spark, sf)
     cols = sorted(df.columns)
@@ -41,6 +41,11 @@ def test_query_equals_sql(spark, duck, sf, name):
     assert got == want
 
 
+def test_messages(spark, sf):
+    lines = [r.message.split("\n") for r in catalogue.QUERIES["alert_messages"](spark, sf).collect()]
+    assert len(lines) == 100 and all(x[0].startswith("<b>") and x[1].startswith("Rs ") and len(x) >= 5 for x in lines)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 100
     assert set(entry.oracle_sql()) <= set(entry.queries())

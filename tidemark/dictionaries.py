@@ -94,3 +94,22 @@ BOOK_SEGMENT = r"\b(?:division|segment|vertical|export|domestic|overseas|transmi
 BOOK_TOTAL = r"\b(?:total|overall|consolidated|group(?:'s|’s)?|company(?:'s|’s)|aggregate|entire)\b"
 MONTH = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 ABBREVIATIONS = ["rs", "approx", "no", "nos", "mr", "ms", "mrs", "dr", "ltd", "pvt", "co", "inc", "st", "viz", "vs", "sr", "jr", "ref", "sec", "reg", "regn", "u.s", "e.g", "i.e", "etc", "fig", "corp", "bros", "govt", "dept", "est", "excl", "incl"]
+
+# Statements that an order was received.
+RECEIPT_NOUN = r"(?:(?:purchase|work|supply|service|export|repeat|new|pilot)\s+)?(?:orders?|contracts?|letters?\s+of\s+(?:award|intent|acceptance|commencement)|lo[ai]s?|lol|notifications?\s+of\s+award|awards?\s+of\s+contract)"
+RECEIPTS = [
+    r"\b(?:received|receives|secured|secures|bagged|bags|won|wins|obtained|awarded)\b[^.;:?]{0,140}?\b" + RECEIPT_NOUN + r"\b",
+    r"\b" + RECEIPT_NOUN + r"\b[^.;:?]{0,80}?\b(?:has|have|was|were)\s+been\s+(?:received|awarded|placed|issued)\b",
+    r"\breceipt\s+of\s+(?:an?\s+|the\s+)?" + RECEIPT_NOUN + r"\b",
+    r"\b" + RECEIPT_NOUN + r"\s+(?:received|bagged|secured|won)\b",
+    r"\b(?:contract|order)\s+wins?\b",
+]
+RECEIPT_VETO_BEFORE = r"\bwhether\b|\bif\s+yes\b|\bnot\b"
+RECEIPT_VETO_AFTER = r"\bapproval\b|\bregional\s+director|\bregistrar\b|\btribunal\b|\bcourt\b|\bshow\s+cause|\bsebi\b|\bstock\s+exchange|\bpenalt|\bassessment\b|\bincome[\s-]+tax\b|domestic\b[^.;]{0,40}\binternational"
+RECEIPT_PENDING = r"\b(?:after|upon|on|subject\s+to|pending|awaiting|until|till|before|expecting|expected)\s+(?:the\s+)?$"
+LOWEST_BIDDER = r"\bemerge[sd]?\s+as\s+(?:the\s+)?(?:single\s+)?(?:lowest\s+bidder|l-?1)\b|\blowest\s+bidder\b|\bl-?1\s+bidder\b|\bdeclared\s+(?:as\s+)?l-?1\b"
+ORDER_CATEGORIES = ["bagging/receiving of order", "receipt of order", "awarding of order"]
+# What introduces and what ends the object of an order.
+OBJECT_LEAD = r"\b(?:for\s+the\s+purpose\s+of|pertain(?:s|ing)\s+to|relating\s+to|in\s+respect\s+of|towards|for)\s+"
+OBJECT_STOP = r",?\s+(?:amounting|worth|valued|aggregating|totall?ing|having|dated|vide|which|who|subject\s+to|pursuant\s+to|inclusive|exclusive|excluding|as\s+per|at\s+a\s+(?:total|value|cost)|for\s+a\s+(?:total|period|value|consideration)|to\s+be\s+(?:executed|completed|delivered)|with(?:in)?\s+(?:a\s+)?(?:period|stipulated|completion|timeline)|within\s+\d|on\s+or\s+before|from\s+the\s+date|from\s+m/s|from\s+[A-Z])|\s*[(,]?\s*(?:\brs\.?|\binr|\busd|\brupees|₹)\s*[\d.,]|\s*;|\.\s"
+OBJECT_JUNK = r"\b(?:your\s+(?:kind\s+)?(?:information|reference|records?|perusal)|information\s+and\s+records?|(?:quarter|half[- ]year|month|year|period)\s+ended|financial\s+year|regulation\s*30|sebi|listing\s+obligations|disclosure|annexure|intimation|compliance|the\s+above|the\s+following|the\s+same|stock\s+exchange|payment|loans?|borrow\w*)\b"
