@@ -2,8 +2,8 @@
 
 Texts are lower-cased, everything that is no letter is one kind of gap, and n-grams of 1 to 3 characters are hashed into
 `BUCKETS`. Document frequencies are counted over every document that may be learned from. The weights are trained by
-follow-the-regularised-leader with elastic-net penalties on at most `PER_LANGUAGE` documents of each language (those of the
-smallest hashes of the id, by a threshold, so no sort of the corpus), and a temperature is then fitted on a fifth of these
+follow-the-regularised-leader with elastic-net penalties on about `PER_LANGUAGE` documents of each language, at most
+`MOST_DOCUMENTS` (those of the smallest hashes of the id, by a threshold, so no sort of the corpus), and a temperature is then fitted on a fifth of these
 that training leaves aside. Prediction reads each whole text once, without a shuffle.
 
 Defined cases: null text or text without a letter is `und` with score 0. Documents with a null language or id are not
@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from . import core
 
 BUCKETS, ORDERS, PER_LANGUAGE = 4096, 3, 600
+#: Training documents in all, about; with more than ten languages each gets an equal share of them.
+MOST_DOCUMENTS = 6000
 #: Languages at most; a column with more distinct values is no language column.
 MOST_LANGUAGES = 1000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.002, 3
@@ -148,6 +150,7 @@ def fit(documents: DataFrame, *, learn: Column | None = None, per_language: int
     seen = np.zeros(BUCKETS + 1)
     seen[np.asarray(rows.column("bucket")) + 1] = np.asarray(rows.column("n"))
     idf = np.log((1 + seen[0]) / (1 + seen[1:])) + 1
+    per_language = min(per_language, max(5, MOST_DOCUMENTS // len(languages)))
     # about per_language rows of each language: those whose hash is under a share of the range
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = F.create_map(*[F.lit(v) for k, n in found.items() for v in (k, int(min(1.0, per_language / n) * (1 << 30)))])
