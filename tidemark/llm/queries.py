@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, core, decontaminate, langid, minhash, quality, substring, tokencount, toxicity, warc
+from . import ann, bpe, core, decontaminate, langid, minhash, oracles, quality, substring, tokencount, toxicity, warc
 
 #: The id the rank file leaves free.
 EOD = 50256
@@ -52,4 +52,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_token_counts, op4_minhash, op5_ann, op6_byte_bpe, op7_langid, op8_substring, op9_toxicity, op10_decontaminate)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_minhash": oracles.MINHASH, "op8_substring": oracles.SUBSTRING, "op10_decontaminate": oracles.DECONTAMINATE}
