@@ -40,7 +40,7 @@ WIDTH, PERIOD, ANCHOR = 13, 7, 7
 #: Differences of these remainders modulo PERIOD are all of 0..6.
 COVER = np.isin(np.arange(PERIOD), [0, 1, 3])
 #: Text bytes in a block, and entries in a hash range.
-BLOCK_BYTES, RANGE_ENTRIES = 6 << 20, 1_500_000
+BLOCK_BYTES, RANGE_ENTRIES = 4 << 20, 1_000_000
 _ID, _TEXT = "__tm_id", "__tm_text"
 
 
