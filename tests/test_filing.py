@@ -74,3 +74,30 @@ def test_sources(spark, tmp_path):
     assert (n.symbol, n.company_name, n.isin, n.body, n.filed_at, n.is_sme) == ("BETA", "beta", None, "Got an order", datetime(2026, 10, 1, 4, 30), True)
     w = row(spark, w=landed.history_windows(F.lit("2026-03-15").cast("date"), 10)).w
     assert [(str(x["from"]), str(x["to"])) for x in w] == [("2026-03-08", "2026-03-14"), ("2026-03-05", "2026-03-07")]
+
+
+def test_table_overrides(spark):
+    cols = "order_value_inr double, extraction_conf double, execution_months double, customer string, customer_type string, is_related_party boolean, scope string, filed_at timestamp, t_customer string, t_size string, t_period string, t_related string, t_domestic string, t_nature string"
+    at = datetime(2026, 1, 31)
+    rows = [(10e7, 0.5, None, None, "unknown", False, "pumps", at, "M/s NTPC Limited", "Rs 12.5 Crore", "18 months", "Yes", "Domestic", "supply of pumps and motors"), (10e7, 0.5, 6.0, "Acme", "private", True, "pumps", at, None, None, None, "No", "International", None)]
+    a, b = filing.apply_table(spark.createDataFrame(rows, cols)).collect()
+    assert (a.order_value_inr, a.execution_months, a.customer, a.customer_type, a.is_related_party, a.scope) == (12.5e7, 18.0, "NTPC Limited", "psu", True, "supply of pumps and motors")
+    assert (b.order_value_inr, b.extraction_conf, b.execution_months, b.customer, b.customer_type, b.is_related_party) == (10e7, 0.5, 6.0, "Acme", "export", False)
+
+
+def test_feed_warnings_once_a_day(spark):
+    from tidemark.streaming import ingest
+
+    runs = [("bse", k, True, datetime(2026, 1, 1 + k // 24, k % 24)) for k in range(60)] + [("nse", k, k % 3 == 0, datetime(2026, 1, 1, k % 24)) for k in range(20)]
+    got = ingest.feed_warnings(spark.createDataFrame(runs, "feed string, run_id int, failed boolean, at timestamp")).collect()
+    assert sorted((r.feed, r.run_id) for r in got) == [("bse", 2), ("bse", 27), ("bse", 52)]
+
+
+def test_alerts_leave_out_twins(spark):
+    from tidemark.operators import views
+    from tidemark.streaming import ingest
+
+    at = datetime(2026, 1, 1)
+    o = spark.createDataFrame([(1, 7, 100e7, at, "HIGH"), (2, 7, 100.2e7, at, "HIGH"), (3, 8, 100e7, at, "WATCH"), (4, 9, 5e7, at, "MEDIUM")], "order_id long, company_id long, order_value_inr double, filed_at timestamp, tier string")
+    assert sorted(r.order_id for r in ingest.to_alert(o).collect()) == [1, 4]
+    assert sorted(map(tuple, views.difference(o.filter("order_id < 3"), o.filter("order_id > 1"), "order_id").collect())) == [(1, "removed"), (3, "added"), (4, "added")]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dictionaries as D
-from . import calendar, money, text
+from . import calendar, money, scoring, text
 
 _RECEIPTS = [re.compile(p, re.I) for p in D.RECEIPTS]
 _BEFORE, _AFTER, _PENDING, _LEAD, _STOP, _JUNK = (re.compile(p, re.I) for p in (D.RECEIPT_VETO_BEFORE, D.RECEIPT_VETO_AFTER, D.RECEIPT_PENDING, D.OBJECT_LEAD, D.OBJECT_STOP, D.OBJECT_JUNK))
@@ -147,3 +147,34 @@ def extract(filings: DataFrame) -> DataFrame:
     yes = yes.withColumn("needs_check", F.col("order_value_inr").isNull() | (F.col("extraction_conf") < 0.55) | (F.col("execution_months").isNull() & (F.col("order_value_inr") > 5e8)))
     no = can.filter("NOT evidence.received").unionByName(rest, allowMissingColumns=True).withColumn("is_order", F.lit(False))
     return yes.unionByName(no, allowMissingColumns=True).drop("__full", "__gate", "__said", "__customer", "value")
+
+
+#: Answers of a disclosure table, as columns of an extracted filing.
+ANSWERS = ("t_customer", "t_size", "t_period", "t_related", "t_domestic", "t_nature")
+
+
+def apply_table(extracted: DataFrame) -> DataFrame:
+    """The structured answers override what was guessed; an absent answer changes nothing.
+
+    A value within 2 % of the guess only raises its confidence; a longer scope is not replaced by a shorter one.
+    """
+    for c in ANSWERS:
+        if c not in extracted.columns:
+            extracted = extracted.withColumn(c, F.lit(None).cast("string"))
+    size, period = table_size(F.col("t_size")), period_months(F.col("t_period"), F.to_date("filed_at"))
+    named = text.clean_customer(F.regexp_replace(F.col("t_customer"), r"(?i)^m/s\.?\s*", ""))
+    named = F.when(~text.junk_customer(named), named)
+    d = extracted.withColumns({"__size": size, "__months": period, "__named": named})
+    both = scoring.reconcile(F.col("order_value_inr"), F.col("__size"), F.greatest(F.col("extraction_conf"), F.lit(0.85)))
+    d = d.withColumn("__both", both)
+    nature = F.nullif(F.trim("t_nature"), F.lit(""))
+    d = d.withColumns({
+        "order_value_inr": F.when(F.col("__size").isNotNull(), F.col("__both.value")).otherwise(F.col("order_value_inr")),
+        "extraction_conf": F.when(F.col("__size").isNotNull(), F.greatest(F.col("__both.confidence"), F.lit(0.85))).otherwise(F.col("extraction_conf")),
+        "execution_months": F.coalesce("__months", "execution_months"), "customer": F.coalesce("__named", "customer"),
+        "is_related_party": F.coalesce(text.yes_no(F.col("t_related")), F.col("is_related_party")),
+        "scope": F.when(F.char_length(nature) > F.char_length(F.coalesce("scope", F.lit(""))), nature).otherwise(F.col("scope")),
+    })
+    abroad = F.rlike(F.lower("t_domestic"), F.lit(r"\binternational|\bexport|\bforeign|\boverseas"))
+    kind = F.when(F.coalesce(abroad, F.lit(False)) & ~F.rlike(F.lower("t_domestic"), F.lit(r"\bdomestic")), "export").when(F.col("__named").isNotNull(), text.customer_type(F.col("customer"), F.lit(""))).otherwise(F.col("customer_type"))
+    return d.withColumn("customer_type", kind).drop("__size", "__months", "__named", "__both")

@@ -115,3 +115,9 @@ def replace_by_filing(old: DataFrame, new: DataFrame, key: str, order: list[Colu
     """K2: the rows of a filing are replaced by its new ones, at most six of them."""
     best = new.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("__n") <= most).drop("__n")
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(best, allowMissingColumns=True)
+
+
+def difference(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """What a rebuild takes away and adds: the key and which."""
+    gone = old.select(key).join(new.select(key), key, "left_anti").withColumn("change", F.lit("removed"))
+    return gone.unionByName(new.select(key).join(old.select(key), key, "left_anti").withColumn("change", F.lit("added")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text
+from ..operators import sequences, views
 from ..sources import landed
 
 
@@ -96,3 +97,16 @@ def event_windows(events: DataFrame, minutes: int = 60, late: str = "2 hours") -
 
 def stream_of(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def feed_warnings(runs: DataFrame, hours: int = 24) -> DataFrame:
+    """Of the runs that end three failures, those to warn about: one for each feed and span of hours."""
+    alarms = sequences.feed_alarm(runs)
+    g = sequences.greedy_groups(alarms, ["feed"], F.unix_seconds("at"), hours * 3600, ["run_id"])
+    return g.groupBy("feed", "anchor").agg(F.min_by("run_id", F.struct("d", "run_id")).alias("run_id")).select("feed", "run_id")
+
+
+def to_alert(orders: DataFrame) -> DataFrame:
+    """Orders whose like (half a percent, three days) has a smaller id are left to that one."""
+    twin = views.near_duplicates(orders, 0.005, 3).filter(F.col("duplicate_of") < F.col("order_id")).select("order_id")
+    return orders.filter(F.col("tier").isin("HIGH", "MEDIUM")).join(twin, "order_id", "left_anti")
