@@ -10,17 +10,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt out to all of them: for costly work on a small file. Larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: The same relation for DuckDB.
 FILINGS = """f AS (SELECT o_orderkey AS order_id, o_custkey AS company_id, CASE WHEN o_orderkey % 2 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange, o_totalprice * 1e5 AS order_value_inr,
  CAST(o_orderdate AS TIMESTAMP) AS filed_at, substr(o_orderpriority, 3) AS order_type, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1.0::DOUBLE WHEN '2' THEN 0.8 WHEN '3' THEN 0.6 WHEN '4' THEN 0.4 ELSE 0.3 END AS firmness,
  o_orderstatus = 'P' AS is_amendment, CAST(o_orderkey % 36 + 1 AS DOUBLE) AS execution_months FROM orders)"""
 
 
-def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filings(spark: SparkSession, sf_dir: str, *, heavy: bool = False) -> DataFrame:
     """One order a filing, with firmness from its priority and months from its key (a stand-in for extracted fields)."""
+    orders = table(spark, sf_dir, "orders")
+    orders = spread(orders) if heavy else orders
     first = F.substring("o_orderpriority", 1, 1)
     firmness = F.when(first == "1", 1.0).when(first == "2", 0.8).when(first == "3", 0.6).when(first == "4", 0.4).otherwise(0.3)
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("company_id"),
         F.when(F.col("o_orderkey") % 2 == 0, "NSE").otherwise("BSE").alias("exchange"), (F.col("o_totalprice") * 1e5).alias("order_value_inr"),
         F.col("o_orderdate").cast("timestamp").alias("filed_at"), F.expr("substr(o_orderpriority, 3)").alias("order_type"), firmness.alias("firmness"),

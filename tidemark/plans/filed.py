@@ -24,7 +24,7 @@ def query(sql: str | None):
 
 def _filings(spark, sf):
     """Rendered filings: an order, one to be cancelled, a bidder's notice, a board meeting."""
-    f = base.filings(spark, sf).join(base.companies(spark, sf), "company_id")
+    f = base.filings(spark, sf, heavy=True).join(base.companies(spark, sf), "company_id")
     four = F.col("order_id") % 4
     crore = (F.col("order_id") % 900 + 100).cast("string")
     head = F.when(four == 0, "Receipt of work order").when(four == 1, "Cancellation of order").when(four == 2, "Company declared L1 bidder in tender").otherwise("Board Meeting Intimation")
@@ -42,7 +42,7 @@ def extract_filings(spark, sf):
 @query("SELECT o_orderkey AS order_id, CAST(o_totalprice AS BIGINT) * 10000000 AS value, make_date(year(o_orderdate), 1 + 3 * (quarter(o_orderdate) - 1), 1) - 1 AS as_of, CASE WHEN o_orderkey % 2 = 0 THEN 'total' ELSE 'segment' END AS scope FROM orders WHERE CAST(o_totalprice AS BIGINT) BETWEEN 1 AND 1900000")
 def rendered_order_book(spark, sf):
     """B1-B5, D9, D11, D12, M12."""
-    f = base.filings(spark, sf).withColumn("crore", F.bround(F.col("order_value_inr") / 1e5).cast("long")).filter("crore BETWEEN 1 AND 1900000")
+    f = base.filings(spark, sf, heavy=True).withColumn("crore", F.bround(F.col("order_value_inr") / 1e5).cast("long")).filter("crore BETWEEN 1 AND 1900000")
     label = F.when(F.col("order_id") % 2 == 0, "unexecuted order book").otherwise("railway order book")
     said = F.concat(F.lit("Results were good. We ended the quarter with a "), label, F.lit(" of Rs. "), F.col("crore").cast("string"), F.lit(" crore. Order inflow was Rs. 12 crore."))
     b = f.select("order_id", F.get(orderbook.find_order_books(said, F.to_date("filed_at"), F.lit("results")), 0).alias("b"))

@@ -24,7 +24,7 @@ def query(sql: str | None):
 
 def _bse(spark, sf):
     """A feed with a targeted and a wide listing of the same records."""
-    f = base.filings(spark, sf).join(base.companies(spark, sf), "company_id")
+    f = base.filings(spark, sf, heavy=True).join(base.companies(spark, sf), "company_id")
     raw = f.select(F.concat(F.lit("N"), F.col("order_id").cast("string")).alias("NEWSID"), F.col("company_id").cast("string").alias("SCRIP_CD"), F.col("company_name").alias("SLONGNAME"), F.lit("Company Update").alias("CATEGORYNAME"), F.lit("-").alias("SUBCATNAME"), F.when(F.col("is_amendment"), "Cancellation of <b>order</b>").when(F.col("order_id") % 3 == 0, "Award &amp; receipt of order").otherwise("Outcome of meeting").alias("HEADLINE"), F.lit(None).cast("string").alias("NEWSSUB"), F.lit("").alias("MORE"), F.concat(F.col("order_id").cast("string"), F.lit(".pdf")).alias("ATTACHMENTNAME"), F.date_format("filed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("News_submission_dt"), F.lit(None).cast("string").alias("DT_TM"), F.lit(False).alias("targeted"))
     return landed.bse(raw.unionByName(raw.filter("CAST(substr(NEWSID, 2) AS BIGINT) % 5 = 0").withColumn("targeted", F.lit(True))))
 

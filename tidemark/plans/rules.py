@@ -85,7 +85,7 @@ _CURVE = "CASE WHEN {x} <= {lo} THEN 0.0 WHEN {x} >= {hi} THEN 1.0 ELSE ln({x} /
 )
 def guidance_points(spark, sf):
     """Revenue and profit guided for this year against the last."""
-    f = base.filings(spark, sf)
+    f = base.filings(spark, sf, heavy=True)
     fy = fiscal_year(F.col("filed_at"))
     item = lambda metric, low: F.struct(fy.alias("fy_end"), F.lit(metric).alias("metric"), F.lit(metric).alias("label"), low.cast("double").alias("low_inr"), F.lit(None).cast("double").alias("growth_low"))
     items = F.array(item("revenue", F.col("order_id") % 900 + 50), item("pat", F.col("order_id") % 40 + 5))

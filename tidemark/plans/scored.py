@@ -23,7 +23,7 @@ def _with_fundamentals(f: DataFrame) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = base.filings(spark, sf_dir).join(base.companies(spark, sf_dir), "company_id")
+    f = base.filings(spark, sf_dir, heavy=True).join(base.companies(spark, sf_dir), "company_id")
     f = f.withColumn("text", base.filing_text()).drop("order_value_inr", "execution_months")
     f = f.withColumn("order_value_inr", F.bround(money.simple_value(F.col("text")))).withColumn("execution_months", duration_months(F.col("text"), F.col("filed_at")))
     f = sequences.novelty_history(_with_fundamentals(f))

@@ -24,7 +24,7 @@ def query(sql: str | None):
 
 
 def _rendered(spark, sf):
-    return base.filings(spark, sf).join(base.companies(spark, sf), "company_id").withColumn("text", base.filing_text())
+    return base.filings(spark, sf, heavy=True).join(base.companies(spark, sf), "company_id").withColumn("text", base.filing_text())
 
 
 @query("SELECT o_orderkey AS order_id, CAST(round(round(o_totalprice, 2) * 1e5) AS BIGINT) AS value, CAST(o_orderkey % 36 + 1 AS DOUBLE) AS months FROM orders")
@@ -48,7 +48,7 @@ def rendered_currency(spark, sf):
     """M2, M4, M8."""
     sign = F.element_at(F.array(F.lit("USD"), F.lit("€"), F.lit("£")), (F.col("order_id") % 3).cast("int") + 1)
     t = F.concat(F.lit("an export order worth "), sign, F.lit(" "), (F.col("order_id") % 500 + 1).cast("string"), F.lit(" million"))
-    r = base.filings(spark, sf).select("order_id", F.get(money.extract_amounts(t), 0).alias("a"))
+    r = base.filings(spark, sf, heavy=True).select("order_id", F.get(money.extract_amounts(t), 0).alias("a"))
     return r.select("order_id", F.bround("a.value_inr").cast("long").alias("value"), "a.currency")
 
 
@@ -57,14 +57,14 @@ def rendered_range(spark, sf):
     """M8 ranges and T8."""
     n = F.col("order_id") % 90
     t = F.concat(F.lit("Work orders of Rs "), (n + 1).cast("string"), F.lit(" - "), (n + 11).cast("string"), F.lit(" crore"))
-    r = base.filings(spark, sf).select("order_id", money.pick_order_value(t).alias("a"), text.order_type(t).alias("o"))
+    r = base.filings(spark, sf, heavy=True).select("order_id", money.pick_order_value(t).alias("a"), text.order_type(t).alias("o"))
     return r.select("order_id", "a.is_range", F.bround("a.low_inr").cast("long").alias("low"), F.bround("a.high_inr").cast("long").alias("high"), "o.order_type", "o.firmness")
 
 
 @query("SELECT o_orderkey AS order_id, year(o_orderdate) + CASE WHEN month(o_orderdate) >= 4 THEN 1 ELSE 0 END + o_orderkey % 3 AS fy, CAST((o_orderkey % 900 + 100) * 1e7 AS BIGINT) AS revenue, CAST((o_orderkey % 50 + 1) * 1e7 AS BIGINT) AS pat FROM orders")
 def rendered_guidance(spark, sf):
     """G1, D7, D8."""
-    f = base.filings(spark, sf)
+    f = base.filings(spark, sf, heavy=True)
     fy = fiscal_year(F.col("filed_at")) + F.col("order_id") % 3
     t = F.format_string("The plant runs well. In FY%d we are expecting total income of Rs %d crores with PAT of minimum Rs %d - %d crores. Thank you.", fy, F.col("order_id") % 900 + 100, F.col("order_id") % 50 + 1, F.col("order_id") % 50 + 3)
     g = f.select("order_id", money.extract_guidance(t, fiscal_year(F.col("filed_at"))).alias("g"))
@@ -92,7 +92,7 @@ def entity_merge(spark, sf):
 @query("SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '') AS text FROM pages")
 def html_clean(spark, sf):
     """T1."""
-    return base.table(spark, sf, "pages").select("page_id", text.clean_html(F.col("html")).alias("text"))
+    return base.spread(base.table(spark, sf, "pages")).select("page_id", text.clean_html(F.col("html")).alias("text"))
 
 
 @query("SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '') AS title, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages")
@@ -108,7 +108,7 @@ _BUMP = " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN {p}::DOUBLE ELS
 @query(f"SELECT doc_id, round(greatest(-0.4, least(0.5, {_BUMP})), 6) AS bump, contains(lower(text), 'license') AS licensed FROM documents WHERE NOT regexp_matches(lower(text), '(^|[^a-z0-9])(lowest bidder|l1|road|civil work|building construction|subject to|tentative|estimated)([^a-z0-9]|$)')")
 def document_quality_words(spark, sf):
     """T10 on whole documents; those without a ding, as the oracle's patterns have no lookaround."""
-    d = base.table(spark, sf, "documents")
+    d = base.spread(base.table(spark, sf, "documents"))
     dings = r"(^|[^a-z0-9])(lowest bidder|l1|road|civil work|building construction|subject to|tentative|estimated)([^a-z0-9]|$)"
     d = d.filter(~F.rlike(F.lower("text"), F.lit(dings)))
     return d.select("doc_id", F.round(text.quality_adjustment(F.col("text")), 6).alias("bump"), F.contains(F.lower("text"), F.lit("license")).alias("licensed"))
@@ -122,7 +122,7 @@ _CASE = lambda values: "CASE o_orderkey % 8 " + " ".join(f"WHEN {k} THEN {v}" fo
 def headline_ladder(spark, sf):
     """F2-F4, F10, T8, T9 on eight headlines."""
     h = F.element_at(F.array(*map(F.lit, _HEAD)), (F.col("order_id") % 8).cast("int") + 1)
-    f = base.filings(spark, sf).select("order_id", h.alias("h"))
+    f = base.filings(spark, sf, heavy=True).select("order_id", h.alias("h"))
     h = F.col("h")
     return f.select("order_id", text.looks_like_order(h).alias("is_order_like"), text.non_order(h).alias("veto"), text.worth_probe(h, F.lit("")).alias("probe"), text.amendment(h).alias("amendment"), text.order_type(h)["firmness"].alias("firmness"), text.book_candidate(h).alias("book"))
 
