@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.base import spread
 from ..ship import ship
 
 #: Text bytes that one numpy step works on; temporaries are about 40 times that.
@@ -113,7 +114,8 @@ def append(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBa
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents; a file of fewer splits than there are cores is dealt out to all of them."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def remainder(doc_id: str, by: int) -> Column:
