@@ -1,5 +1,7 @@
 """Queries against their SQL in DuckDB, invariants of the score, stream against batch."""
 
+from datetime import datetime
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,21 @@ def test_collapse_again_changes_nothing(spark, sf):
     assert key(once) == key(again)
 
 
+def test_collapse_covers_every_filing(spark, sf):
+    n, again, companies = spark.read.parquet(f"{sf}/orders.parquet").agg(F.count("*"), F.count_if(F.col("o_orderkey") % 3 == 0), F.count_distinct("o_custkey")).first()
+    r = catalogue.QUERIES["collapse_exchanges_all"](spark, sf).agg(F.sum("duplicate_filings"), F.count_distinct("company_id")).first()
+    assert tuple(r) == (n + again, companies)
+
+
+def test_collapse_of_companies_of_any_id(spark, tmp_path):
+    day = lambda d: datetime(2020, 1, d)
+    rows = [(3, 7, day(1), "O", 100.0, "1-URGENT"), (6, 7, day(1), "O", 100.0, "1-URGENT"), (9, 7, day(9), "O", 100.0, "1-URGENT"), (4, 5, day(1), "O", 5.0, "1-URGENT")] + [(1000 + k, 11, day(1 + k % 20), "O", float(k * 100 + 100), "2-HIGH") for k in range(200)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalogue.QUERIES["collapse_exchanges_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.order_id, r.duplicate_filings) for r in got if r.company_id == 7) == [(9, 2), (10_000_006, 4)]  # the latest of the filings with a value stays
+    assert sum(r.duplicate_filings for r in got if r.company_id == 11) == 200 + sum((1000 + k) % 3 == 0 for k in range(200))
+
+
 def test_company_ids_meet_across_venues(spark):
     f = spark.createDataFrame([("Beta Eng Limited", None, "BETA", None), ("BETA ENG LTD-$", None, None, "500001"), ("Gamma Works Ltd", "ine1", None, None), ("Gamma Works Private Limited", None, None, "7")], "company_name string, isin string, symbol string, bse_code string")
     known = spark.createDataFrame([("INE1", "Gamma Works", "ine1")], "company_id string, company_name string, isin string")
