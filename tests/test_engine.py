@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tidemark.functions import scoring
 from tidemark.operators import entity, sequences
-from tidemark.plans import base, catalogue
+from tidemark.plans import base, catalogue, scored
 from tidemark.sources import landed
 from tidemark.streaming import ingest
 
@@ -48,6 +48,18 @@ def test_messages(spark, sf):
     assert len(lines) == 100 and all(x[0].startswith("<b>") and x[1].startswith("Rs ") and len(x) >= 5 for x in lines)
 
 
+def test_messages_of_all_alerts(spark, duck, sf):
+    got = {r.order_id: r.message.split("\n") for r in catalogue.QUERIES["alert_messages_all"](spark, sf).collect()}
+    z = duck.execute(scored._SCORED + "SELECT order_id, company_id, order_value_inr, filed_at, tier FROM z").fetchall()
+    by = {}
+    for order, company, value, at, _ in z:
+        by.setdefault(company, []).append((order, value, at))
+    twin = lambda o, c, v, at: any(p < o and abs(w - v) <= max(1.0, 0.005 * v) and abs((b - at).total_seconds()) <= 3 * 86400 for p, w, b in by[c])
+    want = {o for o, c, v, at, tier in z if tier in ("HIGH", "MEDIUM") and not twin(o, c, v, at)}
+    assert set(got) == want and len(got) > 100
+    assert all(x[0].startswith("<b>") and x[0].split("</b> ")[1].split(" ")[0] in ("HIGH", "MEDIUM") and x[1].startswith("Rs ") and len(x) >= 5 for x in got.values())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 100
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import filing, orderbook
 from ..operators import pages, sequences
+from ..streaming import ingest
 from . import base, scored, series
 
 Q: dict = {}
@@ -74,9 +75,14 @@ def watch_digest(spark, sf):
 
 
 def alert_messages(spark, sf):
-    """The hundred best as messages; their form is tested, not their SQL."""
+    """The hundred best as messages; their form is tested, not their SQL. `alert_messages_all` has the rule of alerts."""
     return pages.message(scored.scored(spark, sf).orderBy(F.desc("score"), "order_id").limit(100))
 
 
-Q["alert_messages"] = alert_messages
+def alert_messages_all(spark, sf):
+    """A message for every order to alert of: tier HIGH or MEDIUM, and no twin of one of a smaller id."""
+    return pages.message(ingest.to_alert(scored.scored(spark, sf)))
+
+
+Q["alert_messages"], Q["alert_messages_all"] = alert_messages, alert_messages_all
 QUERIES, ORACLES = Q, O
