@@ -83,3 +83,17 @@ def test_headlines(spark):
     assert one(spark, text.order_type(F.lit("signed an MoU for supply")))["firmness"] == 0.3
     assert one(spark, text.yes_no(F.lit("No, it is not"))) is False and one(spark, text.yes_no(F.lit("Yes"))) is True
     assert one(spark, text.clean_html(F.lit("<p>A&nbsp;&amp; B</p>\n"))) == "A & B" and one(spark, text.clean_html(F.lit("<br>"))) is None
+
+
+def test_every_document_is_scored(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import catalogue
+
+    said = {1: ("Tentative and estimated: L1 for a road", -0.25), 2: ("ROADS, broad; l10 untentative", 0.0), 3: (None, 0.0), 4: ("", 0.0), 5: ("road", -0.05), 6: ("export of civil work, subject to license", 0.02), 7: ("lowest bidder l1 road civil work building construction subject to tentative estimated", -0.4), 8: ("defence export semiconductor annuity", 0.5), 9: ("defence export semiconductor annuity_road", 0.5), 10: ("a\nroad\n", -0.05)}
+    spark.createDataFrame([(k, t) for k, (t, _) in said.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.points, r.licensed) for r in catalogue.QUERIES["document_quality_all"](spark, str(tmp_path)).collect())
+    assert got == [(k, p, None if t is None else k == 6) for k, (t, p) in said.items()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(con.execute(catalogue.ORACLES["document_quality_all"]).fetchall()) == got
