@@ -4,18 +4,19 @@ A word window of `WIDTH` words is removed where the same words also start in a d
 window of the corpus would shuffle a hash for each word. Instead windows of `ANCHOR` words are hashed only at positions
 whose remainder modulo `PERIOD` is in a difference cover: whatever the two starts of an equal run of WIDTH words are, some
 shift below PERIOD puts both on the cover, so the two runs share an aligned anchor (ANCHOR + PERIOD - 1 = WIDTH). Only
-windows around an anchor that two documents share are then compared in full, by 96 bits of two independent hashes.
+windows around an anchor that two documents share are then compared in full, by 128 bits: two hashes of other keys and
+mixers, each over all bytes of the words.
 
 Shape of the work, in blocks of documents that are written once to the shared folder:
 
-1. each block sends its distinct anchor hashes, sorted and packed by hash range; each range answers one bit a hash:
-   "another document has it too" (a hash of a third of all documents is one entry a block, not one a document);
-2. each block grows the shared anchors to the windows that hold them and sends the distinct window hashes with the block's
-   smallest id for each; each range answers one bit: "a smaller id exists elsewhere";
+1. each block sends a row for each of its distinct anchor hashes; sorted by hash they are read as a stream, and those that
+   another document has too go back to their blocks (a hash of a third of all documents is one row a block);
+2. each block grows the shared anchors to the windows that hold them and sends a row for each distinct window with the
+   block's smallest id for it; sorted by hash and id, those behind a smaller id go back;
 3. each block marks the words and rewrites its texts.
 
-No pair of documents is ever formed. Ranges and blocks are sized from the number of words, so what a task holds does not
-grow with the corpus; nothing is collected to the driver but one count.
+No pair of documents is ever formed and no group is held: a task keeps one batch of a sorted stream, or one block, however
+large the corpus and however common a hash. Rows grow with the corpus alone; nothing is collected to the driver.
 
 Defined cases: null text has no words; a document of under WIDTH words loses none. Rows with the same doc_id are one
 document: what only they share stays. A row with a null doc_id takes no part and stays as it is. Empty table: empty result.
@@ -39,9 +40,10 @@ from . import core, words
 WIDTH, PERIOD, ANCHOR = 13, 7, 7
 #: Differences of these remainders modulo PERIOD are all of 0..6.
 COVER = np.isin(np.arange(PERIOD), [0, 1, 3])
-#: Text bytes in a block, and entries in a hash range.
-BLOCK_BYTES, RANGE_ENTRIES = 4 << 20, 1_000_000
+#: Text bytes in a block.
+BLOCK_BYTES = 4 << 20
 _ID, _TEXT = "__tm_id", "__tm_text"
+_NONE = np.zeros(0, np.int64)
 
 
 def _pack(batch: pa.RecordBatch) -> bytes:
@@ -56,16 +58,14 @@ def _unpack(blob: bytes) -> pa.Table:
 
 
 def blocks(df: DataFrame, block_bytes: int) -> DataFrame:
-    """Rows of `df` packed into compressed blocks: block, n_words (upper bound), rows."""
+    """Rows of `df` packed into compressed blocks: block, rows. Block numbers are drawn, so the result is to be written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush():
             batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            data, offsets = core.bytes_of(core.text_of(batch.column(_TEXT)))
-            n = len(words.spans(data, offsets)[0])
-            return pa.RecordBatch.from_pydict({"block": pa.array([uuid.uuid4().int >> 65], pa.int64()), "n_words": pa.array([n], pa.int64()), "rows": pa.array([_pack(batch)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"block": pa.array([uuid.uuid4().int >> 65], pa.int64()), "rows": pa.array([_pack(batch)], pa.binary())})
 
         for piece in core.steps(batches, _TEXT):
             held.append(piece)
@@ -76,7 +76,7 @@ def blocks(df: DataFrame, block_bytes: int) -> DataFrame:
         if held:
             yield flush()
 
-    return df.mapInArrow(run, "block long, n_words long, rows binary")
+    return df.mapInArrow(run, "block long, rows binary")
 
 
 class Block:
@@ -100,7 +100,7 @@ class Block:
         return at, words.windows(self.hash, ANCHOR)[at] if len(at) else np.zeros(0, np.uint64)
 
     def candidates(self, at: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the windows that hold a shared anchor on the cover, with 64 and 32 bits of hash."""
+        """Starts of the windows that hold a shared anchor on the cover, with two hashes of 64 bits."""
         near = np.zeros(len(self.starts) + PERIOD, bool)
         near[at[shared]] = True
         any_near = near[: len(self.starts)].copy()
@@ -108,13 +108,13 @@ class Block:
             any_near |= near[k : k + len(self.starts)]
         w = np.flatnonzero(any_near & (self.left >= WIDTH) & self.known)
         if not len(w):
-            return w, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+            return w, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         other = words.hashes(self.data, self.starts, self.ends, stream=1)
-        return w, words.windows(self.hash, WIDTH)[w], (words.windows(other, WIDTH, 1)[w] >> np.uint64(32)).astype(np.uint32)
+        return w, words.windows(self.hash, WIDTH)[w], words.windows(other, WIDTH, 1)[w]
 
 
 class Distinct:
-    """Sorted distinct keys of 64 (and 32) bits; `which` gives each entry its place among them."""
+    """Sorted distinct keys of 64 or 128 bits; `which` gives each entry its place among them."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray | None = None):
         order = np.argsort(a, kind="stable")
@@ -139,62 +139,47 @@ class Distinct:
         return np.maximum.reduceat(x[self.order], self.first) if len(self.first) else x[:0]
 
 
-def _range_of(a: np.ndarray, n: int) -> np.ndarray:
-    return ((a >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+_ANCHORS, _WINDOWS = "hash long, block long, twice boolean", "a long, b long, id long, block long, place int"
 
 
-_SENT = "part long, block long, a binary, b binary, c binary"
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns.values()], names=list(columns))
 
 
-def _send(block: int, n: int, d: Distinct, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The distinct keys by hash range; c goes with them."""
-    if not len(d.a):
-        return
-    part = _range_of(d.a, n)
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-    rows = [(int(part[i]), block, d.a[i:j].tobytes(), b"" if d.b is None else d.b[i:j].tobytes(), c[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
-    names = ["part", "block", "a", "b", "c"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows), kinds)], names=names)
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of anchors sorted by hash, those in two documents or more: block, hash. One row waits for the next batch."""
+    held = None
+    for batch in batches:
+        new = [np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("hash", "block", "twice")]
+        h, block, flag = (np.concatenate(x) for x in zip(held, new)) if held else new
+        if len(h):
+            flag, same = flag.copy(), h[1:] == h[:-1]
+            flag[1:] |= same
+            flag[:-1] |= same
+            held = [h[-1:], block[-1:], flag[-1:]]
+            yield _batch(block=block[:-1][flag[:-1]], hash=h[:-1][flag[:-1]])
+    if held:
+        h, block, flag = held
+        yield _batch(block=block[flag], hash=h[flag])
 
 
-def _answers(block: list[int], part: list[int], lens: list[int], bits: np.ndarray) -> pa.Table:
-    cuts = np.cumsum([0, *lens])
-    packed = [np.packbits(bits[i:j]).tobytes() for i, j in zip(cuts, cuts[1:])]
-    return pa.table({"block": pa.array(block, pa.int64()), "part": pa.array(part, pa.int64()), "bits": pa.array(packed, pa.binary())})
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of windows sorted by hash and id, those whose first row has a smaller id: block, place. Of the run at hand only its key and id are kept."""
+    key, least = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b, ids, block, place = (np.asarray(batch.column(c)) for c in ("a", "b", "id", "block", "place"))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        new[0] = key != (a[0], b[0])
+        first = np.append(np.int64(least), ids[new])[np.cumsum(new)]
+        key, least = (a[-1], b[-1]), first[-1]
+        flag = first < ids
+        yield _batch(block=block[flag], place=place[flag])
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """One range of anchors: which are in two documents or more."""
-    each = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
-    lens = [len(x) for x in each]
-    d = Distinct(np.concatenate(each))
-    twice = np.concatenate([np.frombuffer(x, bool) for x in table.column("c").to_pylist()])
-    flag = d.most(twice.astype(np.int8)).astype(bool) | (np.diff(np.append(d.first, len(d.order))) > 1)
-    return _answers(table.column("block").to_pylist(), table.column("part").to_pylist(), lens, flag[d.which])
-
-
-def _earlier(table: pa.Table) -> pa.Table:
-    """One range of windows: which have a smaller id in another block."""
-    each = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
-    lens = [len(x) for x in each]
-    d = Distinct(np.concatenate(each), np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("b").to_pylist()]))
-    own = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("c").to_pylist()])
-    return _answers(table.column("block").to_pylist(), table.column("part").to_pylist(), lens, d.least(own)[d.which] < own)
-
-
-def _bits(answers: pa.Table, kind: int, d: Distinct, n: int) -> np.ndarray:
-    """The answers to what a block has sent, in the order of its distinct keys."""
-    out = np.zeros(len(d.a), bool)
-    got = {p: b for k, p, b in zip(answers.column("kind").to_pylist(), answers.column("part").to_pylist(), answers.column("bits").to_pylist()) if k == kind}
-    part = _range_of(d.a, n)
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else []
-    for i, j in zip(cuts, cuts[1:]):
-        out[i:j] = np.unpackbits(np.frombuffer(got[int(part[i])], np.uint8), count=j - i).astype(bool)
-    return out
-
-
-def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, range_entries: int = RANGE_ENTRIES) -> DataFrame:
+def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with n_words, n_removed, kept_text and kept_sha256 in place of any columns of those names."""
     spark = docs.sparkSession
     scratch = core.Scratch(spark, "substring")
@@ -203,9 +188,7 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     base = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(doc_id).cast("long").alias(_ID), F.col(text).alias(_TEXT))
     # the text travels once: under _TEXT, and gets its name back at the end
     base = base.drop(text) if text in kept else base
-    table = scratch.write(blocks(base, block_bytes), "blocks")
-    total = table.agg(F.sum("n_words")).first()[0] or 0
-    n_anchor, n_window = (max(1, -(-int(total * share) // range_entries)) for share in (COVER.mean(), 0.5))
+    rows = scratch.write(blocks(base, block_bytes), "blocks")
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,37 +196,38 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 b = Block(blob.as_buffer())
                 at, a = b.anchors()
                 d = Distinct(a)
-                yield from _send(block, n_anchor, d, d.least(b.ids[at]) != d.most(b.ids[at]))
+                yield _batch(hash=d.a, block=np.full(len(d.a), block), twice=d.least(b.ids[at]) != d.most(b.ids[at]))
 
-    answer = "block long, part long, bits binary"
-    rows = table.select("block", "rows")
-    first = scratch.write(rows.mapInArrow(send_anchors, _SENT).groupBy("part").applyInArrow(_shared, answer).withColumn("kind", F.lit(1)), "anchors")
-    core.free_shuffles(spark)
+    first = rows.mapInArrow(send_anchors, _ANCHORS).repartition("hash").sortWithinPartitions("hash").mapInArrow(_shared, "block long, hash long")
+    first = scratch.write(first, "anchors")
 
-    def window_keys(b: Block, answers: pa.Table) -> tuple[np.ndarray, Distinct, np.ndarray]:
+    def windows(b: Block, shared: pa.Table) -> tuple[np.ndarray, Distinct, np.ndarray]:
         at, a = b.anchors()
-        d = Distinct(a)
-        w, h, more = b.candidates(at, _bits(answers, 1, d, n_anchor)[d.which])
-        d = Distinct(h, more)
+        w, *h = b.candidates(at, np.isin(a, np.asarray(shared.column("hash")).view(np.uint64)))
+        d = Distinct(*h)
         return w, d, d.least(b.ids[w])
 
-    def send_windows(left: pa.Table, answers: pa.Table) -> pa.Table:
-        b = Block(left.column("rows")[0].as_buffer())
-        _, d, least = window_keys(b, answers)
-        sent = list(_send(left.column("block")[0].as_py(), n_window, d, least))
-        return pa.Table.from_batches(sent) if sent else pa.table({"part": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), "c": pa.array([], pa.binary())})
+    def send_windows(left: pa.Table, shared: pa.Table) -> pa.Table:
+        b = Block(left.column("rows")[0].as_buffer()) if shared.num_rows else None
+        if b is None:
+            return pa.Table.from_batches([_batch(a=_NONE, b=_NONE, id=_NONE, block=_NONE, place=_NONE.astype(np.int32))])
+        _, d, least = windows(b, shared)
+        n = len(d.a)
+        return pa.Table.from_batches([_batch(a=d.a, b=d.b, id=least, block=np.full(n, left.column("block")[0].as_py()), place=np.arange(n, dtype=np.int32))])
 
-    sent = rows.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_windows, _SENT)
-    second = scratch.write(sent.groupBy("part").applyInArrow(_earlier, answer).withColumn("kind", F.lit(2)), "windows")
-    core.free_shuffles(spark)
+    sent = rows.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_windows, _WINDOWS)
+    second = scratch.write(sent.repartition("a", "b").sortWithinPartitions("a", "b", "id").mapInArrow(_later, "block long, place int"), "windows")
 
     out_schema = T.StructType([f for f in base.schema.fields if f.name != _ID] + added)
 
     def rewrite(left: pa.Table, answers: pa.Table) -> pa.Table:
         b = Block(left.column("rows")[0].as_buffer())
-        w, d, least = window_keys(b, answers)
+        later = np.asarray(answers.column("later"))
+        w, d, least = windows(b, answers.filter(pa.array(~later)))
+        behind = np.zeros(len(d.a), bool)
+        behind[np.asarray(answers.column("hash"))[later]] = True
         gone = np.zeros(len(b.starts) + 1, np.int64)
-        hit = w[_bits(answers, 2, d, n_window)[d.which] | (b.ids[w] > least[d.which])]
+        hit = w[behind[d.which] | (b.ids[w] > least[d.which])]
         np.add.at(gone, hit, 1)
         np.subtract.at(gone, hit + WIDTH, 1)
         drop = np.cumsum(gone)[:-1] > 0
@@ -259,7 +243,8 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         new = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(digests)]
         return pa.Table.from_arrays([*table.columns, *new], names=out_schema.names)
 
-    both = first.unionByName(second)
+    # a window's place goes in the column of the hash
+    both = first.withColumn("later", F.lit(False)).unionByName(second.select("block", F.col("place").cast("long").alias("hash"), F.lit(True).alias("later")))
     out = rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(rewrite, out_schema)
     return out.select(*[F.col(_TEXT).alias(text) if c == text else F.col(f"`{c}`") for c in kept], *[f.name for f in added])
 

@@ -43,7 +43,7 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, and the n+1 bounds of the texts' words."""
     data, offsets = core.bytes_of(texts)
     starts, ends, bounds = words.spans(data, offsets, _GAP)
-    return words.hashes(data, starts, ends, fold=True, separator=_GAP), bounds
+    return words.hashes(data, starts, ends, fold=True), bounds
 
 
 def slots(word: np.ndarray) -> np.ndarray:

@@ -1,12 +1,15 @@
 """Words, word hashes and word windows over Arrow text, in numpy on the UTF-8 bytes.
 
 All separators used here are ASCII, so a byte of 0x80 or more is always part of a word and nothing is decoded.
-A word hash is a random byte table times powers of an odd base, summed modulo 2**64 and mixed; equal words have equal
-hashes on every machine. Where equality must hold without doubt, two streams with other tables are compared.
+A word hash mixes the length and then eight bytes at a time, each turn a full 64-bit mix, so it has no algebraic structure
+over the letters; words of over `LONG` bytes are hashed with a keyed blake2b. The two streams use other keys and other
+mixers; where one stream's collision would matter, both are compared (128 bits). Equal words have equal hashes everywhere.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Separators [\x20\x09-\x0D].
@@ -15,27 +18,24 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: A-Z to a-z, all else unchanged.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 0x20
-_BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_HIGH = 16
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_TABLE = [np.random.default_rng(20_240_101 + k).integers(1, 2**64 - 1, 256, np.uint64, endpoint=True) for k in (0, 1)]
-_POWER = [_powers(b, 1 << _HIGH) for b in _BASE]
+#: Longest word that is hashed in numpy.
+LONG = 64
+_LANE = 8
+_RNG = np.random.default_rng(20_240_101)
+_KEY = _RNG.integers(1, 2**64 - 1, (2, 3), np.uint64, endpoint=True)
+#: Shifts and multipliers of the two mixers.
+_MIX = ((33, 0xFF51AFD7ED558CCD, 33, 0xC4CEB9FE1A85EC53, 33), (30, 0xBF58476D1CE4E5B9, 27, 0x94D049BB133111EB, 31))
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(_LANE + 1)], np.uint64)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray, stream: int = 0) -> np.ndarray:
     """A 64-bit finaliser (xor-shift, multiply), one to one."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
+    a, m, b, n, c = (np.uint64(v) for v in _MIX[stream])
+    x = x ^ (x >> a)
+    x *= m
+    x ^= x >> b
+    x *= n
+    x ^= x >> c
     return x
 
 
@@ -55,25 +55,22 @@ def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, fold: bool = False, separator: np.ndarray = SPACE, stream: int = 0, step: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    out = np.empty(len(starts), np.uint64)
-    table = _TABLE[stream].copy()
-    if fold:
-        table = table[FOLD]
-    table[separator] = 0
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, "right")))
-        lo, hi = starts[i], ends[j - 1]
-        s = starts[i:j] - lo
-        place = np.arange(hi - lo) - np.repeat(s, np.diff(np.append(s, hi - lo)))
-        values = table[data[lo:hi]]
-        values *= _POWER[stream][place & ((1 << _HIGH) - 1)]
-        if (ends[i:j] - starts[i:j]).max() >> _HIGH:
-            values *= _powers(_TABLE[1 - stream][7] | np.uint64(1), int(place.max() >> _HIGH) + 1)[place >> _HIGH]
-        out[i:j] = mix(np.add.reduceat(values, s) + (ends[i:j] - starts[i:j]).astype(np.uint64))
-        i = j
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, fold: bool = False, stream: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; `fold` takes A-Z as a-z."""
+    raw = np.zeros(len(data) + _LANE, np.uint8)
+    raw[: len(data)] = FOLD[data] if fold else data
+    lanes = np.ndarray(len(data) + 1, "<u8", raw, 0, (1,))  # the eight bytes from each byte on
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + _KEY[stream, 0], stream)
+    at, turn = np.flatnonzero(size <= LONG), 0
+    while len(at):
+        left = size[at] - turn
+        lane = lanes[starts[at] + turn] & _MASK[np.minimum(left, _LANE)]
+        out[at] = mix(out[at] ^ lane, stream)
+        at, turn = at[left > _LANE], turn + _LANE
+    key = _KEY[stream].tobytes()
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
     return out
 
 
@@ -83,8 +80,9 @@ def windows(word: np.ndarray, width: int, stream: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
-    base = _BASE[stream] | np.uint64(1)
+    base = _KEY[stream, 1] | np.uint64(1)
     for k in range(width):
+        total ^= total >> np.uint64(29)
         total *= base
         total += word[k : k + n]
-    return mix(total)
+    return mix(total, stream)
