@@ -22,6 +22,8 @@ from ..ship import ship
 
 #: Text bytes that one numpy step works on; temporaries are about 40 times that.
 STEP_BYTES = 1 << 20
+#: Spark's setting that ends the shuffle files of a query with the query.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,8 +45,14 @@ class Scratch:
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        """Writes `df` and reads it back; its shuffle files go as soon as it is written, for nothing reads them again."""
+        path, conf = f"{self.base}/{name}", self.spark.conf
+        before = conf.get(_CLEAN, "false")
+        conf.set(_CLEAN, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -54,14 +62,6 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished jobs now rather than at the next full collection."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def text_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One array of 64-bit-offset strings, null as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -316,26 +316,22 @@ def groups(documents: DataFrame) -> DataFrame:
     some = sketches.filter("doc_id is not null and n_shingles > 0")
     classes = some.groupBy("print").agg(F.min("doc_id").alias("doc_id"), *[F.min_by(c, "doc_id").alias(c) for c in ("n_shingles", "keys", "sig")])
     classes = scratch.write(classes, "classes")
-    core.free_shuffles(spark)
 
     # candidates
     rows = classes.select(F.explode("keys").alias("key"), "doc_id", "n_shingles", "sig")
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).filter("n > 1")
     shared = scratch.write(rows.join(buckets, "key"), "buckets")
-    core.free_shuffles(spark)
     small = shared.filter(F.col("n") <= BUCKET).select("key", "doc_id", "n_shingles", "sig")
     tree = small.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges, _EDGES)
     star = shared.filter((F.col("n") > BUCKET) & (F.col("doc_id") != F.col("head"))).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     sups = graph.components(tree.unionByName(star), scratch, "candidates").withColumnRenamed("component", "sup")
     scratch.drop("buckets")
-    core.free_shuffles(spark)
 
     # texts of the candidates, each once, in tiles
     counts = sups.groupBy("sup").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
     members = sups.join(counts, "sup").select(F.col("node").alias("doc_id"), "sup", "tiles", F.pmod(F.xxhash64("node"), "tiles").alias("tile"))
     texts = docs.filter("doc_id is not null").mapInArrow(_compress, "doc_id long, packed binary")
     gathered = scratch.write(texts.join(members, "doc_id").repartition("sup", "tile").sortWithinPartitions("sup", "tile"), "texts")
-    core.free_shuffles(spark)
     order = ["sup", "tile"]
     local = scratch.write(gathered.repartition(*order).sortWithinPartitions(*order).mapInArrow(_tile_links, _LOCAL), "tiles")
     found = local.groupBy("doc_id").agg(F.min("local").alias("component_id"))
