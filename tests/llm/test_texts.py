@@ -106,8 +106,8 @@ def test_minhash_large_groups_in_tiles(spark, monkeypatch):
 
 
 def test_minhash_estimate_is_corrected():
-    values, bounds = minhash.sets(pa.array([cases.prose(1, 400), cases.prose(1, 400)[:-1] + "z", cases.prose(77, 400)], pa.large_string()))
-    _, _, sig = minhash.sketch(values, bounds)
+    values, more, bounds = minhash.sets(pa.array([cases.prose(1, 400), cases.prose(1, 400)[:-1] + "z", cases.prose(77, 400)], pa.large_string()), both=True)
+    _, _, sig = minhash.sketch(values, more, bounds)
     assert minhash.estimate(sig[:1], sig[1:2])[0] > 0.9
     assert abs(minhash.estimate(sig[:1], sig[2:3])[0]) < 0.2
 

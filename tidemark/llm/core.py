@@ -62,6 +62,23 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of one key that a shuffled join may bring together.
+HOT = 1_000_000
+
+
+def attach(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """`left` joined with `right`, which has one row a key and says in `n` how many rows of `left` have it; `n` goes.
+
+    Keys of over `HOT` rows, at most one for each `HOT` rows of `left`, are broadcast; all others are shuffled, so no task
+    gets more than `HOT` rows of a key. `right` should be a written table.
+    """
+    many = right.filter(F.col(n) > HOT)
+    if many.isEmpty():
+        return left.join(right.drop(n), key)
+    few = left.join(F.broadcast(many.select(key)), key, "left_anti").join(right.filter(F.col(n) <= HOT).drop(n), key)
+    return few.unionByName(left.join(F.broadcast(many.drop(n)), key))
+
+
 def text_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One array of 64-bit-offset strings, null as empty."""
     if isinstance(column, pa.ChunkedArray):

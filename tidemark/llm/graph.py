@@ -12,20 +12,23 @@ def components(edges: DataFrame, scratch: core.Scratch, name: str) -> DataFrame:
     """Rows (node, component): the smallest node reachable from each node of `edges` (a, b).
 
     Each round takes the least label among a node's neighbours and then the label of that label, and is written to the
-    shared folder; only the count of changes comes to the driver. A hub's edges are pre-aggregated before the shuffle.
+    shared folder; only the count of changes comes to the driver. The edges of a hub and the members of a large component
+    meet its label by a broadcast of such nodes alone (`core.attach`), so no task gets them all.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = scratch.write(both.distinct(), f"{name}-edges")
-    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), f"{name}-0")
+    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component"), F.count("*").alias("n")), f"{name}-0")
     turn = 0
     while True:
         turn += 1
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        least = labels.join(near, "node", "left").select("node", F.least("component", "near").alias("via"), F.col("component").alias("was"))
-        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("then"))
-        new = least.join(jump, "via", "left").select("node", F.least("via", "then").alias("component"), "was")
+        near = core.attach(both, labels.select(F.col("node").alias("b"), "component", "n"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        least = labels.join(near, "node").select("node", "n", F.least("component", "near").alias("via"), F.col("component").alias("was"))
+        least = scratch.write(least, f"{name}-least")
+        jump = least.groupBy("via").agg(F.count("*").alias("m")).join(labels.select(F.col("node").alias("via"), F.col("component").alias("then")), "via")
+        jump = scratch.write(jump, f"{name}-jump")
+        new = core.attach(least, jump, "via", "m").select("node", F.least("via", "then").alias("component"), "n", "was")
         new = scratch.write(new, f"{name}-{turn}")
-        scratch.drop(f"{name}-{turn - 1}")
-        labels = new.select("node", "component")
+        scratch.drop(f"{name}-{turn - 1}", f"{name}-least", f"{name}-jump")
+        labels = new.drop("was")
         if new.filter("component <> was").isEmpty():
-            return labels
+            return labels.drop("n")

@@ -5,14 +5,22 @@ shingle). Two documents are linked where 100 * intersection >= 75 * union; a gro
 
 1. Sketch: 128 minima; every 4 of them make a band key (32 bands miss a pair at exactly 0.75 once in 200,000), and the low
    2 bits of each are kept, packed into 32 bytes.
-2. Documents of equal sets are one class from here on (one row a class, its smallest id), whatever its size.
-3. Candidates: classes that share a band key. In a bucket of up to `BUCKET` classes the packed signatures are compared by
+2. Documents of equal sets (128 bits from two independent streams of shingle hashes) are one class from here on, one row a
+   class, whatever its size.
+3. Candidates: classes that share a band key, in chunks of up to `BUCKET`. The packed signatures of a chunk are compared by
    bit counts, corrected for chance collisions (a quarter of the unequal minima agree in 2 bits), and a spanning forest of
-   the pairs at `FLOOR` or more goes on; a larger bucket goes on whole. So candidates grow with members, not with pairs.
-4. The components of those candidates hold every link inside. Each is split into tiles of up to `TILE` documents, whose
-   texts are brought together once, and linked exactly through an inverted list of shingles in one tile. For components
-   of more than one tile, the most central documents of the tiles are linked next, and then every document outside the
-   largest group so far is compared with every tile in blocks. All of it is exact; nothing is capped or sampled.
+   the pairs at `FLOOR` or more goes on; the trees of a bucket of several chunks are joined. Candidates grow with members.
+4. The components of those candidates hold every link inside. Each is split into tiles of bounded documents and shingles;
+   a tile links its own exactly (prefix filter, then whole sets).
+5. Components of several tiles (`across`): links between tiles are found by the same prefix filter as a shuffle. Shingles
+   are ordered rare first. A link whose first common shingle is rare (in up to `RARE` documents of the component) is a pair
+   in that shingle's short list. A link of common shingles only needs documents that are nearly all common; of those with
+   equal common parts the smallest decides, and what is left meets in cells of like size that the bounds allow.
+   Pairs that are one group already are left out, and every pair is confirmed on the full sets.
+
+Rows shuffled are a document's own shingles and band keys; texts travel once, to become sets. Nothing is capped or sampled:
+the one step that can grow faster than the rows is that last meeting of documents made of nearly the same common shingles
+that are still linked with nothing in common (`cells`).
 
 Defined cases: null or empty text, or one without words, has an empty set, `n_shingles` 0, and is linked with nothing. A
 null doc_id takes no part: component_id is null and kept true. Rows that share a doc_id are one node with the sets of all
@@ -36,7 +44,12 @@ SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 2
 PERCENT = 75
 #: Least estimate that is worth an exact look: 5 standard deviations under PERCENT.
 FLOOR = 0.5
-BUCKET, TILE = 512, 1500
+#: Classes in a chunk of a bucket; documents and shingles in a tile.
+BUCKET, TILE, TILE_SHINGLES = 512, 1500, 1 << 20
+#: Documents of a component up to which a shingle is rare.
+RARE = 32
+#: Band keys by which the heads of tiles meet.
+HEAD_KEYS = 4
 _N = BANDS * ROWS
 _RNG = np.random.default_rng(4_000_037)
 _XOR = _RNG.integers(0, 2**64 - 1, _N, np.uint64, endpoint=True)
@@ -45,36 +58,39 @@ _BAND = _RNG.integers(0, 2**64 - 1, (BANDS, ROWS), np.uint64, endpoint=True) | n
 _PRINT = _RNG.integers(0, 2**64 - 1, 2, np.uint64, endpoint=True)
 
 
-def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text, ascending, end to end, and the n+1 bounds."""
+def sets(texts: pa.Array, *, both: bool = False) -> tuple[np.ndarray, ...]:
+    """The distinct shingle hashes of each text, ascending, end to end, and the n+1 bounds; with `both` their hashes of the second stream too."""
     data, offsets = core.bytes_of(texts)
     starts, ends, bounds = words.spans(data, offsets)
-    word = words.hashes(data, starts, ends, fold=True)
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
-    full = np.flatnonzero(np.repeat(bounds[1:], n) - np.arange(len(word)) >= SHINGLE)
-    values, owner = words.windows(word, SHINGLE)[full] if len(full) else np.zeros(0, np.uint64), doc[full]
+    full = np.flatnonzero(np.repeat(bounds[1:], n) - np.arange(len(doc)) >= SHINGLE)
     short = np.flatnonzero((n > 0) & (n < SHINGLE))
-    if len(short):
-        one = np.array([words.windows(word[bounds[i] : bounds[i + 1]], int(n[i]))[0] + np.uint64(n[i]) for i in short], np.uint64)
-        values, owner = np.concatenate([values, one]), np.concatenate([owner, short])
-        order = np.argsort(owner, kind="stable")
-        values, owner = values[order], owner[order]
-    cuts = np.searchsorted(owner, np.arange(len(n) + 1))
+    owner = np.concatenate([doc[full], short])
+    streams = []
+    for stream in (0, 1) if both else (0,):
+        word = words.hashes(data, starts, ends, fold=True, stream=stream)
+        values = words.windows(word, SHINGLE, stream)[full] if len(full) else np.zeros(0, np.uint64)
+        one = [words.windows(word[bounds[i] : bounds[i + 1]], int(n[i]), stream)[0] + np.uint64(n[i]) for i in short]
+        streams.append(np.concatenate([values, np.array(one, np.uint64)]))
+    order = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[order], np.arange(len(n) + 1))
     for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        values[i:j].sort()
+        part = order[i:j]
+        order[i:j] = part[np.argsort(streams[0][part])]
+    values, owner = streams[0][order], owner[order]
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    values, owner = values[new], owner[new]
-    return values, np.searchsorted(owner, np.arange(len(n) + 1))
+    out = [x[order][new] for x in streams]
+    return *out, np.searchsorted(owner[new], np.arange(len(n) + 1))
 
 
-def sketch(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the non-empty sets: 128-bit fingerprints, band keys, and packed low bits."""
+def sketch(values: np.ndarray, more: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the non-empty sets: 128-bit fingerprints (64 of each stream), band keys, and packed low bits."""
     starts = bounds[:-1][np.diff(bounds) > 0]
     if not len(starts):
         return np.zeros((0, 2), np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros((0, _N * BITS // 64), np.uint64)
-    prints = np.stack([np.add.reduceat(words.mix(values ^ p), starts) for p in _PRINT], 1)
+    prints = np.stack([np.add.reduceat(words.mix(x ^ p, k), starts) for k, (x, p) in enumerate(zip((values, more), _PRINT))], 1)
     minima = np.empty((len(starts), _N), np.uint64)
     for k in range(_N):
         v = values ^ _XOR[k]
@@ -103,9 +119,9 @@ _SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in core.steps(batches):
-        values, bounds = sets(core.text_of(piece.column("text")))
+        values, more, bounds = sets(core.text_of(piece.column("text")), both=True)
         n = np.diff(bounds)
-        prints, keys, packed = sketch(values, bounds)
+        prints, keys, packed = sketch(values, more, bounds)
         some = n > 0
         row = np.cumsum(some) - 1
         take = [int(r) if s else None for r, s in zip(row, some)]
@@ -119,23 +135,39 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), fixed(prints, 16), lists.take(index), fixed(packed, width)], names=_SKETCH.names)
 
 
-def _forest(ids: np.ndarray, size: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning edges of a bucket's pairs whose sizes allow a link and whose estimate is at FLOOR or more."""
-    n, out = len(ids), []
+def _forest(ids: np.ndarray, size: np.ndarray, sig: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """Spanning edges of a chunk's pairs whose sizes allow a link and whose estimate is at FLOOR or more, and the roots."""
+    n, out, roots = len(ids), [], []
     left = np.ones(n, bool)
     while left.any():
         root = int(np.argmax(left))
         left[root] = False
+        roots.append(int(ids[root]))
         queue = [root]
         while queue and left.any():
             i = queue.pop()
             rest = np.flatnonzero(left)
-            ok = (100 * np.minimum(size[rest], size[i]) >= PERCENT * np.maximum(size[rest], size[i])) & (estimate(sig[rest], sig[i]) >= FLOOR)
+            ok = _fits(size[rest], size[i]) & (estimate(sig[rest], sig[i]) >= FLOOR)
             new = rest[ok]
             left[new] = False
             out += [(int(ids[i]), int(ids[j])) for j in new]
             queue += new.tolist()
-    return out
+    return out, roots
+
+
+def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be linked at all."""
+    return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+
+
+def _linked(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes a and b with so many shingles in common are linked."""
+    return (both > 0) & (100 * both >= PERCENT * (a + b - both))
+
+
+def _prefixes(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of a set's rarest shingles must hold one of any linked set's: as the larger of the two, and as the smaller."""
+    return size + 1 - -(-PERCENT * size // 100), size + 1 - -(-2 * PERCENT * size // (100 + PERCENT))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -182,120 +214,280 @@ def _edge_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _runs(batches, ["key"]):
-        ids, size = np.asarray(table.column("doc_id")), np.asarray(table.column("n_shingles"))
+    by = ["key", "chunk"]
+    for table in _runs(batches, by):
+        ids, size, chunks, head = (np.asarray(table.column(c)) for c in ("doc_id", "n_shingles", "chunks", "head"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(ids), -1)
-        cuts = np.array(_cuts(table, ["key"]))
+        cuts = np.array(_cuts(table, by))
         n = np.diff(cuts)
-        at = cuts[:-1][n == 2]  # pairs all at once
-        ok = (100 * np.minimum(size[at], size[at + 1]) >= PERCENT * np.maximum(size[at], size[at + 1])) & (estimate(sig[at], sig[at + 1]) >= FLOOR)
+        at = cuts[:-1][(n == 2) & (chunks[cuts[:-1]] == 1)]  # pairs all at once
+        ok = _fits(size[at], size[at + 1]) & (estimate(sig[at], sig[at + 1]) >= FLOOR)
         edges = list(zip(ids[at[ok]].tolist(), ids[at[ok] + 1].tolist()))
-        for i, j in zip(cuts[:-1][n > 2].tolist(), cuts[1:][n > 2].tolist()):
-            edges += _forest(ids[i:j], size[i:j], sig[i:j])
+        many = (n > 2) | (chunks[cuts[:-1]] > 1)
+        for i, j in zip(cuts[:-1][many].tolist(), cuts[1:][many].tolist()):
+            tree, roots = _forest(ids[i:j], size[i:j], sig[i:j])
+            edges += tree
+            if chunks[i] > 1:
+                edges += [(r, int(head[i])) for r in roots if r != head[i]]
         if edges:
             yield _edge_batch([e[0] for e in edges], [e[1] for e in edges])
 
 
-class Inverted:
-    """Exact intersections of the sets of one tile."""
+class Postings:
+    """Lists of documents by shingle number, of some of the shingles of each."""
+
+    def __init__(self, term: np.ndarray, doc: np.ndarray, n_terms: int):
+        order = np.argsort(term, kind="stable")
+        self.doc, self.bounds = doc[order], np.searchsorted(term[order], np.arange(n_terms + 1))
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        first = self.bounds[terms]
+        n = self.bounds[terms + 1] - first
+        return self.doc[np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+
+
+class Tile:
+    """The sets of one tile, their shingles numbered rare first."""
 
     def __init__(self, values: np.ndarray, bounds: np.ndarray):
         self.n, self.size = len(bounds) - 1, np.diff(bounds)
-        order = np.argsort(values, kind="stable")
-        s = values[order]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        first = np.flatnonzero(new)
-        self.first, self.count = first, np.diff(np.append(first, len(s)))
-        self.posting = np.repeat(np.arange(self.n), self.size)[order]
-        self.term = np.empty(len(s), np.int64)
-        self.term[order] = np.cumsum(new) - 1
-        self.bounds = bounds
-
-    def central(self) -> np.ndarray:
-        """How widely a document's shingles are shared, on average."""
-        total = np.add.reduceat(np.append(self.count[self.term], 0), np.minimum(self.bounds[:-1], len(self.term)))
-        return np.where(self.size > 0, total / np.maximum(self.size, 1), 0)
-
-    def linked(self, i: int) -> np.ndarray:
-        terms = self.term[self.bounds[i] : self.bounds[i + 1]]
-        terms = terms[self.count[terms] > 1]
-        c = self.count[terms]
-        at = np.repeat(self.first[terms] - np.append(0, np.cumsum(c)[:-1]), c) + np.arange(c.sum())
-        both = np.bincount(self.posting[at], minlength=self.n)
-        ok = (both > 0) & (100 * both >= PERCENT * (self.size + self.size[i] - both))
-        ok[i] = False
-        return ok
+        _, term, count = np.unique(values, return_inverse=True, return_counts=True)
+        rank = np.empty(len(count), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+        doc = np.repeat(np.arange(self.n), self.size)
+        order = np.lexsort((rank[term], doc))
+        self.term, self.bounds = rank[term][order], bounds
+        self.shared = np.zeros(self.n)
+        np.add.at(self.shared, doc, count[term] / np.maximum(self.size, 1)[doc])
+        place = np.arange(len(values)) - np.repeat(bounds[:-1], self.size)
+        self.larger, self.smaller = _prefixes(self.size)
+        lists = [Postings(self.term[w], doc[w], len(count)) for w in (place < np.repeat(k, self.size) for k in (self.larger, self.smaller))]
+        self.as_larger, self.as_smaller = lists
+        self.mark = np.zeros(len(count), bool)
+
+    def linked(self, i: int, among: np.ndarray) -> np.ndarray:
+        """The documents of the mask `among` that are linked with i."""
+        own = self.term[self.bounds[i] : self.bounds[i + 1]]
+        near = np.concatenate([self.as_smaller.of(own[: self.larger[i]]), self.as_larger.of(own[: self.smaller[i]])])
+        near = np.unique(near[among[near]])
+        near = near[_fits(self.size[near], self.size[i])]
+        if not len(near):
+            return near
+        n = self.size[near]
+        starts = np.append(0, np.cumsum(n)[:-1])
+        at = np.repeat(self.bounds[near] - starts, n) + np.arange(n.sum())
+        self.mark[own] = True
+        both = np.add.reduceat(self.mark[self.term[at]].astype(np.int64), starts)
+        self.mark[own] = False
+        return near[_linked(both, n, self.size[i])]
 
 
 def link_tile(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Group number of each set of a tile, and whether it is the most central of its group."""
-    inv = Inverted(values, bounds)
-    label, heads = np.full(inv.n, -1), np.zeros(inv.n, bool)
-    for root in np.argsort(-inv.central(), kind="stable").tolist():
-        if label[root] >= 0:
+    """Group number of each set of a tile, and whether it is the most central of a group of two or more."""
+    tile = Tile(values, bounds)
+    label, left = np.full(tile.n, -1), np.ones(tile.n, bool)
+    for root in np.argsort(-tile.shared, kind="stable").tolist():
+        if not left[root]:
             continue
-        label[root], heads[root], queue = root, True, [root]
-        while queue and (label < 0).any():
-            new = np.flatnonzero(inv.linked(queue.pop()) & (label < 0))
-            label[new] = root
+        label[root], left[root], queue = root, False, [root]
+        while queue and left.any():
+            new = tile.linked(queue.pop(), left)
+            label[new], left[new] = root, False
             queue += new.tolist()
+    heads = np.zeros(tile.n, bool)
+    heads[np.flatnonzero(np.bincount(label, minlength=tile.n) > 1)] = True
     return label, heads
 
 
-def _texts(table: pa.Table) -> pa.Array:
-    import zstandard
+def _sets_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), np.uint64), np.append(0, np.cumsum([len(b) // 8 for b in blobs])).astype(np.int64)
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    return pa.array([unpack(x) for x in table.column("packed").to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    raw = np.ascontiguousarray(values).tobytes()
+    return pa.array([raw[8 * i : 8 * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
 
 
-_LOCAL = "doc_id long, sup long, tiles long, tile long, local long, central boolean"
+_BY = ["sup", "tile"]
+_LOCAL = "doc_id long, sup long, tiles long, tile long, local long, head boolean"
 
 
 def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys = ["sup", "tile"]
-    for table in _runs(batches, keys):
-        cuts = _cuts(table, keys)
-        at = 0
-        while at < len(cuts) - 1:  # some runs at a time, for bounded temporaries
-            to = at + 1
-            while to < len(cuts) - 1 and cuts[to + 1] - cuts[at] <= TILE:
-                to += 1
-            part = table.slice(cuts[at], cuts[to] - cuts[at])
-            values, bounds = sets(_texts(part))
-            ids = np.asarray(part.column("doc_id"))
-            local, central = np.empty(len(ids), np.int64), np.zeros(len(ids), bool)
-            for i, j in zip(cuts[at:to], cuts[at + 1 : to + 1]):
-                i, j = i - cuts[at], j - cuts[at]
-                label, heads = link_tile(values[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                own = ids[i:j]
-                least = np.full(j - i, np.iinfo(np.int64).max)
-                np.minimum.at(least, label, own)
-                local[i:j] = least[label]
-                biggest = np.bincount(label, minlength=j - i).argmax()
-                central[i:j] = heads & (label == biggest)
-            yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in ("doc_id", "sup", "tiles", "tile")), pa.array(local), pa.array(central)], names=["doc_id", "sup", "tiles", "tile", "local", "central"])
-            at = to
-
-
-def _outlier_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from the outliers of a block to the groups of one tile."""
-    keys = ["sup", "block", "tile"]
-    for table in _runs(batches, keys):
-        cuts = _cuts(table, keys)
+    for table in _runs(batches, _BY):
+        cuts = _cuts(table, _BY)
         for i, j in zip(cuts, cuts[1:]):
             part = table.slice(i, j - i)
-            inv = Inverted(*sets(_texts(part)))
-            ids, group, out = np.asarray(part.column("doc_id")), np.asarray(part.column("group")), np.asarray(part.column("outlier"))
-            a, b = [], []
-            for k in np.flatnonzero(out).tolist():
-                to = np.flatnonzero(inv.linked(k) & (group != group[k]))
-                _, first = np.unique(group[to], return_index=True)
-                b += ids[to[first]].tolist()
-                a += [int(ids[k])] * len(first)
-            if a:
-                yield _edge_batch(a, b)
+            own = np.asarray(part.column("doc_id"))
+            label, head = link_tile(*_sets_of(part.column("values")))
+            least = np.full(j - i, np.iinfo(np.int64).max)
+            np.minimum.at(least, label, own)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in ("doc_id", "sup", "tiles", "tile")), pa.array(least[label]), pa.array(head)], names=["doc_id", "sup", "tiles", "tile", "local", "head"])
+
+
+def _tile_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each tile and how many of its documents have them."""
+    for table in _runs(batches, _BY):
+        cuts = _cuts(table, _BY)
+        for i, j in zip(cuts, cuts[1:]):
+            part = table.slice(i, j - i)
+            term, n = np.unique(_sets_of(part.column("values"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), part.column(c)[0].as_py())) for c in _BY] + [pa.array(term.view(np.int64)), pa.array(n)], names=[*_BY, "term", "n"])
+
+
+_PARTS = "core boolean, sup long, key long, doc_id long, group long, size long, common long, smaller boolean, values binary"
+
+
+def _split(docs: pa.Table, common: pa.Table) -> pa.Table:
+    """A tile's rare prefix shingles, one row each, and its documents made of common shingles for the most part."""
+    values, bounds = _sets_of(docs.column("values"))
+    ids, group, sup = (np.asarray(docs.column(c)) for c in ("doc_id", "group", "sup"))
+    size = np.diff(bounds)
+    doc = np.repeat(np.arange(len(ids)), size)
+    often = np.isin(values, np.asarray(common.column("term")).view(np.uint64))
+    n_common = np.bincount(doc[often], minlength=len(ids))
+    # rare shingles by value come first in the order of a document's shingles
+    rare, owner = values[~often], doc[~often]
+    place = np.arange(len(rare)) - np.searchsorted(owner, owner)
+    larger, smaller = _prefixes(size)
+    w = np.flatnonzero(place < larger[owner])
+    o = owner[w]
+    none = np.zeros(len(w), bool)
+    post = [none, sup[o], rare[w].view(np.int64), ids[o], group[o], size[o], n_common[o], place[w] < smaller[o], pa.nulls(len(w), pa.binary())]
+    c = np.flatnonzero(100 * n_common >= PERCENT * size)
+    mine = np.isin(doc, c) & often
+    v, n = values[mine], n_common[c]
+    cuts = np.append(0, np.cumsum(n))
+    key = np.add.reduceat(words.mix(v ^ _PRINT[0]), cuts[:-1]) if len(c) else v
+    core_rows = [np.ones(len(c), bool), sup[c], key.view(np.int64), ids[c], group[c], size[c], n, np.zeros(len(c), bool), _blobs(v, cuts)]
+    names = ["core", "sup", "key", "doc_id", "group", "size", "common", "smaller", "values"]
+    return pa.concat_tables([pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in rows], names=names) for rows in (post, core_rows)])
+
+
+def _posting_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different groups in the list of a rare shingle, of up to RARE documents."""
+    by = ["sup", "key"]
+    for table in _runs(batches, by):
+        ids, group, size, smaller = (np.asarray(table.column(c)) for c in ("doc_id", "group", "size", "smaller"))
+        cuts = np.array(_cuts(table, by))
+        n, a, b = np.diff(cuts), [], []
+        for m in np.unique(n[n > 1]).tolist():  # all lists of one length at a time
+            i, j = np.triu_indices(m, 1)
+            at = cuts[:-1][n == m][:, None]
+            a.append((at + i).ravel())
+            b.append((at + j).ravel())
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            first = np.where(size[a] < size[b], smaller[a], np.where(size[a] > size[b], smaller[b], smaller[a] | smaller[b]))
+            ok = (group[a] != group[b]) & _fits(size[a], size[b]) & first
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a[ok]], ids[b[ok]])), pa.array(np.maximum(ids[a[ok]], ids[b[ok]]))], names=["a", "b"])
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = []
+        for x, y in zip(batch.column("left"), batch.column("right")):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(bool(_linked(both, len(x), len(y))))
+        keep = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], names=["a", "b"])
+
+
+def confirm(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are linked."""
+    side = lambda k, name: sets_of.select(F.col("doc_id").alias(k), F.col("values").alias(name))
+    both = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(_confirm, _EDGES)
+
+
+def _cell_links(probes: pa.Table, holders: pa.Table) -> pa.Table:
+    """Links by common shingles of the documents of one block with no larger ones of another."""
+    a, b = [], []
+    if probes.num_rows and holders.num_rows:
+        (pv, pb), (hv, hb) = _sets_of(probes.column("values")), _sets_of(holders.column("values"))
+        (pid, pg, ps), (hid, hg, hs) = ([np.asarray(t.column(c)) for c in ("doc_id", "group", "size")] for t in (probes, holders))
+        terms = np.unique(hv)
+        lists = Postings(np.searchsorted(terms, hv), np.repeat(np.arange(len(hid)), np.diff(hb)), len(terms))
+        for i in range(len(pid)):
+            own = np.searchsorted(terms, pv[pb[i] : pb[i + 1]])
+            own = own[own < len(terms)]
+            own = own[np.isin(terms[own], pv[pb[i] : pb[i + 1]])]
+            both = np.bincount(lists.of(own), minlength=len(hid))
+            to = np.flatnonzero(_linked(both, hs, ps[i]) & (hg != pg[i]) & (hs <= ps[i]))
+            to = to[np.unique(hg[to], return_index=True)[1]]
+            a += [int(pid[i])] * len(to)
+            b += hid[to].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def cells(reps: DataFrame, scratch: core.Scratch) -> DataFrame:
+    """Links by common shingles between documents (sup, doc_id, group, size, common, values) of different groups.
+
+    The smaller of two such is at least PERCENT of the larger and at most what the larger's common shingles allow, so a
+    document meets cells of sizes in between; a document of a component's largest group meets only those outside it.
+    """
+    count = scratch.write(reps.groupBy("sup", "group").agg(F.count("*").alias("k")), "core-groups")
+    main = count.groupBy("sup").agg(F.max_by("group", F.struct("k", "group")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("n")).filter("groups > 1").drop("groups")
+    rows = core.attach(reps, scratch.write(main, "core-main"), "sup").withColumn("inside", F.col("group") == F.col("main"))
+    rows = scratch.write(rows, "core-rows")
+    cell = lambda c: F.floor(F.log(c) / F.log(F.lit(1.1)))
+    hold = rows.withColumn("cell", cell(F.col("size")))
+    most = F.least(F.col("size"), F.floor(F.col("common") * (100 + PERCENT) / PERCENT) - F.col("size"))
+    least = F.ceil(F.col("size") * PERCENT / 100)
+    ask = rows.filter(most >= least).withColumn("cell", F.explode(F.sequence(cell(least), cell(most))))
+    ask = ask.withColumn("side", F.explode(F.when(F.col("inside"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    by = ["sup", "cell", "side"]
+    room = F.ceil(F.greatest(F.count("*") / TILE, F.sum("common") / TILE_SHINGLES)).cast("int")
+    shape = hold.groupBy("sup", "cell", F.col("inside").alias("side")).agg(room.alias("blocks")).join(ask.groupBy(*by).agg(room.alias("chunks")), by)
+    shape = scratch.write(shape, "core-shape")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    cols = ["doc_id", "group", "size", "values"]
+    ask = ask.join(shape, by).select(*by, own("chunks").alias("chunk"), upto("blocks").alias("block"), *cols)
+    hold = hold.withColumn("side", F.col("inside")).join(shape, by).select(*by, own("blocks").alias("block"), upto("chunks").alias("chunk"), *cols)
+    by = [*by, "block", "chunk"]
+    ask, hold = scratch.write(ask, "core-probes"), scratch.write(hold, "core-holders")
+    return ask.groupBy(*by).cogroup(hold.groupBy(*by)).applyInArrow(_cell_links, _EDGES)
+
+
+def across(tiles: DataFrame, local: DataFrame, keys: DataFrame, scratch: core.Scratch) -> DataFrame:
+    """node, group of the documents of components of several tiles: `tiles` (doc_id, sup, tile, values), `local` the links inside tiles, `keys` (doc_id, keys)."""
+    edges = local.select(F.col("doc_id").alias("a"), F.col("local").alias("b"))
+    # heads of tiles that share a band key
+    heads = local.filter("head").select("doc_id", "sup").join(keys, "doc_id")
+    heads = scratch.write(heads.select("doc_id", F.explode(F.slice("keys", 1, HEAD_KEYS)).alias("key"), "sup").select("doc_id", F.xxhash64("sup", "key").alias("at")), "heads")
+    first = scratch.write(heads.groupBy("at").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1"), "first-heads")
+    pairs = core.attach(heads, first, "at").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    edges = scratch.write(edges.unionByName(confirm(pairs, tiles)), "edges-heads")
+    groups = graph.components(edges, scratch, "groups-heads").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "group")
+
+    # which shingles are common in their component, told to each tile
+    terms = scratch.write(tiles.repartition(*_BY).sortWithinPartitions(*_BY).mapInArrow(_tile_terms, "sup long, tile long, term long, n long"), "terms")
+    common = terms.groupBy("sup", "term").agg(F.sum("n").alias("all")).filter(F.col("all") > RARE).select("sup", "term")
+    common = terms.join(common, ["sup", "term"]).select("sup", "tile", "term")
+    held = tiles.join(groups, "doc_id").select("sup", "tile", "doc_id", "group", "values")
+    parts = scratch.write(held.groupBy(*_BY).cogroup(common.groupBy(*_BY)).applyInArrow(_split, _PARTS), "parts")
+    scratch.drop("terms")
+    cores = parts.filter("core").withColumn("part", F.xxhash64("sup", "key"))
+
+    # pairs of a rare shingle; a document and the smallest one of the same common part
+    by = ["sup", "key"]
+    rare = parts.filter("NOT core").select("sup", "key", "doc_id", "group", "size", "smaller")
+    pairs = rare.repartition(*by).sortWithinPartitions(*by).mapInArrow(_posting_pairs, _EDGES)
+    small = cores.groupBy("part").agg(F.min(F.struct("size", "doc_id", "group")).alias("s"), F.count("*").alias("n"))
+    small = scratch.write(small.select("part", F.col("s.doc_id").alias("b"), F.col("s.size").alias("least"), F.col("s.group").alias("other"), "n"), "smallest")
+    allows = F.col("common") * (100 + PERCENT) >= PERCENT * (F.col("size") + F.col("least"))
+    star = core.attach(cores.select("part", F.col("doc_id").alias("a"), "group", "size", "common"), small, "part").filter(allows & (F.col("group") != F.col("other")))
+    edges = scratch.write(edges.unionByName(confirm(pairs.unionByName(star.select("a", "b")).distinct(), tiles)), "edges-pairs")
+    groups = graph.components(edges, scratch, "groups-pairs")
+
+    # of each common part and group the smallest document, against those of other common parts
+    cores = cores.drop("group").join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "doc_id")
+    reps = cores.groupBy("sup", "part", "group").agg(F.min(F.struct("size", "doc_id", "common")).alias("s")).select("sup", "group", "s.*")
+    reps = scratch.write(reps.join(cores.select("doc_id", "values"), "doc_id"), "representatives")
+    late = scratch.write(cells(reps, scratch), "edges-cells")
+    return groups if late.isEmpty() else graph.components(edges.unionByName(late), scratch, "groups-cells")
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,62 +499,70 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([pack(x) for x in texts], pa.binary())], names=["doc_id", "packed"])
 
 
+def _unpack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            values, bounds = sets(pa.array([unpack(row.column("packed")[0].as_py())], pa.large_binary()).cast(pa.large_string()))
+            yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("doc_id", "sup", "tiles", "tile")), _blobs(values, bounds)], names=["doc_id", "sup", "tiles", "tile", "values"])
+
+
 def groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `documents` (doc_id, text)."""
+    rows = components(documents.select("doc_id", "text"))
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def components(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and print (the fingerprint of the set, null if empty) of every row."""
     spark = documents.sparkSession
     scratch = core.Scratch(spark, "minhash")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     sketches = scratch.write(docs.mapInArrow(_sketches, _SKETCH), "sketches")
     some = sketches.filter("doc_id is not null and n_shingles > 0")
-    classes = some.groupBy("print").agg(F.min("doc_id").alias("doc_id"), *[F.min_by(c, "doc_id").alias(c) for c in ("n_shingles", "keys", "sig")])
+    classes = some.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *[F.min_by(c, "doc_id").alias(c) for c in ("n_shingles", "keys", "sig")])
     classes = scratch.write(classes, "classes")
 
     # candidates
     rows = classes.select(F.explode("keys").alias("key"), "doc_id", "n_shingles", "sig")
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).filter("n > 1")
-    shared = scratch.write(rows.join(buckets, "key"), "buckets")
-    small = shared.filter(F.col("n") <= BUCKET).select("key", "doc_id", "n_shingles", "sig")
-    tree = small.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges, _EDGES)
-    star = shared.filter((F.col("n") > BUCKET) & (F.col("doc_id") != F.col("head"))).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    sups = graph.components(tree.unionByName(star), scratch, "candidates").withColumnRenamed("component", "sup")
+    buckets = scratch.write(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / BUCKET)), "buckets")
+    shared = core.attach(rows, buckets, "key").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks"))
+    tree = shared.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_bucket_edges, _EDGES)
+    sups = graph.components(tree, scratch, "candidates").select(F.col("node").alias("doc_id"), F.col("component").alias("sup"))
     scratch.drop("buckets")
 
-    # texts of the candidates, each once, in tiles
-    counts = sups.groupBy("sup").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
-    members = sups.join(counts, "sup").select(F.col("node").alias("doc_id"), "sup", "tiles", F.pmod(F.xxhash64("node"), "tiles").alias("tile"))
+    # the sets of the candidates, from their texts, each once, in tiles
+    members = scratch.write(sups.join(classes.select("doc_id", "n_shingles"), "doc_id"), "members")
+    room = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n_shingles") / TILE_SHINGLES)).cast("long")
+    counts = scratch.write(members.groupBy("sup").agg(room.alias("tiles"), F.count("*").alias("n")), "counts")
+    members = core.attach(members.select("doc_id", "sup").distinct(), counts, "sup").select("doc_id", "sup", "tiles", F.pmod(F.xxhash64("doc_id"), "tiles").alias("tile"))
     texts = docs.filter("doc_id is not null").mapInArrow(_compress, "doc_id long, packed binary")
-    gathered = scratch.write(texts.join(members, "doc_id").repartition("sup", "tile").sortWithinPartitions("sup", "tile"), "texts")
-    order = ["sup", "tile"]
-    local = scratch.write(gathered.repartition(*order).sortWithinPartitions(*order).mapInArrow(_tile_links, _LOCAL), "tiles")
-    found = local.groupBy("doc_id").agg(F.min("local").alias("component_id"))
-
-    if not local.filter("tiles > 1").isEmpty():
-        big = local.filter("tiles > 1")
-        inside = big.select(F.col("doc_id").alias("a"), F.col("local").alias("b"))
-        heads = gathered.join(big.filter("central").select("doc_id", "sup"), ["doc_id", "sup"], "left_semi").withColumn("tile", F.floor(F.col("tile") / TILE)).withColumn("tiles", F.lit(1).cast("long"))
-        across = heads.repartition(*order).sortWithinPartitions(*order).mapInArrow(_tile_links, _LOCAL).select(F.col("doc_id").alias("a"), F.col("local").alias("b"))
-        edges = scratch.write(inside.unionByName(across), "edges-0")
-        now = graph.components(edges, scratch, "tiles-0").withColumnRenamed("component", "group")
-        # every document outside its candidate component's largest group, against every tile
-        held = gathered.filter("tiles > 1").join(now.withColumnRenamed("node", "doc_id"), "doc_id")
-        held = scratch.write(held, "held")
-        sizes = held.groupBy("sup", "group").count()
-        main = sizes.groupBy("sup").agg(F.max_by("group", F.struct("count", "group")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
-        main = main.filter(F.col("all") > F.col("most")).select("sup", "main", F.ceil((F.col("all") - F.col("most")) / TILE).cast("long").alias("blocks"))
-        joined = held.join(main, "sup")
-        outliers = joined.filter(F.col("group") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks")).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("outlier", F.lit(True))
-        rest = joined.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("outlier", F.lit(False))
-        cols = ["sup", "block", "tile", "doc_id", "group", "outlier", "packed"]
-        by = ["sup", "block", "tile"]
-        late = outliers.select(cols).unionByName(rest.select(cols)).repartition(*by).sortWithinPartitions(*by).mapInArrow(_outlier_links, _EDGES)
-        late = scratch.write(late, "edges-1")
-        if not late.isEmpty():
-            now = graph.components(edges.unionByName(late), scratch, "tiles-1").withColumnRenamed("component", "group")
-        found = found.join(now.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.least("component_id", "group").alias("component_id"))
-
-    # a class's component, then each document's through its class; documents of one id and several sets meet by the id
-    by_class = classes.select("print", F.col("doc_id")).join(found, "doc_id", "left").select("print", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "print").join(by_class, "print", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component_id", "doc_id"), "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    tiles = scratch.write(texts.join(members, "doc_id").mapInArrow(_unpack_sets, "doc_id long, sup long, tiles long, tile long, values binary"), "tiles")
+    local = scratch.write(tiles.repartition(*_BY).sortWithinPartitions(*_BY).mapInArrow(_tile_links, _LOCAL), "local")
+    found = local.filter("tiles = 1").groupBy("doc_id").agg(F.min("local").alias("component"))
+    several = local.filter("tiles > 1")
+    if not several.isEmpty():
+        found = found.unionByName(across(tiles.filter("tiles > 1"), several, classes.select("doc_id", "keys"), scratch).select(F.col("node").alias("doc_id"), "component"))
+    found = scratch.write(found, "found")
+
+    # ids with several sets are one node: their classes meet through them
+    twice = some.groupBy("doc_id").agg(F.min(F.xxhash64("print")).alias("low"), F.max(F.xxhash64("print")).alias("high")).filter("low <> high").select("doc_id")
+    twice = scratch.write(some.select("doc_id", "print").join(twice, "doc_id"), "twice")
+    if not twice.isEmpty():
+        by_id = twice.join(classes.select("print", F.col("doc_id").alias("b")), "print").select(F.col("doc_id").alias("a"), "b")
+        edges = found.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(by_id)
+        found = graph.components(edges, scratch, "found").withColumnRenamed("node", "doc_id")
+
+    # a class's component, then each document's through its class
+    by_class = scratch.write(classes.select("print", "doc_id", "n").join(found, "doc_id", "left").select("print", F.coalesce("component", "doc_id").alias("component_id"), "n"), "by-class")
+    in_class = core.attach(some.select("doc_id", "n_shingles", "print"), by_class, "print")
+    alone = sketches.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", "print", F.col("doc_id").alias("component_id"))
+    out = in_class.unionByName(alone)
+    if twice.isEmpty():
+        return out
+    # an empty text of such an id belongs to the id's node too
+    nodes = twice.select("doc_id").distinct().join(found, "doc_id").select("doc_id", "component")
+    return out.join(nodes, "doc_id", "left").withColumn("component_id", F.coalesce("component", "component_id")).drop("component")
