@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import bpe, decontaminate, minhash, substring, tokencount
+from tidemark.llm import bpe, core, decontaminate, minhash, substring, tokencount
 
 from . import cases
 
@@ -91,20 +91,54 @@ def test_minhash_groups(spark):
     assert minhash.groups(cases.empty(spark)).count() == 0
 
 
-def test_minhash_large_groups_in_tiles(spark, monkeypatch):
-    """A chain of near copies, each linked to its neighbours only, over many tiles."""
+@pytest.mark.parametrize("hot", [core.HOT, 3])
+def test_minhash_large_groups_in_tiles(spark, monkeypatch, hot):
+    """A chain of near copies, each linked to its neighbours only, and templates of one frame, over many tiles; with keys that count as hot."""
+    monkeypatch.setattr(core, "HOT", hot)
     monkeypatch.setattr(minhash, "TILE", 4)
     monkeypatch.setattr(minhash, "BUCKET", 3)
+    monkeypatch.setattr(minhash, "RARE", 2)
     words = cases.prose(11, 200).split()
     data = []
     for k in range(30):
         words[(7 * k) % 200] = f"new{k}"
         data.append((100 + k, " ".join(words)))
     data += [(200 + k, cases.prose(50 + k, 60)) for k in range(5)]
+    data += templates(24, 300) + templates(16, 400, rest=8) + templates(10, 500, rest=24)
+    data += [(600, data[3][1] + " and more"), (601, templates(24, 300)[5][1] + " z"), (601, data[9][1]), (601, None)]
     got = collected(minhash.groups(cases.documents(spark, data)), "doc_id", "n_shingles", "component_id", "kept")
     assert got == brute_components(data)
 
 
+def templates(n, first, frame=60, rest=20):
+    """Documents of one frame and so many words of their own: similar, but at the default sizes not linked."""
+    head = cases.prose(5, frame)
+    return [(first + k, head + " " + " ".join(f"own{first + k}x{j}" for j in range(rest))) for k in range(n)]
+
+
+def test_minhash_rows_grow_with_templates_not_with_their_pairs(spark, monkeypatch):
+    """Unlinked documents of one frame that all become candidates: the rows written in between must grow in proportion."""
+    monkeypatch.setattr(minhash, "TILE", 20)
+    monkeypatch.setattr(minhash, "BUCKET", 10)
+    rows, write = [0], core.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        rows[0] += out.count()
+        return out
+
+    monkeypatch.setattr(core.Scratch, "write", counted)
+    seen = {}
+    for n in (150, 600):
+        rows[0] = 0
+        data = templates(n, 1000) + [(7, templates(n, 1000)[n // 2][1] + " tail")]
+        got = minhash.groups(cases.documents(spark, data))
+        linked = got.filter("component_id <> doc_id").collect()
+        assert [(r.doc_id, r.component_id) for r in linked] == [(1000 + n // 2, 7)]
+        seen[n] = rows[0]
+    assert seen[600] < 4.6 * seen[150], seen
+
+
 def test_minhash_estimate_is_corrected():
     values, more, bounds = minhash.sets(pa.array([cases.prose(1, 400), cases.prose(1, 400)[:-1] + "z", cases.prose(77, 400)], pa.large_string()), both=True)
     _, _, sig = minhash.sketch(values, more, bounds)

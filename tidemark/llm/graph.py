@@ -18,17 +18,22 @@ def components(edges: DataFrame, scratch: core.Scratch, name: str) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = scratch.write(both.distinct(), f"{name}-edges")
     labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component"), F.count("*").alias("n")), f"{name}-0")
-    turn = 0
+    nodes, turn = labels.count(), 0
+    hubs = nodes > core.HOT and not labels.filter(F.col("n") > core.HOT).isEmpty()
     while True:
         turn += 1
-        near = core.attach(both, labels.select(F.col("node").alias("b"), "component", "n"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        other = labels.select(F.col("node").alias("b"), "component", "n")
+        near = (core.attach(both, other, "b") if hubs else both.join(other, "b")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         least = labels.join(near, "node").select("node", "n", F.least("component", "near").alias("via"), F.col("component").alias("was"))
-        least = scratch.write(least, f"{name}-least")
-        jump = least.groupBy("via").agg(F.count("*").alias("m")).join(labels.select(F.col("node").alias("via"), F.col("component").alias("then")), "via")
-        jump = scratch.write(jump, f"{name}-jump")
-        new = core.attach(least, jump, "via", "m").select("node", F.least("via", "then").alias("component"), "n", "was")
-        new = scratch.write(new, f"{name}-{turn}")
-        scratch.drop(f"{name}-{turn - 1}", f"{name}-least", f"{name}-jump")
+        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("then"))
+        if nodes > core.HOT:  # only then can a component have so many members
+            least = scratch.write(least, f"{name}-least-{turn}")
+            jump = scratch.write(least.groupBy("via").agg(F.count("*").alias("m")).join(jump, "via"), f"{name}-jump-{turn}")
+            least = core.attach(least, jump, "via", "m")
+        else:
+            least = least.join(jump, "via")
+        new = scratch.write(least.select("node", F.least("via", "then").alias("component"), "n", "was"), f"{name}-{turn}")
+        scratch.drop(f"{name}-{turn - 1}", f"{name}-least-{turn}", f"{name}-jump-{turn}")
         labels = new.drop("was")
         if new.filter("component <> was").isEmpty():
             return labels.drop("n")

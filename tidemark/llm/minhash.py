@@ -7,9 +7,11 @@ shingle). Two documents are linked where 100 * intersection >= 75 * union; a gro
    2 bits of each are kept, packed into 32 bytes.
 2. Documents of equal sets (128 bits from two independent streams of shingle hashes) are one class from here on, one row a
    class, whatever its size.
-3. Candidates: classes that share a band key, in chunks of up to `BUCKET`. The packed signatures of a chunk are compared by
+3. Candidates: classes that share a band key. In a bucket of up to `BUCKET` classes the packed signatures are compared by
    bit counts, corrected for chance collisions (a quarter of the unequal minima agree in 2 bits), and a spanning forest of
-   the pairs at `FLOOR` or more goes on; the trees of a bucket of several chunks are joined. Candidates grow with members.
+   the pairs at `FLOOR` or more goes on. A larger bucket would cost the square of its members, and split into chunks its
+   trees would have to be joined again, so it goes on whole, as a star; step 5 is made for those. Candidates grow with
+   members, not with pairs.
 4. The components of those candidates hold every link inside. Each is split into tiles of bounded documents and shingles;
    a tile links its own exactly (prefix filter, then whole sets).
 5. Components of several tiles (`across`): links between tiles are found by the same prefix filter as a shuffle. Shingles
@@ -44,7 +46,7 @@ SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 2
 PERCENT = 75
 #: Least estimate that is worth an exact look: 5 standard deviations under PERCENT.
 FLOOR = 0.5
-#: Classes in a chunk of a bucket; documents and shingles in a tile.
+#: Classes of a bucket whose signatures are compared; documents and shingles in a tile.
 BUCKET, TILE, TILE_SHINGLES = 512, 1500, 1 << 20
 #: Documents of a component up to which a shingle is rare.
 RARE = 32
@@ -135,14 +137,13 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), fixed(prints, 16), lists.take(index), fixed(packed, width)], names=_SKETCH.names)
 
 
-def _forest(ids: np.ndarray, size: np.ndarray, sig: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Spanning edges of a chunk's pairs whose sizes allow a link and whose estimate is at FLOOR or more, and the roots."""
-    n, out, roots = len(ids), [], []
+def _forest(ids: np.ndarray, size: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning edges of a bucket's pairs whose sizes allow a link and whose estimate is at FLOOR or more."""
+    n, out = len(ids), []
     left = np.ones(n, bool)
     while left.any():
         root = int(np.argmax(left))
         left[root] = False
-        roots.append(int(ids[root]))
         queue = [root]
         while queue and left.any():
             i = queue.pop()
@@ -152,7 +153,7 @@ def _forest(ids: np.ndarray, size: np.ndarray, sig: np.ndarray) -> tuple[list[tu
             left[new] = False
             out += [(int(ids[i]), int(ids[j])) for j in new]
             queue += new.tolist()
-    return out, roots
+    return out
 
 
 def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,21 +215,16 @@ def _edge_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    by = ["key", "chunk"]
-    for table in _runs(batches, by):
-        ids, size, chunks, head = (np.asarray(table.column(c)) for c in ("doc_id", "n_shingles", "chunks", "head"))
+    for table in _runs(batches, ["key"]):
+        ids, size = np.asarray(table.column("doc_id")), np.asarray(table.column("n_shingles"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(ids), -1)
-        cuts = np.array(_cuts(table, by))
+        cuts = np.array(_cuts(table, ["key"]))
         n = np.diff(cuts)
-        at = cuts[:-1][(n == 2) & (chunks[cuts[:-1]] == 1)]  # pairs all at once
+        at = cuts[:-1][n == 2]  # pairs all at once
         ok = _fits(size[at], size[at + 1]) & (estimate(sig[at], sig[at + 1]) >= FLOOR)
         edges = list(zip(ids[at[ok]].tolist(), ids[at[ok] + 1].tolist()))
-        many = (n > 2) | (chunks[cuts[:-1]] > 1)
-        for i, j in zip(cuts[:-1][many].tolist(), cuts[1:][many].tolist()):
-            tree, roots = _forest(ids[i:j], size[i:j], sig[i:j])
-            edges += tree
-            if chunks[i] > 1:
-                edges += [(r, int(head[i])) for r in roots if r != head[i]]
+        for i, j in zip(cuts[:-1][n > 2].tolist(), cuts[1:][n > 2].tolist()):
+            edges += _forest(ids[i:j], size[i:j], sig[i:j])
         if edges:
             yield _edge_batch([e[0] for e in edges], [e[1] for e in edges])
 
@@ -354,7 +350,7 @@ def _split(docs: pa.Table, common: pa.Table) -> pa.Table:
     o = owner[w]
     none = np.zeros(len(w), bool)
     post = [none, sup[o], rare[w].view(np.int64), ids[o], group[o], size[o], n_common[o], place[w] < smaller[o], pa.nulls(len(w), pa.binary())]
-    c = np.flatnonzero(100 * n_common >= PERCENT * size)
+    c = np.flatnonzero((n_common > 0) & (100 * n_common >= PERCENT * size))
     mine = np.isin(doc, c) & often
     v, n = values[mine], n_common[c]
     cuts = np.append(0, np.cumsum(n))
@@ -410,10 +406,9 @@ def _cell_links(probes: pa.Table, holders: pa.Table) -> pa.Table:
         terms = np.unique(hv)
         lists = Postings(np.searchsorted(terms, hv), np.repeat(np.arange(len(hid)), np.diff(hb)), len(terms))
         for i in range(len(pid)):
-            own = np.searchsorted(terms, pv[pb[i] : pb[i + 1]])
-            own = own[own < len(terms)]
-            own = own[np.isin(terms[own], pv[pb[i] : pb[i + 1]])]
-            both = np.bincount(lists.of(own), minlength=len(hid))
+            mine = pv[pb[i] : pb[i + 1]]
+            own = np.minimum(np.searchsorted(terms, mine), len(terms) - 1)
+            both = np.bincount(lists.of(own[terms[own] == mine]), minlength=len(hid))
             to = np.flatnonzero(_linked(both, hs, ps[i]) & (hg != pg[i]) & (hs <= ps[i]))
             to = to[np.unique(hg[to], return_index=True)[1]]
             a += [int(pid[i])] * len(to)
@@ -429,7 +424,10 @@ def cells(reps: DataFrame, scratch: core.Scratch) -> DataFrame:
     """
     count = scratch.write(reps.groupBy("sup", "group").agg(F.count("*").alias("k")), "core-groups")
     main = count.groupBy("sup").agg(F.max_by("group", F.struct("k", "group")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("n")).filter("groups > 1").drop("groups")
-    rows = core.attach(reps, scratch.write(main, "core-main"), "sup").withColumn("inside", F.col("group") == F.col("main"))
+    main = scratch.write(main, "core-main")
+    if main.isEmpty():
+        return count.select(F.col("sup").alias("a"), F.col("sup").alias("b")).limit(0)
+    rows = core.attach(reps, main, "sup").withColumn("inside", F.col("group") == F.col("main"))
     rows = scratch.write(rows, "core-rows")
     cell = lambda c: F.floor(F.log(c) / F.log(F.lit(1.1)))
     hold = rows.withColumn("cell", cell(F.col("size")))
@@ -528,11 +526,13 @@ def components(documents: DataFrame) -> DataFrame:
 
     # candidates
     rows = classes.select(F.explode("keys").alias("key"), "doc_id", "n_shingles", "sig")
-    buckets = scratch.write(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / BUCKET)), "buckets")
-    shared = core.attach(rows, buckets, "key").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks"))
-    tree = shared.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_bucket_edges, _EDGES)
-    sups = graph.components(tree, scratch, "candidates").select(F.col("node").alias("doc_id"), F.col("component").alias("sup"))
-    scratch.drop("buckets")
+    buckets = scratch.write(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).filter("n > 1").withColumn("whole", F.col("n") > BUCKET), "buckets")
+    shared = scratch.write(core.attach(rows, buckets, "key"), "shared")
+    small = shared.filter("NOT whole").select("key", "doc_id", "n_shingles", "sig")
+    tree = small.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_bucket_edges, _EDGES)
+    star = shared.filter("whole AND doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    sups = graph.components(tree.unionByName(star), scratch, "candidates").select(F.col("node").alias("doc_id"), F.col("component").alias("sup"))
+    scratch.drop("buckets", "shared")
 
     # the sets of the candidates, from their texts, each once, in tiles
     members = scratch.write(sups.join(classes.select("doc_id", "n_shingles"), "doc_id"), "members")
