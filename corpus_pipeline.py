@@ -2,22 +2,30 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's
 docs. All but the last return the columns of their docs; extra columns pass through, whatever their names. Rows with a
-null doc_id or text go through the same stages; they cannot be duplicates of anything and are kept unless rejected.
+null doc_id or text go through the same stages; they cannot be duplicates of anything and are kept unless rejected. Rows
+that share a doc_id are rows of their own: of those, only such go as resemble a row that stays.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, core, decontaminate, minhash, quality, substring
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
     """`docs` with columns of these names renamed out of an operator's way, and the names to give back."""
-    own = {f"__own_{k}": c for k, c in enumerate(docs.columns) if c.lower() in names}
+    own = {_fresh(docs, f"__own_{k}"): c for k, c in enumerate(docs.columns) if c.lower() in names}
     for new, old in own.items():
         docs = docs.withColumnRenamed(old, new)
     return docs, own
@@ -26,16 +34,20 @@ def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, name="__quality").filter("__quality >= 0.5").select(docs.columns)
+    score = _fresh(docs, "__quality")
+    return quality.score(docs, model, name=score).filter(F.col(score) >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of the smallest doc_id; of rows that repeat a doc_id, one."""
-    kept = minhash.groups(docs.select("doc_id", "text")).filter("kept and doc_id is not null").select("doc_id").distinct()
-    some = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    turn = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))
-    some = some.withColumn("__turn", turn).filter("__turn = 1")
-    return some.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near-duplicates stays: the one of the smallest doc_id, of equal ones the first as written."""
+    scratch = core.Scratch(spark, "pipeline-near")
+    row = _fresh(docs, "__row")
+    docs_by_row = scratch.write(docs.withColumn(row, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+    ids = docs_by_row.select(F.col(row).alias("row"), F.col("doc_id").alias("id")).filter("row is not null")
+    groups = minhash.components(docs_by_row.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    kept = groups.join(ids, "row").groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias(row))
+    some = docs_by_row.join(kept, row, "left_semi").unionByName(docs_by_row.filter(F.col(row).isNull()))
+    return some.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
