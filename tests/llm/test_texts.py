@@ -227,10 +227,10 @@ def brute_hits(data, items, width=10):
     windows = defaultdict(set)
     for i, t in items:
         w = split(t)
-        if i is None or not w:
+        if not w:
             continue
         for p in [tuple(w)] if len(w) < width else [tuple(w[k : k + width]) for k in range(len(w) - width + 1)]:
-            windows[p].add(str(i))
+            windows[p].add(None if i is None else str(i))
     out = []
     for i, t in data:
         w, hit, found = split(t), set(), set()
@@ -239,7 +239,7 @@ def brute_hits(data, items, width=10):
                 if own := windows.get(tuple(w[k : k + n])):
                     hit |= set(range(k, k + n))
                     found |= own
-        out.append((i, len(w), len(hit), len(found), hexed(",".join(sorted(found))), bool(hit)))
+        out.append((i, len(w), len(hit), len(found), hexed(",".join(sorted(x for x in found if x is not None))), bool(hit)))
     return sorted(out, key=repr)
 
 

@@ -5,12 +5,13 @@ one) are the patterns. A block is the last few words of the position looked at:
 may skip, blocks that end a pattern lead through a suffix bucket and a prefix to candidate windows, and the words
 themselves are compared before an occurrence counts.
 
-Windows are held in blocks of at most `MOST` by a hash; with more than one block the documents are searched once for
-each, so what a worker holds does not grow with the benchmark. A normal benchmark is one block.
+Windows are held in blocks of at most `MOST` by a hash, so what a worker holds does not grow with the benchmark. A normal
+benchmark is one block and one pass. With more, the documents are written once with a row number and searched once a
+block; only row numbers, spans and item ids of rows with hits go on from there, and meet the documents at the end.
 
-Defined cases: null or empty text has no words and no hits. An item with a null id cannot be reported and takes no part;
-an item without words has no window. Rows are independent: repeated documents give repeated results, repeated items (same
-id) count once. A null doc_id stays null. Empty tables: no rows, or no hits.
+Defined cases: null or empty text has no words and no hits. An item without words has no window. Items with a null id count
+for hits, and as one item, but have no id to list. Rows are independent: repeated documents give repeated results, repeated
+items (same id) count once. A null doc_id stays null. Empty tables: no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -83,76 +84,94 @@ def patterns(benchmark: DataFrame, width: int) -> DataFrame:
                     part = [b" ".join(w) for w in cut[at : at + 50_000]]
                     yield pa.RecordBatch.from_pydict({"window": pa.array(part, pa.binary()), "item": pa.array([item] * len(part), pa.string())})
 
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
     return items.mapInArrow(run, "window binary, item string").distinct()
 
 
+def _finder(sent):
+    """A function of a text: its number of words, and start, end, start, end, ... and items of the windows in it."""
+    made: list[list[Searcher]] = []
+
+    def find(text: str | None) -> tuple[int, list[int], set]:
+        if not made:
+            made.append([Searcher(p) for p in sent.value.values()])
+        words = split(text)
+        spots, items = [], set()
+        for searcher in made[0]:
+            for start, own in searcher.find(words):
+                spots += (start, start + searcher.length)
+                items.update(own)
+        return len(words), spots, items
+
+    return find
+
+
+_FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType())]
+
+
+def _columns(found: Iterator[tuple[int, list[int], set]]) -> list[pa.Array]:
+    rows = []
+    for n, spots, items in found:
+        hit, end = 0, 0
+        for a, b in sorted(zip(spots[::2], spots[1::2], strict=True)):
+            hit += max(0, b - max(a, end))
+            end = max(end, b)
+        ids = sorted(i for i in items if i is not None)
+        rows.append((n, hit, len(items), hashlib.sha256(",".join(ids).encode()).hexdigest(), ids, hit > 0))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.bool_()]
+    return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+
+
 def search(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, most: int = MOST, text: str = "text") -> DataFrame:
     """`docs` with n_words, n_hit, n_items, items_sha256, item_ids (sorted as strings) and contaminated."""
     spark = docs.sparkSession
     scratch = core.Scratch(spark, "decontaminate")
     rows = scratch.write(patterns(benchmark, width), "patterns")
     blocks = max(1, -(-rows.count() // most))
-    spots, names = "__tm_spots", "__tm_items"
-    found = docs
-    for k in range(blocks):
+
+    def block(k: int):
+        """The k-th block of windows, at most about `most`, sent to the workers."""
         held: dict[int, dict[tuple[bytes, ...], list]] = {}
         part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == k)
         for window, item in part.collect():
             words = tuple(bytes(window).split())
             held.setdefault(len(words), {}).setdefault(words, []).append(item)
-        found = _pass(found, spark.sparkContext.broadcast(held), spots, names, text, k == 0)
-        if k + 1 < blocks:
-            found = scratch.write(found, f"pass{k}")
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType())]
-
-    def finish(piece: pa.RecordBatch) -> list:
-        n_words, n_hit, n_items, digest, ids = [], [], [], [], []
-        for at, items in zip(piece.column(spots).to_pylist(), piece.column(names).to_pylist(), strict=True):
-            spans = sorted(zip(at[1::2], at[2::2], strict=True))
-            hit, end = 0, 0
-            for a, b in spans:
-                hit += max(0, b - max(a, end))
-                end = max(end, b)
-            own = sorted(set(items))
-            n_words.append(at[0])
-            n_hit.append(hit)
-            n_items.append(len(own))
-            digest.append(hashlib.sha256(",".join(own).encode()).hexdigest())
-            ids.append(own)
-        return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array(ids, pa.list_(pa.string())), pa.array([n > 0 for n in n_hit])]
-
-    if blocks == 1:  # one Python pass does both
-        return _pass(docs, spark.sparkContext.broadcast(held), spots, names, text, True, fields, finish)
-    return core.append(found, fields, finish, text).drop(spots, names)
-
-
-def _pass(df: DataFrame, sent, spots: str, names: str, text: str, first: bool, fields=None, finish=None) -> DataFrame:
-    """Adds the word count and covered spans (n, start, end, start, end, ...) and the items of one block of windows."""
-    made: list[list[Searcher]] = []
-    was = [f"{spots}_was", f"{names}_was"]
-    if not first:
-        df = df.withColumnsRenamed(dict(zip((spots, names), was)))
+        return spark.sparkContext.broadcast(held)
 
-    def run(piece: pa.RecordBatch) -> list:
-        if not made:
-            made.append([Searcher(p) for p in sent.value.values()])
-        old = [([], [])] * piece.num_rows if first else zip(*(piece.column(c).to_pylist() for c in was), strict=True)
-        all_spots, all_items = [], []
-        for value, (at, items) in zip(piece.column(text).to_pylist(), old, strict=True):
-            words = split(value)
-            at, items = list(at) or [len(words)], set(items)
-            for searcher in made[0]:
-                for start, own in searcher.find(words):
-                    at += (start, start + searcher.length)
-                    items.update(own)
-            all_spots.append(at)
-            all_items.append(sorted(items))
-        out = [pa.array(all_spots, pa.list_(pa.int64())), pa.array(all_items, pa.list_(pa.string()))]
-        return out if finish is None else finish(pa.RecordBatch.from_arrays(out, names=[spots, names]))
-
-    both = [T.StructField(spots, T.ArrayType(T.LongType())), T.StructField(names, T.ArrayType(T.StringType()))]
-    return core.append(df, fields or both, run, text).drop(*was)
+    if blocks == 1:
+        find = _finder(block(0))
+        return core.append(docs, _FIELDS, lambda piece: _columns(map(find, piece.column(text).to_pylist())), text)
+
+    number, spots, names = "__tm_row", "__tm_spots", "__tm_items"
+    docs = scratch.write(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    hits = None
+    for k in range(blocks):
+        sent = block(k)
+        part = scratch.write(_hits(docs.select(number, text), _finder(sent), number, text, spots, names), f"hits{k}")
+        sent.unpersist()
+        hits = part if hits is None else hits.unionByName(part)
+    all_of = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    found = docs.join(hits.groupBy(number).agg(all_of(spots), all_of(names)), number, "left")
+
+    def finish(piece: pa.RecordBatch) -> list[pa.Array]:
+        texts, at, items = (piece.column(c).to_pylist() for c in (text, spots, names))
+        return _columns((len(split(t)), a or [], set(i or [])) for t, a, i in zip(texts, at, items, strict=True))
+
+    return core.append(found, _FIELDS, finish, text).drop(number, spots, names)
+
+
+def _hits(df: DataFrame, find, number: str, text: str, spots: str, names: str) -> DataFrame:
+    """Row number, spans and items of the rows that hold a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(n, *find(t)[1:]) for n, t in zip(batch.column(number).to_pylist(), batch.column(text).to_pylist(), strict=True)]
+            got = [g for g in got if g[1]]
+            kinds = {number: pa.int64(), spots: pa.list_(pa.int64()), names: pa.list_(pa.string())}
+            columns = [[g[0] for g in got], [g[1] for g in got], [list(g[2]) for g in got]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values())], names=list(kinds))
+
+    return df.mapInArrow(run, f"{number} long, {spots} array<long>, {names} array<string>")
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
