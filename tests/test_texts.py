@@ -33,9 +33,9 @@ def test_guidance():
     assert money.guidance(None, 2027) == money.guidance("Revenue was Rs 5 crore in FY20.", 2027) == []
 
 
-@pytest.mark.parametrize("case", CASES, ids=lambda c: c[0][:40])
+@pytest.mark.parametrize("case", CASES, ids=lambda c: f"{c[0]} {c[1][:20]}")
 def test_order_book(case):
-    said, filed, kind, crore, at, scope = case
+    _, said, filed, kind, crore, at, scope = case
     got = orderbook.order_books(said, date.fromisoformat(filed), kind)
     if crore is None:
         assert not got
@@ -45,9 +45,9 @@ def test_order_book(case):
 
 
 def test_order_book_column(spark):
-    d = spark.createDataFrame([(CASES[1][0], date(2026, 6, 16), "order_win"), (None, None, None)], "t string, d date, k string")
+    d = spark.createDataFrame([("Order book of Rs 21.5 crore as on 15.05.2024.", date(2024, 6, 3), "order_win"), (None, None, None)], "t string, d date, k string")
     got = [r.b for r in d.select(orderbook.best_order_book(orderbook.find_order_books("t", "d", "k")).alias("b")).collect()]
-    assert got[0].value_inr == 21.5e7 and got[0].as_of == date(2026, 6, 15) and got[1] is None
+    assert got[0].value_inr == 21.5e7 and got[0].as_of == date(2024, 5, 15) and got[1] is None
 
 
 def one(spark, column):

@@ -89,9 +89,44 @@ BOOK_INFLOW_AFTER = r"\s*(?:\(?[^)]{0,30}\)\s*)?(?:of|in|worth\s+of)?\s*(?:new|f
 BOOK_ORDER_BEFORE = r"\b(?:worth|valued|value\s+of|orders?\s+of|secur\w*|bag\w*|wins?|won|adds?|added|received|targeting|target\s+of(?:\s+a)?|reiterat\w*)\b[^.]{0,22}$"
 BOOK_BINDING = r"\b(?:stands?|stood|is|was|of|at|reached|reaches|crossed|crosses|increased|grew|rose|touched|totals?|totalled|amounts?|aggregat\w*|valued|worth|to|now|currently|approximately|record|robust|healthy|strong|position|remains?|swells?|exceeds?|beyond)\b|[:–\-]"
 BOOK_CHANGE = r"\b(?:from|increas\w*|grew|grow\w*|rose|rising|surg\w*|taking|takes|took|went\s+up|moved\s+up|strengthened|swell\w*|expand\w*|jump\w*)\b"
-BOOK_SEGMENT_NEXT = r"\b(?:division|segment|vertical|business|export|domestic|overseas|international|transmission|smart\s+meter\w*|o&m|railway|nuclear|defen[cs]e|toll|bess|cng|omc|epc|manufacturing|telecom|ict|energy|data\s+cent(?:er|re)|dg\s+sets?|aftermarket|digital|advisory|ads)\b(?:\s+business)?(?:\s*\([^)]{0,12}\))?[^\w]{0,3}(?:&\s*\w+\s*)?$"
+BOOK_SEGMENT_NEXT = r"\b(?:division|segment|vertical|(?<!key\s)(?<!our\s)business|export|domestic|overseas|international|transmission|smart\s+meter\w*|o&m|railway|nuclear|defen[cs]e|toll|bess|cng|omc|epc|manufacturing|telecom|ict|energy|data\s+cent(?:er|re)|dg\s+sets?|aftermarket|digital|advisory|ads)\b(?:\s+business)?(?:\s*\([^)]{0,12}\))?[^\w]{0,3}(?:&\s*\w+\s*)?$"
 BOOK_SEGMENT = r"\b(?:division|segment|vertical|export|domestic|overseas|transmission|smart\s+meter\w*|o&m)\b"
 BOOK_TOTAL = r"\b(?:total|overall|consolidated|group(?:'s|’s)?|company(?:'s|’s)|aggregate|entire)\b"
+BOOK_FIGURE_NOT_BOOK = r"^\W{0,3}(?:crores?|cr\.?)?\s*(?:\(?\s*)?(?:(?:is|was|has\s+been|have\s+been)\s+)?(?:billed|executed|completed|recognised|recognized|invoiced|delivered)\b|^[^.;]{0,25}\bincluding\s+(?:the\s+)?(?:\w+\s+){0,3}(?:negotiat\w*|l-?1|pending\s+receipt)"
+BOOK_REGION = r"^\s+(?:in|for)\s+(?!(?i:(?:the\s+)?(?:company|group|fiscal|fy|financial|year|quarter|current|next|coming|period)\b))(?:the\s+)?[A-Z][a-z]+"
+BOOK_PART_AFTER = r"^\s*(?:of|for|in)\s+(?:the|its|our)?\s*(?:company['’]s\s+)?[\w&\s]{0,30}?\b(?:business|division|segment|vertical)\b"
+BOOK_SUBSIDIARY = r"\bsubsidiar(?:y|ies)\b"
+BOOK_WITH_SUBSIDIARY = r"(?:including|with|along\s+with)\s+(?:its\s+)?subsidiar|consolidated"
+BOOK_OTHER_ENTITY = r"\b(?:entity|arm|jv|joint\s+venture)\b[^.]{0,25}$"
+BOOK_WHOLE = r"\b(?:total|overall|consolidated)\b"
+BOOK_CLOSING = r"\bto\s+(?:a\s+record\s+(?:of\s+)?|approximately\s+|approx\.?\s+|about\s+|nearly\s+|over\s+|around\s+|~\s*)?$"
+BOOK_COMPARED = r"\b(?:compared|relative|as\s+against|against|versus|vs\.?)\s+(?:to\s+)?(?:\w+\s+)?$"
+BOOK_LABEL_GAP = r"[\s:\-–(]*(?:(?:total|consolidated|unexecuted|outstanding|current|healthy|robust|strong|record|executable|open|confirmed)\s+)*"
+BOOK_CONNECTIVES = ["comprising", "of", "with", "and", "including", "against", "vs", "versus", "increasing", "up", "from", "to", "which", "where"]
+BOOK_BREAK = r"\.\s+(?=[A-Z“\"(₹])|\.\s*\n|[•●▪■◆❖➢✓►]|\s\|\|\s|\n\s*\n|;\s+|\s\?\s(?=[A-Z])|\so\s(?=[A-Z])|\s›\s"
+BOOK_DATES = {
+    "dmy": r"\b(?P<d>\d{1,2})(?:st|nd|rd|th)?[\s\-/.,]*(?P<m>jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?[\s\-/.,’']*(?P<y>20\d{2}|\d{2})\b",
+    "mdy": r"\b(?P<m>jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(?P<d>\d{1,2})(?:st|nd|rd|th)?,?\s+(?P<y>20\d{2})\b",
+    "num": r"\b(?P<d>\d{1,2})[./-](?P<m>\d{1,2})[./-](?P<y>20\d{2})\b",
+    "qfy": r"\bQ(?P<q>[1-4])\s*(?:FY\s*)?['’]?(?P<fy>20\d{2}(?:\s*[-–]\s*\d{2,4})?|\d{2})\b",
+    "my": r"\b(?P<m>jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?[\s,’']+(?P<y>20\d{2}|\d{2})\b",
+    "me": r"\b(?P<m>jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s-]+end\b",
+}
+BOOK_YEARS = r"\bFY\s*['’]?\d{2,4}(?:\s*[-–]\s*\d{2,4})?\b|\b20\d{2}(?:\s*[-–]\s*\d{2,4})?\b"
+BOOK_DATE_CUE = r"\b(?:as\s+(?:on|of|at)|ended|ending|till|until|upto|up\s+to|on|at\s+the\s+end\s+of|closed\s+the\s+quarter|for\s+the\s+(?:year|quarter))[\s:,]*$"
+BOOK_DATE_OWNER = r"[\s,]*(?:\(?\s*(?:as\s+(?:on|of|at)|on|at|till|upto)\s*)?[\s,:]*"
+BOOK_TODAY = r"\bas\s+(?:on|of)\s+(?:date|today)\b|\btill\s+date\b|\bto\s+date\b|\bnow\b|\bcurrent(?:ly)?\b|\bpresent\b"
+BOOK_YEAR_END = r"\b(?:closed|end(?:ed)?)\s+(?:of\s+)?the\s+(?:financial\s+)?year\b|\bfor\s+the\s+year\b|\bat\s+the\s+end\s+of\s+fy"
+BOOK_QUARTER = r"\bquarter\b|\bQ[1-4]\b|\bH[12]\b"
+# Confidence of a reading, and what is added to or taken from it.
+BOOK_POINTS = {"closing": 0.82, "opening": 0.7, "bound": 0.72, "loose": 0.55, "label": 0.5, "over 40 letters": -0.15, "over 70 letters": -0.25, "whole": 0.08, "part": -0.2, "dated": 0.08}
+# Letters: how far a figure may stand behind and before its anchor, and what is looked at around both.
+BOOK_REACH = {"behind": 190, "between": 130, "before": 60, "context before": 40, "context behind": 60, "lead": 28, "measure": 70, "inflow": 40, "row": 18, "conversion": 25, "scope": 45, "next word": 28, "region": 40, "cue": 24, "owned": 45, "sentence": 1600, "forward": 80, "change": 50}
+# Rating of dates: points off for a cue, points on for another figure between or in front, and the most that counts; days before the filing.
+BOOK_DATE_POINTS = {"cue": -300, "other figure": 2000, "most": 400, "dateline": -100}
+BOOK_DATE_DAYS = {"cued": 550, "plain": 200, "ahead": 1, "dateline": 2}
+BOOK_LEAST_INR, BOOK_MOST_INR = 1e6, 2e13
+BOOK_CONFIDENCE = (0.05, 0.97)
 MONTH = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 ABBREVIATIONS = ["rs", "approx", "no", "nos", "mr", "ms", "mrs", "dr", "ltd", "pvt", "co", "inc", "st", "viz", "vs", "sr", "jr", "ref", "sec", "reg", "regn", "u.s", "e.g", "i.e", "etc", "fig", "corp", "bros", "govt", "dept", "est", "excl", "incl"]
 
@@ -113,3 +148,5 @@ ORDER_CATEGORIES = ["bagging/receiving of order", "receipt of order", "awarding
 OBJECT_LEAD = r"\b(?:for\s+the\s+purpose\s+of|pertain(?:s|ing)\s+to|relating\s+to|in\s+respect\s+of|towards|for)\s+"
 OBJECT_STOP = r",?\s+(?:amounting|worth|valued|aggregating|totall?ing|having|dated|vide|which|who|subject\s+to|pursuant\s+to|inclusive|exclusive|excluding|as\s+per|at\s+a\s+(?:total|value|cost)|for\s+a\s+(?:total|period|value|consideration)|to\s+be\s+(?:executed|completed|delivered)|with(?:in)?\s+(?:a\s+)?(?:period|stipulated|completion|timeline)|within\s+\d|on\s+or\s+before|from\s+the\s+date|from\s+m/s|from\s+[A-Z])|\s*[(,]?\s*(?:\brs\.?|\binr|\busd|\brupees|₹)\s*[\d.,]|\s*;|\.\s"
 OBJECT_JUNK = r"\b(?:your\s+(?:kind\s+)?(?:information|reference|records?|perusal)|information\s+and\s+records?|(?:quarter|half[- ]year|month|year|period)\s+ended|financial\s+year|regulation\s*30|sebi|listing\s+obligations|disclosure|annexure|intimation|compliance|the\s+above|the\s+following|the\s+same|stock\s+exchange|payment|loans?|borrow\w*)\b"
+# A sign or letter that stands where a scan lost the rupee sign.
+RUPEE_DAMAGE = r"(?i)(?:(?<!\d)[%~¢=?]|(?<![\w.,])[ntz])\s?\d[\d,]*(?:\.\d+)?\s*(?:lacs?|lakhs?|crores?)\b"

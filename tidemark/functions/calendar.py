@@ -66,11 +66,20 @@ def quarter_label(d: Column) -> Column:
 
 
 def stamp(x: Column) -> Column:
-    """The first of the venues' formats that fits, read as Indian time, as UTC."""
-    formats = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "dd-MMM-yyyy HH:mm:ss", "dd MMM yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd"]
+    """The first of the venues' formats that fits, read as Indian time, as UTC; a T before the time is a blank."""
+    formats = ["yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "d MMM yyyy HH:mm:ss", "d-MM-yyyy HH:mm:ss", "yyyy-MM-dd", "d-MMM-yyyy HH:mm:ss", "d/MM/yyyy HH:mm:ss"]
+    x = F.regexp_replace(F.trim(x), r"(?<=\d)T(?=\d)", " ")
     return F.to_utc_timestamp(F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in formats]), "Asia/Kolkata")
 
 
+def market_hours(at: Column, opens: str = "09:00", closes: str = "18:00", weekends: bool = False) -> Column:
+    """whether a moment (UTC) is within the hours of a scan in Indian time, both ends included; null is outside."""
+    local = F.from_utc_timestamp(at, "Asia/Kolkata")
+    minute = F.date_format(local, "HH:mm:ss.SSSSSS")
+    inside = (minute >= F.lit(f"{opens}:00.000000")) & (minute <= F.lit(f"{closes}:00.000000"))
+    return F.coalesce(inside if weekends else inside & (F.weekday(local) < 5), F.lit(False))
+
+
 def days_apart(a: Column, b: Column) -> Column:
     """Whole days between, the difference floored before its sign goes; very far if either is missing."""
     return F.coalesce(F.abs(F.floor((F.unix_seconds(a) - F.unix_seconds(b)) / 86400)).cast("double"), F.lit(1e9))

@@ -123,13 +123,18 @@ def table_size(answer: Column) -> Column:
 
 
 def extract(filings: DataFrame) -> DataFrame:
-    """`filings` (headline, body, attachment, subcategory, company_name, filed_at) with the order read from each."""
+    """`filings` (headline, body, attachment, subcategory, company_name, filed_at) with the order read from each.
+
+    Answers of the disclosure table (`ANSWERS`), where the filing has such columns, override what the text says.
+    """
+    table = [c for c in ANSWERS if c in filings.columns]
+    said = lambda c: F.nullif(F.trim(c), F.lit("")).isNotNull() if c in table else F.lit(False)
     h, b, a, sub = (F.col(c) for c in ("headline", "body", "attachment", "subcategory"))
     full, lead = F.concat_ws("\n", h, b, a), F.concat_ws("\n", h, b)
     gate = text.looks_like_order(full) & text.non_order(h, F.substring(b, 1, 400)).isNull() & ~text.own_project(full)
     d = filings.withColumn("__full", full).withColumn("__gate", F.coalesce(gate, F.lit(False)))
     can, rest = d.filter("__gate"), d.filter("NOT __gate")
-    can = can.withColumn("__said", receipt_statement("__full")).withColumn("evidence", evidence(h, b, a, sub, F.col("__said"), F.lit(None).cast("boolean")))
+    can = can.withColumn("__said", receipt_statement("__full")).withColumn("evidence", evidence(h, b, a, sub, F.col("__said"), said("t_customer") | said("t_size")))
     yes = can.filter("evidence.received")
     value = F.coalesce(money.pick_order_value(lead), money.pick_order_value(a))
     yes = yes.withColumns({"value": value, "scope": order_scope("__full"), "guidance": money.extract_guidance("__full", calendar.fiscal_year(F.col("filed_at")))})
@@ -140,8 +145,11 @@ def extract(filings: DataFrame) -> DataFrame:
         "__customer": text.customer(F.col("__full"), F.col("company_name")), "is_amendment": amended, "order_type": F.when(amended, "amendment").otherwise(kind["order_type"]), "firmness": F.when(amended, 0.0).otherwise(kind["firmness"]), "quality_adj": text.quality_adjustment(F.col("__full")),
     })
     yes = yes.withColumns({"customer": F.col("__customer.name"), "customer_type": text.customer_type(F.col("__customer.name"), F.col("__full")), "is_related_party": F.coalesce(related_party(F.col("__full")), F.lit(False)) | F.col("__customer.is_self")})
-    bonus = F.when(F.col("customer").isNotNull(), 0.08).otherwise(0.0) + F.when(F.col("execution_months").isNotNull(), 0.05).otherwise(0.0)
-    yes = yes.withColumn("extraction_conf", F.least(F.lit(0.95), F.coalesce("value.confidence", F.lit(0.2)) + bonus))
+    yes = yes.withColumn("extraction_conf", F.coalesce("value.confidence", F.lit(0.2)))
+    yes = apply_table(yes) if table else yes
+    # what corroborates the reading: a customer, months, a firm kind of order
+    bonus = F.when(F.col("customer").isNotNull(), 0.08).otherwise(0.0) + F.when(F.col("execution_months").isNotNull(), 0.05).otherwise(0.0) + F.when(~F.col("is_amendment") & F.col("order_type").isin(FIRM), 0.05).otherwise(0.0)
+    yes = yes.withColumn("extraction_conf", F.least(F.lit(0.95), F.col("extraction_conf") + bonus))
     yes = yes.withColumn("summary", order_summary("scope", "customer", "order_value_inr", "execution_months"))
     # F8: readings that a second reader should check
     yes = yes.withColumn("needs_check", F.col("order_value_inr").isNull() | (F.col("extraction_conf") < 0.55) | (F.col("execution_months").isNull() & (F.col("order_value_inr") > 5e8)))
@@ -149,6 +157,8 @@ def extract(filings: DataFrame) -> DataFrame:
     return yes.unionByName(no, allowMissingColumns=True).drop("__full", "__gate", "__said", "__customer", "value")
 
 
+#: Phrases of a letter of award or a work order.
+FIRM = D.FIRMNESS[1.00]
 #: Answers of a disclosure table, as columns of an extracted filing.
 ANSWERS = ("t_customer", "t_size", "t_period", "t_related", "t_domestic", "t_nature")
 
@@ -156,6 +166,8 @@ ANSWERS = ("t_customer", "t_size", "t_period", "t_related", "t_domestic", "t_nat
 def apply_table(extracted: DataFrame) -> DataFrame:
     """The structured answers override what was guessed; an absent answer changes nothing.
 
+    A table that names a customer, size or period is of an order received: without a known kind it is a work order, of firmness 0.8.
+
     A value within 2 % of the guess only raises its confidence; a longer scope is not replaced by a shorter one.
     """
     for c in ANSWERS:
@@ -177,4 +189,9 @@ def apply_table(extracted: DataFrame) -> DataFrame:
     })
     abroad = F.rlike(F.lower("t_domestic"), F.lit(r"\binternational|\bexport|\bforeign|\boverseas"))
     kind = F.when(F.coalesce(abroad, F.lit(False)) & ~F.rlike(F.lower("t_domestic"), F.lit(r"\bdomestic")), "export").when(F.col("__named").isNotNull(), text.customer_type(F.col("customer"), F.lit(""))).otherwise(F.col("customer_type"))
+    if {"order_type", "firmness", "is_amendment"} <= set(d.columns):
+        said = text.order_type(F.coalesce(nature, F.lit("")))
+        order = F.when(said["order_type"] != "unknown", said).when((F.col("order_type") == "unknown") & (F.col("__named").isNotNull() | F.col("__size").isNotNull() | F.col("__months").isNotNull()), F.struct(F.lit("work order").alias("order_type"), F.lit(0.8).alias("firmness")))
+        order = F.when(~F.col("is_amendment"), order)
+        d = d.withColumn("__order", order).withColumns({"order_type": F.coalesce("__order.order_type", "order_type"), "firmness": F.coalesce("__order.firmness", "firmness")}).drop("__order")
     return d.withColumn("customer_type", kind).drop("__size", "__months", "__named", "__both")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import company_key
+from ..shared import cut
 
 
 def mint(isin: Column, symbol: Column, code: Column, name: Column) -> Column:
@@ -14,19 +15,45 @@ def mint(isin: Column, symbol: Column, code: Column, name: Column) -> Column:
     return F.coalesce(filled(isin), F.concat(F.lit("NSE:"), filled(symbol)), F.concat(F.lit("BSE:"), filled(code)), F.concat(F.lit("NAME:"), F.substring(F.sha1(F.coalesce(name, F.lit(""))), 1, 12)))
 
 
+def ranked(isin: Column, symbol: Column, code: Column, name: Column) -> Column:
+    """struct(rank, id): the id that `mint` gives, after the kind of identifier: ISIN, symbol, code, name."""
+    filled = lambda x: F.nullif(F.trim(x), F.lit("")).isNotNull()
+    rank = F.when(filled(isin), 0).when(filled(symbol), 1).when(filled(code), 2).otherwise(3)
+    return F.struct(rank.alias("rank"), mint(isin, symbol, code, name).alias("id"))
+
+
+def _closed(pairs: DataFrame) -> DataFrame:
+    """Rows (isin, key, best): the best-ranked id among all rows that are joined by equal ISINs and equal keys."""
+    while True:
+        by_isin = pairs.filter("isin IS NOT NULL").groupBy("isin").agg(F.min("best").alias("i"))
+        by_key = pairs.filter("key IS NOT NULL").groupBy("key").agg(F.min("best").alias("k"))
+        new = pairs.join(by_isin, "isin", "left").join(by_key, "key", "left").withColumn("was", F.col("best")).withColumn("best", F.least("best", "i", "k"))
+        new = cut(new.select("isin", "key", "best", "was"), "identity")
+        pairs = new.drop("was")
+        if new.filter("best.rank <> was.rank OR best.id <> was.id").isEmpty():
+            return pairs
+
+
 def resolve(filings: DataFrame, companies: DataFrame, least_key: int = 6) -> DataFrame:
-    """`filings` with company_id: the known company of the ISIN, else of the normalised name, else a new id.
+    """`filings` with company_id: the known company of the ISIN, else of the normalised name, else one id for all filings of
+    the batch that are joined by ISIN or name, however many steps apart: a known one of any of them, else the best minted.
 
-    New companies of one batch that share a normalised name get the smallest of their ids, so both venues' filings meet.
+    ISINs rank before symbols, codes and names, so a name match never takes an ISIN away. Names of under `least_key`
+    letters join nothing.
     """
-    f = filings.withColumn("__key", company_key(F.col("company_name"))).withColumn("__mint", mint(F.col("isin"), F.col("symbol"), F.col("bse_code"), F.col("company_name")))
-    by_isin = companies.filter("isin IS NOT NULL").groupBy("isin").agg(F.min("company_id").alias("__by_isin"))
-    keys = companies.withColumn("__key", company_key(F.col("company_name"))).filter(F.char_length("__key") >= least_key)
-    by_name = keys.groupBy("__key").agg(F.min("company_id").alias("__by_name"))
-    fresh = f.filter(F.char_length("__key") >= least_key).groupBy("__key").agg(F.min("__mint").alias("__new"))
-    out = f.join(by_isin, "isin", "left").join(by_name, "__key", "left").join(fresh, "__key", "left")
-    found = F.coalesce("__by_isin", "__by_name", "__new", "__mint")
-    return out.select(*filings.columns, found.alias("company_id"))
+    key = company_key(F.col("company_name"))
+    f = filings.withColumn("__isin", F.nullif(F.upper(F.trim("isin")), F.lit(""))).withColumn("__key", F.when(F.char_length(key) >= least_key, key))
+    known = companies.select(F.nullif(F.upper(F.trim("isin")), F.lit("")).alias("__isin"), company_key(F.col("company_name")).alias("__key"), "company_id")
+    by_isin = known.filter("__isin IS NOT NULL").groupBy("__isin").agg(F.min("company_id").alias("__by_isin"))
+    by_name = known.filter(F.char_length("__key") >= least_key).groupBy("__key").agg(F.min("company_id").alias("__by_name"))
+    f = f.join(by_isin, "__isin", "left").join(by_name, "__key", "left").withColumn("__own", F.coalesce("__by_isin", "__by_name"))
+    minted = ranked(F.col("isin"), F.col("symbol"), F.col("bse_code"), F.col("company_name"))
+    best = F.when(F.col("__own").isNotNull(), F.struct(F.lit(-1).alias("rank"), F.col("__own").alias("id"))).otherwise(minted)
+    f = f.withColumn("__best", best)
+    pairs = f.groupBy(F.col("__isin").alias("isin"), F.col("__key").alias("key")).agg(F.min("__best").alias("best"))
+    pairs = _closed(pairs).select(F.coalesce("isin", F.lit("")).alias("__i"), F.coalesce("key", F.lit("")).alias("__k"), F.col("best.id").alias("__joined")).filter("__i <> '' OR __k <> ''")
+    f = f.withColumn("__i", F.coalesce("__isin", F.lit(""))).withColumn("__k", F.coalesce("__key", F.lit("")))
+    return f.join(pairs, ["__i", "__k"], "left").select(*filings.columns, F.coalesce("__own", "__joined", "__best.id").alias("company_id"))
 
 
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:

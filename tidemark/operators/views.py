@@ -117,6 +117,13 @@ def replace_by_filing(old: DataFrame, new: DataFrame, key: str, order: list[Colu
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(best, allowMissingColumns=True)
 
 
+def majority(rows: DataFrame, by: list[str], vote: str, least: int = 3) -> DataFrame:
+    """Of each group the value with most votes, the smaller on ties; groups in which none has `least` give no row."""
+    votes = rows.filter(F.col(vote).isNotNull()).groupBy(*by, vote).agg(F.count("*").alias("votes"))
+    best = votes.groupBy(*by).agg(F.min(F.struct((-F.col("votes")).alias("minus"), F.col(vote).alias("value"))).alias("b"))
+    return best.select(*by, F.col("b.value").alias(vote), (-F.col("b.minus")).alias("votes")).filter(F.col("votes") >= least)
+
+
 def difference(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """What a rebuild takes away and adds: the key and which."""
     gone = old.select(key).join(new.select(key), key, "left_anti").withColumn("change", F.lit("removed"))

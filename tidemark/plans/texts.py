@@ -105,16 +105,13 @@ def html_title(spark, sf):
 _BUMP = " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN {p}::DOUBLE ELSE 0.0 END" for w, p in (("export", 0.15), ("overseas", 0.12), ("international", 0.10), ("defence", 0.20), ("defense", 0.20), ("aerospace", 0.15), ("repeat order", 0.10), ("operation and maintenance", 0.12), ("o&m", 0.12), ("annuity", 0.15), ("ham", 0.10), ("semiconductor", 0.15), ("data centre", 0.12), ("data center", 0.12), ("railway", 0.05), ("metro", 0.05), ("transmission", 0.08)))
 
 
-@query(f"SELECT doc_id, round(greatest(-0.4, least(0.5, {_BUMP})), 6) AS bump, contains(lower(text), 'license') AS licensed FROM documents WHERE NOT regexp_matches(lower(text), '(^|[^a-z0-9])(lowest bidder|l1|road|civil work|building construction|subject to|tentative|estimated)([^a-z0-9]|$)')")
-def document_quality_words(spark, sf):
-    """T10 on whole documents without a ding, as its SQL has it; `document_quality_all` scores every document."""
-    d = base.spread(base.table(spark, sf, "documents"))
-    dings = r"(^|[^a-z0-9])(lowest bidder|l1|road|civil work|building construction|subject to|tentative|estimated)([^a-z0-9]|$)"
-    d = d.filter(~F.rlike(F.lower("text"), F.lit(dings)))
-    return d.select("doc_id", F.round(text.quality_adjustment(F.col("text")), 6).alias("bump"), F.contains(F.lower("text"), F.lit("license")).alias("licensed"))
+_DING = " + ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9]){w}([^a-z0-9]|$)') THEN {p}::DOUBLE ELSE 0.0 END" for w, p in (("lowest bidder", -0.10), ("l1", -0.05), ("road", -0.05), ("civil work", -0.08), ("building construction", -0.08), ("subject to", -0.05), ("tentative", -0.10), ("estimated", -0.05)))
 
 
-_DING = " + ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9]){w}([^a-z0-9]|$)') THEN {p}::DOUBLE ELSE 0.0 END" for w, p in (("lowest bidder", -0.10), ("l1", -0.05), ("road", -0.05), ("civil work", -0.08), ("building construction", -0.08), ("subject to", -0.05), ("tentative", -0.10), ("estimated", -0.05)))
+@query(f"SELECT doc_id, round(greatest(-0.4, least(0.5, {_BUMP} + {_DING})), 6) AS bump, contains(lower(text), 'license') AS licensed FROM documents")
+def document_quality_words(spark, sf):
+    """T10, bumps and dings, on every document."""
+    return document_quality_all(spark, sf).withColumnRenamed("points", "bump")
 
 
 @query(f"SELECT doc_id, round(greatest(-0.4, least(0.5, {_BUMP} + {_DING})), 6) AS points, contains(lower(text), 'license') AS licensed FROM documents")

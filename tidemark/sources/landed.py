@@ -94,6 +94,13 @@ def sector(known: Column, fresh: Column) -> Column:
     return F.coalesce(F.nullif(known, F.lit("")), fresh)
 
 
+def sector_label(x: Column) -> Column:
+    """A page's sector as text: entities decoded, white space squeezed, empty as null."""
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(entity), F.lit(char))
+    return F.nullif(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(""))
+
+
 def history_windows(oldest: Column, days: int, step: int = 7) -> Column:
     """Spans of days before the oldest stored filing, to be fetched backwards."""
     ends = F.sequence(F.lit(0), F.lit(days - 1), F.lit(step))

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text
 from ..operators import sequences, views
+from ..shared import cut, exists
 from ..sources import landed
 
 
@@ -26,26 +27,31 @@ def silver(filings: DataFrame, seen_at) -> DataFrame:
     return f.withColumns({"is_order_like": F.coalesce(order, F.lit(False)), "is_amendment": F.coalesce(text.amendment(F.substring(F.concat_ws(" ", "headline", "body"), 1, 400)), F.lit(False)), "seen_at": seen_at, "late": F.coalesce(late, F.lit(False))})
 
 
-def append_new(batch: DataFrame, table: str, key: str = "ann_id") -> DataFrame:
-    """The rows of a batch whose key the table does not hold, appended to it; returned as written."""
+def append_new(batch: DataFrame, table: str, key: str = "ann_id", *, number: int | None = None) -> DataFrame:
+    """The rows of a batch whose key the table does not hold, appended to it; returned as written.
+
+    With its `number` a batch owns one folder: when it is run again, keys of that folder do not count as held and the
+    folder is written anew, so a replay hands over what the first run did.
+    """
     spark = batch.sparkSession
     fresh = batch.dropDuplicates([key])
-    try:
-        old = spark.read.parquet(table).select(key)
-        fresh = fresh.join(old, key, "left_anti")
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    at = f"{table}/batch={uuid.uuid4().hex}"
-    fresh.write.parquet(at)
-    return spark.read.parquet(at)
+    name = uuid.uuid4().hex if number is None else str(number)
+    if exists(spark, table):
+        old = spark.read.option("basePath", table).parquet(table)
+        fresh = fresh.join(old.filter(F.col("batch").cast("string") != name).select(key), key, "left_anti")
+    at = f"{table}/batch={name}"
+    fresh.write.mode("overwrite").parquet(at)
+    return spark.read.schema(fresh.schema).parquet(at)
 
 
 def start(filings: DataFrame, table: str, checkpoint: str, *, then: Callable[[DataFrame], None] | None = None, every: str | None = None) -> StreamingQuery:
-    """Runs until all landed files are in (or each `every`); `then` gets each batch's new rows."""
+    """Runs until all landed files are in (or each `every`); `then` gets each batch's new rows.
+
+    A batch that failed anywhere, in `then` too, is run again with its number and hands the same rows over.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        new = append_new(silver(df, F.current_timestamp()), table)
+        new = append_new(silver(df, F.current_timestamp()), table, number=number)
         if then:
             then(new)
 
@@ -59,19 +65,19 @@ def backfill(filings: DataFrame, table: str, seen_at) -> DataFrame:
 
 
 def alert_once(orders: DataFrame, log: str, channel: str, send: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Orders not yet sent on a channel are sent and logged; only a success silences an order."""
+    """Orders not yet sent on a channel are sent and logged; only a success silences an order.
+
+    What is due is written before it is sent, and what `send` reports is written once and read back, so neither is worked
+    out twice.
+    """
     spark = orders.sparkSession
     due = orders.withColumn("channel", F.lit(channel))
-    try:
-        sent = spark.read.parquet(log).filter("ok").select("order_id", "channel")
-        due = due.join(sent, ["order_id", "channel"], "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    out = send(due).select("order_id", "channel", "ok", F.current_timestamp().alias("sent_at"))
+    if exists(spark, log):
+        due = due.join(spark.read.parquet(log).filter("ok").select("order_id", "channel"), ["order_id", "channel"], "left_anti")
+    out = send(cut(due, "due")).select("order_id", "channel", "ok", F.current_timestamp().alias("sent_at"))
     at = f"{log}/batch={uuid.uuid4().hex}"
     out.write.parquet(at)
-    return spark.read.parquet(at)
+    return spark.read.schema(out.schema).parquet(at)
 
 
 def to_files(path: str) -> Callable[[DataFrame], DataFrame]:
