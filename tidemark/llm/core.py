@@ -1,12 +1,11 @@
 """Shared plumbing of the corpus operators: the shared folder, written tables, Arrow pass-through.
 
 Nothing here collects rows to the driver. Lineage is cut by writing Parquet into the folder the session names in
-``spark.checkpoint.dir``; a folder of our own is set only where that is unset (tests, a laptop).
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.base import spread
+from ..shared import shared_dir
 from ..ship import ship
 
 #: Text bytes that one numpy step works on; temporaries are about 40 times that.
@@ -26,17 +26,6 @@ STEP_BYTES = 1 << 20
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = spark.conf.get("tidemark.own.checkpoint.dir", None)
-        if not conf:
-            conf = tempfile.mkdtemp(prefix="tidemark-")
-            spark.conf.set("tidemark.own.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
 class Scratch:
     """Written tables of one operator call; ``drop`` frees those no longer read."""
 
