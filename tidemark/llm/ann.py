@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree with best-bin-first search.
 
 The tree is fitted on at most `SAMPLE` vectors (the first in the order of a hash of the id), and every vector is then put
-into its leaf. A query walks the tree through a priority queue of nodes by the inner product with their centres, and visits
+into its leaf. A query walks the tree through a priority queue of nodes, each rated by what its vectors can reach: the inner
+product with the centre plus the query's length times the spread (the root mean square distance from the centre). It visits
 as many leaves as calibration asks for: on sample queries the number of visits is widened until the recall against brute
 force over the sample reaches `RECALL`. If those leaves hold fewer than k candidates it goes on until they do.
 
@@ -9,14 +10,20 @@ Leaves are searched in blocks of at most `CHUNK` vectors by at most `QUERIES` qu
 best are then scored again in double precision in a fixed order, so equal vectors get equal scores wherever they lie. A
 vector that many rows share is scored once a block and its smallest ids stand for it, which leaves nothing out of the first k.
 
-Defined cases: rows with a null id, or a vector that is null, zero, holds null or non-finite components, or is not of the
-commonest length (the shorter on ties) take no part. Of rows that share a vec_id the least vector stands. With fewer than k
-candidates a query gets them all, with none no row. Ties go to the smaller vec_id. Empty table: empty result.
+How much the bound on visits saves is a matter of the vectors: where they lie in clusters the share of leaves visited falls
+as the table grows; where they are spread evenly over a sphere no order of leaves can tell neighbours from the rest, and
+calibration then asks for most of the tree (README has figures).
+
+Defined cases: rows with a null id, or a vector that is null, zero or holds null or non-finite components take no part. A
+shorter vector counts as filled up with zeros. Rows that share a vec_id are rows of their own: each is a candidate for all
+others and, where the id is a query's, a query. With fewer than k candidates a query gets them all, with none no row. Ties
+go to the smaller vec_id. Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,9 +42,10 @@ CHUNK, QUERIES = 4096, 2048
 
 @dataclass
 class Tree:
-    """Node centres, each node's children (none: a leaf) and leaf number."""
+    """Node centres and spreads, each node's children (none: a leaf) and leaf number."""
 
     centre: np.ndarray
+    spread: np.ndarray
     children: list[list[int]]
     leaf: list[int]
     visits: int = 1
@@ -64,21 +72,21 @@ class Tree:
 
     def order(self, q: np.ndarray) -> Iterator[int]:
         """Leaves, best bin first."""
-        heap = [(0.0, 0)]
+        heap, length = [(0.0, 0)], np.linalg.norm(q)
         while heap:
             _, node = heapq.heappop(heap)
             kids = self.children[node]
             if not kids:
                 yield self.leaf[node]
             else:
-                for near, kid in zip((-(self.centre[kids] @ q)).tolist(), kids):
+                for near, kid in zip((-(self.centre[kids] @ q) - length * self.spread[kids]).tolist(), kids):
                     heapq.heappush(heap, (near, kid))
 
 
 def build(x: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF) -> Tree:
     rng = np.random.default_rng(5)
-    tree, work = Tree(x.mean(0, keepdims=True), [[]], [-1]), [(0, np.arange(len(x)))]
-    centres = [x.mean(0)]
+    tree, work = Tree(x.mean(0, keepdims=True), np.zeros(1), [[]], [-1]), [(0, np.arange(len(x)))]
+    centres, spreads = [x.mean(0)], [0.0]
     n_leaves = 0
     while work:
         node, rows = work.pop()
@@ -101,11 +109,12 @@ def build(x: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF) -> Tree:
             continue
         for k in np.unique(own).tolist():
             centres.append(c[k])
+            spreads.append(float(np.sqrt(((part[own == k] - c[k]) ** 2).sum(1).mean())))
             tree.children.append([])
             tree.leaf.append(-1)
             tree.children[node].append(len(centres) - 1)
             work.append((len(centres) - 1, rows[own == k]))
-    tree.centre = np.array(centres)
+    tree.centre, tree.spread = np.array(centres), np.array(spreads)
     return tree
 
 
@@ -127,42 +136,40 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, target: float = RECALL, probes:
     return int(ranked[min(len(ranked) - 1, int(np.ceil(target * len(ranked))) - 1)])
 
 
-def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _vectors(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:
+    """The vectors as a matrix: of `width` columns, or as many as the longest has; zeros fill up, what is over is cut."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
+    lengths = {len(r) for r in rows}
+    width = width or max(lengths, default=8) // 8
+    if lengths != {8 * width}:
+        rows = [r[: 8 * width].ljust(8 * width, b"\0") for r in rows]
+    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), width)
 
 
 def _clean(embeddings: DataFrame) -> DataFrame:
-    """vec_id long, x binary (float64), one row an id, of one length."""
+    """row long, vec_id long, x binary (float64). Row numbers are drawn as rows are read, so the result is to be written once."""
     v = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null")
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
-    v = v.filter(F.coalesce(fine, F.lit(False)))
-    lengths = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if lengths is None:
-        return v.select("vec_id", F.lit(b"").alias("x"))
-    v = v.filter(F.size("v") == lengths["n"]).groupBy("vec_id").agg(F.min("v").alias("v"))
+    v = v.filter(F.coalesce(fine, F.lit(False))).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = np.asarray(b.column("v").flatten())
-            width = len(flat) // b.num_rows if b.num_rows else 0
-            x = [r.tobytes() for r in flat.reshape(b.num_rows, width)]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(x, pa.binary())], names=["vec_id", "x"])
-
-    return v.mapInArrow(run, "vec_id long, x binary")
-
+            flat, cuts = np.asarray(b.column("v").flatten()), np.append(0, np.cumsum(np.asarray(b.column("v").value_lengths()))).astype(int)
+            x = [flat[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), pa.array(x, pa.binary())], names=["row", "vec_id", "x"])
 
-_FOUND = "query_id long, vec_id long, score double"
+    return v.mapInArrow(run, "row long, vec_id long, x binary")
 
 
-def _nothing() -> pa.Table:
-    return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+_FOUND = "query long, row long, score double, vec_id long"
 
 
-def best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first k of one block of candidates for each of one block of queries: query ids, ids, scores."""
-    order = np.argsort(cid, kind="stable")
-    cid, x = cid[order], np.ascontiguousarray(x[order])
+def best(asking: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The first k of one block of candidates (row, id, vector) for each of one block of queries (row, vector): query row, row, score, id."""
+    width = max(q.shape[1], x.shape[1])
+    q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
+    order = np.lexsort((rows, ids))
+    rows, ids, x = rows[order], ids[order], np.ascontiguousarray(x[order])
     _, first, which = np.unique(x.view([("", x.dtype)] * x.shape[1]).ravel(), return_index=True, return_inverse=True)
     groups = np.argsort(which, kind="stable")
     start = np.searchsorted(which[groups], np.arange(len(first)))
@@ -172,17 +179,17 @@ def best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int)
     take = min(k + 1, len(u))
     edge = -np.partition(-rough, take - 1, axis=1)[:, take - 1]
     slack = 1e-9 * np.maximum(np.linalg.norm(q, axis=1) * np.linalg.norm(u, axis=1).max(), 1e-300)
-    row, col = np.nonzero(rough >= (edge - slack)[:, None])
-    exact = (q[row] * u[col]).sum(1)
+    ask, col = np.nonzero(rough >= (edge - slack)[:, None])
+    exact = (q[ask] * u[col]).sum(1)
     n = np.minimum(size[col], k + 1)  # the smallest ids of a shared vector, and one more for the query itself
-    at = np.repeat(start[col], n) + np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
-    row, ids, score = np.repeat(row, n), cid[groups[at]], np.repeat(exact, n)
-    keep = ids != qid[row]
-    row, ids, score = row[keep], ids[keep], score[keep]
-    order = np.lexsort((ids, -score, row))
-    row, ids, score = row[order], ids[order], score[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    return qid[row[place < k]], ids[place < k], score[place < k]
+    at = groups[np.repeat(start[col], n) + np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)]
+    ask, score = np.repeat(ask, n), np.repeat(exact, n)
+    keep = rows[at] != asking[ask]
+    ask, at, score = ask[keep], at[keep], score[keep]
+    order = np.lexsort((at, -score, ask))
+    ask, at, score = ask[order], at[order], score[order]
+    near = np.arange(len(ask)) - np.searchsorted(ask, ask) < k
+    return asking[ask[near]], rows[at[near]], score[near], ids[at[near]]
 
 
 def search(embeddings: DataFrame, *, every: int = 20, k: int = 20, recall: float = RECALL) -> DataFrame:
@@ -190,20 +197,22 @@ def search(embeddings: DataFrame, *, every: int = 20, k: int = 20, recall: float
     spark = embeddings.sparkSession
     scratch = core.Scratch(spark, "ann")
     clean = scratch.write(_clean(embeddings), "vectors")
-    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = _vectors(sample.column("x"))
+    lengths = sample.column("x").to_pylist()
+    width = Counter(map(len, lengths)).most_common(1)[0][0] // 8
+    x = _vectors(sample.column("x"), width)
     tree = build(x)
     tree.visits = calibrate(tree, x, k, recall)
     sent = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf = sent.value.place(_vectors(b.column("x"))) if b.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], names=["vec_id", "x", "leaf"])
+            leaf = sent.value.place(_vectors(b.column("x"), width)) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], names=["row", "vec_id", "x", "leaf"])
 
-    index = scratch.write(clean.mapInArrow(place, "vec_id long, x binary, leaf long"), "index")
+    index = scratch.write(clean.mapInArrow(place, "row long, vec_id long, x binary, leaf long"), "index")
     held = np.zeros(tree.leaves, np.int64)
     for r in index.groupBy("leaf").count().collect():  # at most a row for each leaf
         held[r["leaf"]] = r["count"]
@@ -211,7 +220,7 @@ def search(embeddings: DataFrame, *, every: int = 20, k: int = 20, recall: float
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for q in _vectors(b.column("x")) if b.num_rows else []:
+            for q in _vectors(b.column("x"), width) if b.num_rows else []:
                 leaves, found = [], 0
                 for leaf in sent.value.order(q):
                     if held[leaf]:
@@ -220,10 +229,11 @@ def search(embeddings: DataFrame, *, every: int = 20, k: int = 20, recall: float
                         if len(leaves) >= sent.value.visits and found > k:
                             break
                 out.append(leaves)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("x"), pa.array(out, pa.list_(pa.int64()))], names=["vec_id", "x", "leaves"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("x"), pa.array(out, pa.list_(pa.int64()))], names=["row", "x", "leaves"])
 
-    visits = index.filter(F.col("vec_id") % every == 0).select("vec_id", "x").mapInArrow(walk, "vec_id long, x binary, leaves array<long>")
-    visits = scratch.write(visits, "visits").select("vec_id", "x", F.explode("leaves").alias("leaf"))
+    queries = index.filter(F.col("vec_id") % every == 0)
+    visits = queries.select("row", "x").mapInArrow(walk, "row long, x binary, leaves array<long>")
+    visits = scratch.write(visits, "visits").select("row", "x", F.explode("leaves").alias("leaf"))
     asked = np.zeros(tree.leaves, np.int64)
     for r in visits.groupBy("leaf").count().collect():
         asked[r["leaf"]] = r["count"]
@@ -232,16 +242,19 @@ def search(embeddings: DataFrame, *, every: int = 20, k: int = 20, recall: float
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shape = F.broadcast(spark.createDataFrame(shape, "leaf long, chunks int, blocks int"))  # a row for each leaf
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asks = visits.join(shape, "leaf").select("leaf", "vec_id", "x", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), upto("chunks").alias("chunk"))
-    held_by = index.join(shape, "leaf").select("leaf", "vec_id", "x", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"), upto("blocks").alias("block"))
+    asks = visits.join(shape, "leaf").select("leaf", "row", "x", F.pmod(F.xxhash64("row"), "blocks").cast("int").alias("block"), upto("chunks").alias("chunk"))
+    held_by = index.join(shape, "leaf").select("leaf", "row", "vec_id", "x", F.pmod(F.xxhash64("row"), "chunks").cast("int").alias("chunk"), upto("blocks").alias("block"))
     by = ["leaf", "chunk", "block"]
 
     def look(asking: pa.Table, holding: pa.Table) -> pa.Table:
+        names = ("query", "row", "score", "vec_id")
         if not asking.num_rows or not holding.num_rows:
-            return _nothing()
-        got = best(np.asarray(asking.column("vec_id")), _vectors(asking.column("x")), np.asarray(holding.column("vec_id")), _vectors(holding.column("x")), k)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), got)))
+            return pa.table({n: pa.array([], pa.float64() if n == "score" else pa.int64()) for n in names})
+        row, own = (np.asarray(t.column("row")) for t in (asking, holding))
+        got = best(row, _vectors(asking.column("x")), own, np.asarray(holding.column("vec_id")), _vectors(holding.column("x")), k)
+        return pa.table(dict(zip(names, got)))
 
     found = asks.groupBy(*by).cogroup(held_by.groupBy(*by)).applyInArrow(look, _FOUND)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
+    found = found.withColumn("rank", rank).filter(F.col("rank") <= k).join(queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

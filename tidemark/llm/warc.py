@@ -5,10 +5,17 @@ line, body). For each, two records are derived that name it in WARC-Refers-To an
 record of warc-fields (the source's status and headers, payload digest, title, language, out-links) and a `conversion`
 record with the plain text of its HTML. Record ids are name-based, digests are SHA-1 in base32, both as WARC writes them.
 
+Chunks and content encodings (gzip, deflate, zstd) of a body are undone and its charset is taken from the Content-Type header,
+else from a meta tag, else UTF-8. The payload digest is that of the body as it was sent, without its chunks. A written
+record keeps what the row has: the refers-to id, the payload digest, and each source header in a WARC-Source-Header line.
+
 Everything works on one record at a time, in one pass without a shuffle. Defined cases: a null or empty body gives a
 metadata record and a conversion record without text; a null target or date leaves that header out; a block without an
-empty line is all headers; header names are kept as they come, repeated ones all. Equal responses give equal records (and
-ids), one for each row. A null record_id is named after the rest of the response. Empty table: empty result.
+empty line is all headers; header names are kept as they come, repeated ones all; a body that its encoding does not fit is
+read as it is, an unknown charset as UTF-8, wrong bytes as replacement characters. Line breaks in header values become
+blanks. Equal responses give equal records (and ids), one for each row. A null record_id is named after the rest of the
+response. Kept columns that have a derived column's name come out as `source_<name>`. Reading, a record without a valid
+length ends at the next record. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -65,6 +72,62 @@ def read_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, s, v in (x.partition(":") for x in lines[1:]) if s], body
 
 
+def _unchunked(body: bytes) -> bytes:
+    """A body without its chunk sizes; as it is where they do not fit."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return body
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out) if out else body
+
+
+def _unpacked(body: bytes, encoding: str) -> bytes:
+    """A body without one content encoding; as it is where that does not fit or is not known."""
+    import zlib
+
+    import zstandard
+
+    try:
+        if encoding in ("gzip", "x-gzip"):
+            return zlib.decompressobj(47).decompress(body)
+        if encoding == "deflate":
+            try:
+                return zlib.decompressobj().decompress(body)
+            except zlib.error:
+                return zlib.decompressobj(-15).decompress(body)
+        if encoding == "zstd":
+            return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+    except (zlib.error, zstandard.ZstdError):
+        pass
+    return body
+
+
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+
+
+def entity(headers: list[tuple[str, str]], body: bytes) -> tuple[bytes, str]:
+    """The payload of a response (its body without chunks) and the page it holds as text."""
+    said = lambda name: [v for k, v in headers if k.lower() == name]
+    if any("chunked" in v.lower() for v in said("transfer-encoding")):
+        body = _unchunked(body)
+    page = body
+    for encoding in reversed([e.strip().lower() for v in said("content-encoding") for e in v.split(",")]):
+        page = _unpacked(page, encoding)
+    charset = next((m[1] for v in said("content-type") if (m := _CHARSET.search(v))), None)
+    if charset is None and (m := re.search(rb"<meta\b[^>]*charset\s*=\s*[\"']?([\w.:-]+)", page[:2048], re.I)):
+        charset = m[1].decode("ascii", "replace")
+    try:
+        return body, page.decode(charset or "utf-8", "replace")
+    except LookupError:
+        return body, page.decode("utf-8", "replace")
+
+
 def fields(status: str, headers: list[tuple[str, str]], payload: str, page: str) -> bytes:
     """The block of a metadata record."""
     one = lambda s: _SPACE.sub(" ", html.unescape(s).replace("\n", " ")).strip()
@@ -86,9 +149,17 @@ def responses(pages: DataFrame, *, date: str = NO_DATE) -> DataFrame:
 def derive(records: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
     """The two derived records of each response, with the columns named in `keep` before them."""
     core.ship(records.sparkSession)
-    keep = keep or []
-    base = records.select(*keep, *[F.col(c).cast("string").alias(f"__{c}") for c in ("record_id", "target_uri", "warc_date")], F.col("block").cast("binary").alias("__block"))
-    schema = ", ".join([*(f"`{c}` {records.schema[c].dataType.simpleString()}" for c in keep), DERIVED])
+    taken = {f.split(" ")[0] for f in DERIVED.replace("struct<name:string,value:string>", "x").split(", ")}
+    named = []
+    for c in keep or []:
+        new = c
+        while new.lower() in taken:
+            new = f"source_{new}"
+        taken.add(new.lower())
+        named.append((c, new))
+    keep = [new for _, new in named]
+    base = records.select(*[F.col(f"`{c}`").alias(new) for c, new in named], *[F.col(c).cast("string").alias(f"__{c}") for c in ("record_id", "target_uri", "warc_date")], F.col("block").cast("binary").alias("__block"))
+    schema = ", ".join([*(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in keep), DERIVED])
     names = [*keep, *(f.split(" ")[0] for f in DERIVED.replace("struct<name:string,value:string>", "x").split(", "))]
     headers_type = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
     kinds = [pa.string()] * 6 + [headers_type, pa.int64(), pa.string(), pa.string(), pa.binary()]
@@ -98,7 +169,8 @@ def derive(records: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
             rows, source = [], []
             for k, (rid, uri, date, block) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("__record_id", "__target_uri", "__warc_date", "__block")))):
                 status, headers, body = read_http(block or b"")
-                page, payload = body.decode("utf-8", "replace"), digest(body)
+                body, page = entity(headers, body)
+                payload = digest(body)
                 rid = rid or name("response", uri, date, block or b"")
                 pairs = [{"name": n, "value": v} for n, v in headers]
                 for kind, content_type, out in (("metadata", "application/warc-fields", fields(status, headers, payload, page)), ("conversion", "text/plain; charset=utf-8", plain(page).encode("utf-8", "surrogatepass"))):
@@ -110,13 +182,17 @@ def derive(records: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
+_HEADERS = (("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type"))
+_SOURCE = "WARC-Source-Header"
+
+
 def serialise(row: dict) -> bytes:
-    """A record as WARC 1.1 writes it."""
+    """A record as WARC 1.1 writes it; source headers in lines of a name of our own, as the standard allows."""
+    one = lambda v: re.sub(r"[\r\n]+", " ", str(v)).strip()
     lines = ["WARC/1.1", f"WARC-Type: {row['warc_type']}", f"WARC-Record-ID: {row['record_id']}"]
-    for header, column in (("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type")):
-        if row.get(column) is not None:
-            lines.append(f"{header}: {row[column]}")
-    return ("\r\n".join([*lines, f"Content-Length: {len(row['block'])}"]) + "\r\n\r\n").encode() + bytes(row["block"]) + b"\r\n\r\n"
+    lines += [f"{header}: {one(row[column])}" for header, column in _HEADERS if row.get(column) is not None]
+    lines += [f"{_SOURCE}: {one(h['name'])}: {one(h['value'])}" for h in row.get("source_headers") or []]
+    return ("\r\n".join([*lines, f"Content-Length: {len(row['block'])}"]) + "\r\n\r\n").encode("utf-8", "surrogatepass") + bytes(row["block"]) + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -126,36 +202,56 @@ def parse(data: bytes) -> Iterator[dict]:
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", start)
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[start:end].decode().split("\r\n")[1:])}
-        size = int(head["content-length"])
-        yield {"warc_type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "refers_to": head.get("warc-refers-to"), "target_uri": head.get("warc-target-uri"), "warc_date": head.get("warc-date"), "block_digest": head.get("warc-block-digest"), "content_type": head.get("content-type"), "block": data[end + 4 : end + 4 + size]}
-        at = end + 4 + size
+    while (start := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", start)) >= 0:
+        lines = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in data[start:end].decode("utf-8", "replace").split("\r\n")[1:])]
+        head = {k.lower(): v for k, v in lines}
+        size = head.get("content-length", "")
+        if size.isdigit():
+            stop = end + 4 + int(size)
+        else:
+            stop = data.find(b"\r\n\r\nWARC/", end)
+            stop = len(data) if stop < 0 else stop
+        source = [{"name": n.strip(), "value": w.strip()} for k, v in lines if k == _SOURCE for n, _, w in (v.partition(":"),)]
+        yield {"warc_type": head.get("warc-type"), "record_id": head.get("warc-record-id"), **{c: head.get(h.lower()) for h, c in _HEADERS}, "source_headers": source, "block": data[end + 4 : stop]}
+        at = stop
+
+
+_READ = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, block_digest string, payload_digest string, content_type string, source_headers array<struct<name:string,value:string>>, block binary"
+_COLUMNS = ["warc_type", "record_id", "refers_to", "target_uri", "warc_date", "block_digest", "payload_digest", "content_type", "source_headers", "block"]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files; a file must fit in a task."""
+    """The records of WARC files. A file is read whole in one task (Spark's limit is 2 GB a file); its records leave in small batches."""
     core.ship(spark)
-    names = ["warc_type", "record_id", "refers_to", "target_uri", "warc_date", "block_digest", "content_type", "block"]
+    pairs = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+    kinds = {"block": pa.binary(), "source_headers": pairs}
+
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in _COLUMNS], names=_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column("content"):
-                rows = list(parse(data.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.binary() if c == "block" else pa.string()) for c in names], names=names)
+                held, size = [], 0
+                for record in parse(data.as_py()):
+                    held.append(record)
+                    size += len(record["block"])
+                    if size > STEP_BYTES:
+                        yield made(held)
+                        held, size = [], 0
+                if held:
+                    yield made(held)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'block' else 'string'}" for c in names))
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _READ)
 
 
 def with_bytes(derived: DataFrame) -> DataFrame:
     """`derived` with the whole record in column `record`, ready for a file sink."""
     core.ship(derived.sparkSession)
-    columns = ["warc_type", "record_id", "refers_to", "target_uri", "warc_date", "block_digest", "content_type", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.select(columns).to_pylist()
+            rows = b.select(_COLUMNS).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([serialise(r) for r in rows], pa.binary())], names=[*b.schema.names, "record"])
 
     return derived.mapInArrow(run, T.StructType([*derived.schema.fields, T.StructField("record", T.BinaryType())]))
