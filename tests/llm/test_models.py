@@ -99,6 +99,37 @@ def test_toxicity_thresholds_are_ordered():
     assert t[0] <= t[1] and min(w[0], w[1]) > max(w[2:])
 
 
+def test_toxicity_on_held_out_labels(spark, tables):
+    """The two-valued labels of the tables: nearly no clean document is marked; some marked ones hold no word that tells."""
+    docs, labels = tables
+    got = {r.doc_id: r for r in toxicity.report(docs, labels).collect()}
+    held = [(got[r.doc_id].toxic, r.toxic == 1) for r in labels.collect() if r.doc_id in got and got[r.doc_id].held_out]
+    marked, clean = ([a for a, b in held if b is side] for side in (True, False))
+    assert len(marked) >= 5 and np.mean(marked) >= 0.6 and np.mean(clean) <= 0.02
+
+
+def test_toxicity_of_given_grades(spark, monkeypatch):
+    """Four grades, told by words of their own: held-out severities rise with the grade; grades past the most are left out."""
+    words = ["mild", "rough", "vile"]
+    data = [(k, cases.prose(k, 40) + " " + " ".join(words[: k % 4] * 2)) for k in range(600)]
+    docs, labels = cases.documents(spark, data), spark.createDataFrame([(k, k % 4) for k, _ in data], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.report(docs, labels).collect()}
+    mean = [np.mean([r.severity for k, r in got.items() if r.held_out and k % 4 == g]) for g in range(4)]
+    assert all(b - a > 0.5 for a, b in zip(mean, mean[1:])), mean
+    monkeypatch.setattr(toxicity, "MOST_VALUES", 2)
+    assert toxicity.report(docs, labels).count() == 600
+
+
+def test_languages_past_the_most_are_left_out(spark, monkeypatch):
+    said = {"aa": "kala mina tovo ", "bb": "streng zwolf brucke ", "cc": "ploc ploc quix "}
+    rows = [(k, said[g] * (3 + k % 5), g) for k, g in enumerate((["aa"] * 60 + ["bb"] * 60 + ["cc"] * 3))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    got = langid.report(d).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} <= {"aa", "bb"}
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in got if rows[r.doc_id][2] != "cc"]) > 0.95
+
+
 def test_toxicity_cases(spark):
     d = cases.documents(spark)
     labels = spark.createDataFrame([(0, 1), (3, 0), (10, 0), (7, None), (None, 1), (12, 1), (12, 0)], "doc_id long, toxic int")

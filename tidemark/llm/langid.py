@@ -27,7 +27,7 @@ from . import core
 BUCKETS, ORDERS, PER_LANGUAGE = 4096, 3, 600
 #: Training documents in all, about; with more than ten languages each gets an equal share of them.
 MOST_DOCUMENTS = 6000
-#: Languages at most; a column with more distinct values is no language column.
+#: Languages at most that a model learns: the most frequent ones, the smaller name on ties. Every document gets a prediction all the same.
 MOST_LANGUAGES = 1000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.002, 3
 _ROWS = 128
@@ -35,7 +35,7 @@ _MUL = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B)]
 _SALT = np.array([0x27D4EB2F, 0x165667B1, 0xC2B2AE35], np.uint32)
 
 
-def _letters(low: int = 0x3000) -> np.ndarray:
+def _letters(low: int = 0x32000) -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(low)])
 
 
@@ -48,7 +48,7 @@ def counts(texts: list[str | None]) -> np.ndarray:
     code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     lens = np.array([len(t) for t in low])
     row = np.repeat(np.arange(len(low), dtype=np.int64) * BUCKETS, lens)
-    gap = np.where(code < len(_LETTER), ~_LETTER[np.minimum(code, len(_LETTER) - 1)], False)
+    gap = np.where(code < len(_LETTER), ~_LETTER[np.minimum(code, len(_LETTER) - 1)], True)  # letters end below
     code = np.where(gap, np.uint32(32), code)
     keep = ~gap | np.append(True, ~gap[:-1])  # a run of gaps is one
     code, row = code[keep], row[keep]
@@ -129,9 +129,9 @@ def fit(documents: DataFrame, *, learn: Column | None = None, per_language: int
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter("lang is not null and doc_id is not null")
     if learn is not None:
         base = base.filter(learn)
-    found = {r["lang"]: r["count"] for r in base.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} distinct languages")
+    found = {r["lang"]: r["count"] for r in base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    if len(found) == MOST_LANGUAGES:
+        base = base.filter(F.col("lang").isin(list(found)))
     languages = sorted(found)
     none = Model(languages, np.zeros(BUCKETS), np.zeros((BUCKETS, len(languages))), 1.0)
     if len(languages) < 2:

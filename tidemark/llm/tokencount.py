@@ -15,11 +15,11 @@ independent: repeated rows and null ids give a row each. Empty table: empty resu
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,7 +42,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, *, eod: int, dtype: str
     sent = spark.sparkContext.broadcast((bpe.serialise(ranks), ranks, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, file, number = bpe.Codec(*sent.value, dtype=dtype), uuid.uuid4().hex, 0
+        codec, file, number = bpe.Codec(*sent.value, dtype=dtype), f"part-{TaskContext.get().partitionId():06d}", 0
         stop, held, ids, ends, size, most = np.array([eod], dtype).tobytes(), [], [], [], 0, block * np.dtype(dtype).itemsize
 
         def cut() -> Iterator[pa.RecordBatch]:
