@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import filing, orderbook
 from ..operators import pages, sequences
+from ..shared import cut
 from ..streaming import ingest
 from . import base, scored, series
 
@@ -91,7 +92,8 @@ _ALERTS = (
 @query(_ALERTS)
 def alert_messages(spark, sf):
     """A message for every order to alert of: tier HIGH or MEDIUM, and no twin of one of a smaller id."""
-    return pages.message(ingest.to_alert(scored.scored(spark, sf)))
+    # scored once, then looked at twice: for twins and for the messages
+    return pages.message(ingest.to_alert(cut(scored.scored(spark, sf), "scored")))
 
 
 @query(_ALERTS)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import money, scoring
 from ..functions.calendar import duration_months
 from ..operators import sequences
+from ..shared import cut
 from . import base
 
 
@@ -26,6 +27,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = base.filings(spark, sf_dir, heavy=True).join(base.companies(spark, sf_dir), "company_id")
     f = f.withColumn("text", base.filing_text()).drop("order_value_inr", "execution_months")
     f = f.withColumn("order_value_inr", F.bround(money.simple_value(F.col("text")))).withColumn("execution_months", duration_months(F.col("text"), F.col("filed_at")))
+    # what is read out of text is written once, as the silver table it belongs in: every later expression names columns of it
+    f = cut(f.drop("text"), "silver")
     f = sequences.novelty_history(_with_fundamentals(f))
     f = f.withColumns({
         "ebitda_margin": F.when(F.col("balance") > 0, F.col("balance") / 40000), "market_cap_inr": F.when(F.col("company_id") % 2 == 0, F.col("company_id") * 1e8),
