@@ -19,13 +19,10 @@ def test_receipt(said, yes):
     assert (filing.receipt(said) is not None) == yes
 
 
-def test_scope_and_summary():
+def test_scope():
     what = filing.scope("We have received a work order from NTPC Limited for design and supply of control cables worth Rs 12 crore, to be completed within 6 months.")
     assert what == "design and supply of control cables"
-    assert filing.summary(what, "NTPC Limited", 12e7, 6) == "Design and supply of control cables for NTPC Limited, Rs 12 Cr, 6 months"
-    long = filing.summary("supply of " + "very long description " * 20, "A Customer With A Name", 12e7, 6)
-    assert len(long) <= filing.LONGEST and "Rs 12 Cr" in long
-    assert filing.scope("for your information and records") is None and filing.summary(None, None, None, None) is None
+    assert filing.scope("for your information and records") is None
 
 
 def row(spark, **columns):
@@ -101,3 +98,34 @@ def test_alerts_leave_out_twins(spark):
     o = spark.createDataFrame([(1, 7, 100e7, at, "HIGH"), (2, 7, 100.2e7, at, "HIGH"), (3, 8, 100e7, at, "WATCH"), (4, 9, 5e7, at, "MEDIUM")], "order_id long, company_id long, order_value_inr double, filed_at timestamp, tier string")
     assert sorted(r.order_id for r in ingest.to_alert(o).collect()) == [1, 4]
     assert sorted(map(tuple, views.difference(o.filter("order_id < 3"), o.filter("order_id > 1"), "order_id").collect())) == [(1, "removed"), (3, "added"), (4, "added")]
+
+
+def test_summaries(spark):
+    rows = [
+        ("design and supply of control cables", "NTPC Limited", "work order", 12e7, 6.0, None),
+        ("supply of " + "very long description " * 20, "A Customer With A Name", "loa", 27.72e7, 24.0, None),
+        (None, "Northern Power Distribution Company of Telangana Limited (TG NPDCL)", "mou", None, 1.0, None),
+        (None, None, "work order", 5.5e6, None, "Award of a rail contract"), (None, "lower case", "loi", 5e5, 3.0, None), (None, None, None, None, None, None),
+        ("for the upkeep of roads", "Steel Authority of India Limited, Plant Number One", None, None, 1.5, None),
+    ]
+    d = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, what string, customer string, kind string, value double, months double, title string")
+    got = [r.summary for r in filing.summarise(d, "what", F.col("customer"), "kind", "value", "months", F.col("title")).orderBy("k").collect()]
+    assert got[0] == "₹12 Cr order from NTPC for design and supply of control cables, over 6 months."
+    assert got[1].startswith("₹27.72 Cr Letter of Award from a Customer With A Name for supply of very long") and got[1].endswith(", over 2 years.") and len(got[1]) <= filing.LONGEST
+    assert got[2] == "MoU with TG NPDCL, over 1 month."
+    assert got[3] == "Award of a rail contract (₹55 L)." and got[4] is None and got[5] is None
+    assert got[6] == "Order from Steel Authority of India for the upkeep of roads, over 46 days."
+
+
+def test_titles_and_tables(spark):
+    said = "Name of the entity awarding the order(s)/contract(s) M/s. Jal Vitaran Nigam; Nature of order(s)/contract(s) Laying of water mains in two towns Whether domestic or international Domestic Time period 12 months"
+    rows = [
+        ("General Updates", 'A release titled "Company wins a large water project".', None), ("Update", "Company has informed the Exchange about receipt of a large repeat order for pumps.", None),
+        ("Large repeat order for pumps won by us.", "", None), ("Intimation under the rules of the exchange", "", None), ("Contract", said, None), (None, None, None),
+    ]
+    d = spark.createDataFrame([(k, *r, None, "work order", None, None) for k, r in enumerate(rows)], "k int, headline string, body string, attachment string, customer string, order_type string, order_value_inr double, execution_months double")
+    got = filing.describe(d).withColumn("title", filing.fallback_title(F.col("headline"), F.col("body"))).orderBy("k").collect()
+    assert [r.title for r in got[:4]] == ["Company wins a large water project", "Receipt of a large repeat order for pumps", "Large repeat order for pumps won by us", None]
+    assert (got[4].scope, got[4].stated_customer) == ("Laying of water mains in two towns", "Jal Vitaran Nigam")
+    assert got[4].summary == "Order from Jal Vitaran Nigam for Laying of water mains in two towns."
+    assert got[5].summary is None and got[5].scope is None

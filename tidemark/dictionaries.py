@@ -150,3 +150,19 @@ OBJECT_STOP = r",?\s+(?:amounting|worth|valued|aggregating|totall?ing|having|dat
 OBJECT_JUNK = r"\b(?:your\s+(?:kind\s+)?(?:information|reference|records?|perusal)|information\s+and\s+records?|(?:quarter|half[- ]year|month|year|period)\s+ended|financial\s+year|regulation\s*30|sebi|listing\s+obligations|disclosure|annexure|intimation|compliance|the\s+above|the\s+following|the\s+same|stock\s+exchange|payment|loans?|borrow\w*)\b"
 # A sign or letter that stands where a scan lost the rupee sign.
 RUPEE_DAMAGE = r"(?i)(?:(?<!\d)[%~¢=?]|(?<![\w.,])[ntz])\s?\d[\d,]*(?:\.\d+)?\s*(?:lacs?|lakhs?|crores?)\b"
+# Rows of a disclosure table in running text: labels of the work, of who awards it, and what opens the next row.
+TABLE_WORK = r"\b(?:nature\s+of\s+(?:the\s+)?order|significant\s+terms\s+and\s+conditions\s+of)\b"
+TABLE_ENTITY = r"\bname\s*(?:\(\s*s\s*\))?\s+of\s+the\s+entity\b"
+TABLE_NEXT = r"\b(?:whether|time\s+period|broad\s+consideration|name\s*(?:\(\s*s\s*\))?\s+of\s+the\s+entity|any\s+other|nature\s+of|significant\s+terms)\b|\s\d{1,2}\s*[.)]\s|\s[a-h]\s*[.)]\s"
+TABLE_WORDS = r"\border\s*\(\s*s\s*\)\s*/?\s*|\bcontract\s*\(\s*s\s*\)\s*[;,]?|\(\s*s\s*\)\s*/?|\bawarding\s+the\b|\bawarded\s*,?\s*(?:in\b\s*)?(?:brief\s*;?)?|\bin\s+brief\s*;?|\bsignificant\s+terms\s+and\s+conditions\s+of\b"
+TABLE_SAYS_NOTHING = r"^(?:as\s+per|general|the\s+contract\s+is\s+governed|commercial|domestic|international|not\s+applicable|not\s+disclosed|n\.?a\.?\b|nil|confidential|standard|usual|the\s+company|particulars|details|letter\s+of|terms\s+and\s+conditions|yes|no\b|fixed\s+(?:cost|price)|lump\s*-?\s*sum|item\s+rate|percentage\s+rate)"
+# A filing's own title, and titles that say nothing.
+TITLE_QUOTED = r"\btitled\s+\"([^\"]{15,220})\""
+TITLE_INFORMED = r"\bhas\s+informed\s+the\s+exchange\s+(?:about|regarding)\s+(.{15,240}?)(?:\.\s|\.?$)"
+TITLE_GENERIC = r"^(?:the\s+)?(?:bagging|receiving|awarding|announcement|intimation|disclosure|press\s+release|updates?\b|general\s+updates?|outcome|submission|regulation|reg\.?\s*30|please\s+find|with\s+reference|a\s+press\s+release|receipt\s+of\s+(?:purchase\s+|work\s+)?orders?\s*[:.-]?\s*$)"
+# Names that are no customer, and where a long phrase may be cut.
+CUSTOMER_JUNK = r"\b(?:schedule|regulations?|para|listing|sr\.?\s*no|sebi|annexure|circular)\b|\b(?:worth|rs\.?|crores?|lakhs?|for\s+the)\b|\d{3,}"
+LEGAL_TAIL = r"(?:[\s,]+(?:private|pvt\.?))?[\s,]+(?:limited|ltd\.?|llc|plc|inc\.?|gmbh|ltda)\.?$"
+PHRASE_BREAKS = r"(?:, | for | under | at | in | from | including | through | with | as | via )"
+#: What an order of a kind is called, by the firmness of its phrase.
+ORDER_NOUNS = {0.60: "Letter of Intent", 0.40: "lowest bid (L1)", 0.30: "MoU"}

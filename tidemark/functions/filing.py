@@ -31,8 +31,8 @@ def receipt(said: str | None) -> str | None:
     return None
 
 
-def scope(said: str | None) -> str | None:
-    """What an order is for: the best phrase behind a lead that stands near the word for an order."""
+def _rated_scope(said: str | None, weight: float = 2.0) -> tuple[float, str] | None:
+    """The best phrase behind a lead that stands near the word for an order, and its points."""
     said = re.sub(r"\s+", " ", said or "").strip()
     best: tuple[float, str] | None = None
     for m in _LEAD.finditer(said):
@@ -48,30 +48,147 @@ def scope(said: str | None) -> str | None:
         term = re.match(r"(?:an?\s+|the\s+)?(?:period|term|tenure)\s+of\b|\S+\s+(?:years?|months?|weeks?|days?)\b|(?:approx|rs|inr|usd|₹|\d)", phrase, re.I)
         if len(words) < 2 or len(phrase) < 10 or term or _JUNK.search(phrase):
             continue
-        points = 2.0 + any(p.search(pre) for p in _RECEIPTS) + min(len(words), 12) / 12 - (len(words) > 40)
+        points = weight + any(p.search(pre) for p in _RECEIPTS) + min(len(words), 12) / 12 - (len(words) > 40)
         if best is None or points > best[0]:
             best = (points, phrase)
+    return best
+
+
+def scope(said: str | None) -> str | None:
+    """What one text says an order is for."""
+    best = _rated_scope(said)
     return best and best[1]
 
 
-def summary(what: str | None, customer: str | None, value: float | None, months: float | None, most: int = LONGEST) -> str | None:
-    """One line; the object is cut first, then months, then the customer go."""
-    if not what:
-        return None
-    head = what[0].upper() + what[1:]
-    cost = "" if value is None else f", Rs {value / 1e7:,.2f} Cr".replace(".00 ", " ") if value >= 1e7 else f", Rs {value / 1e5:,.2f} L".replace(".00 ", " ")
-    for tail in (f"{f' for {customer}' if customer else ''}{cost}{f', {months:.0f} months' if months else ''}", f"{f' for {customer}' if customer else ''}{cost}", cost):
-        room = most - len(tail)
-        if len(head) <= room:
-            return head + tail
-        if room >= 60:
-            return head[: room - 1].rsplit(" ", 1)[0].rstrip(" ,;") + "…" + tail
-    return head[: most - 1].rsplit(" ", 1)[0] + "…"
+def rated(headline: str | None, body: str | None, attachment: str | None) -> dict | None:
+    """The best phrase of a filing's texts, the earlier on ties; a headline's weighs a little less."""
+    found = [x for x in (_rated_scope(body), _rated_scope(attachment), _rated_scope(headline, 1.8)) if x]
+    return dict(zip(("points", "phrase"), max(found, key=lambda x: x[0]))) if found else None
 
 
 receipt_statement = F.udf(receipt, T.StringType(), useArrow=True)
-order_scope = F.udf(scope, T.StringType(), useArrow=True)
-order_summary = F.udf(summary, T.StringType(), useArrow=True)
+order_scope = F.udf(rated, T.StructType([T.StructField("points", T.DoubleType()), T.StructField("phrase", T.StringType())]), useArrow=True)
+
+
+def tidy(x: Column) -> Column:
+    """A phrase without quotes, marks and loose words at its end."""
+    x = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), r"^[ ,;:\-/'\"*.]+|[ ,;:\-/'\"*.]+$", ""), '"', "")
+    return F.regexp_replace(x, r"(?i)(?:\s+(?:of|and|or|the|for|to|in|with|an?|by|at|from|under|on|as|via|through|including|be|is|are|&))+$", "")
+
+
+def _row_of_table(said: Column, label: str, most: int) -> Column:
+    """The words behind a label up to the next row of a table; null where they are no answer."""
+    said = F.regexp_replace(said, r"\s+", " ")
+    group = lambda k: F.nullif(F.regexp_extract(said, rf"(?i){label}(?:(.{{12}}.{{0,{most}}}?)(?=(?:{D.TABLE_NEXT})|$)|(.{{12,{most}}})\s)", k), F.lit(""))
+    found = F.coalesce(group(1), group(2))
+    bare = tidy(F.regexp_replace(F.regexp_replace(found, "(?i)" + D.TABLE_WORDS, " "), r"(?i)^\s*(?:of\s+)?(?:the\s+)?(?:order|contract)s?\b|^[\s:;,.\-/]*(?:m/s\.?\s*)?", " "))
+    return scoring.bind(bare, lambda answer: F.when((F.char_length(answer) >= 3) & ~F.rlike(answer, F.lit("(?i)" + D.TABLE_SAYS_NOTHING)), answer))
+
+
+def table_phrase(said: Column) -> Column:
+    """Y2: what a table in running text says the work is."""
+    return tidy(F.regexp_replace(_row_of_table(said, D.TABLE_WORK, 420), rf"(?i)(?:{D.OBJECT_STOP})[\s\S]*$", ""))
+
+
+def table_points(phrase: Column) -> Column:
+    """The points of a table's phrase; null where it describes no work."""
+    words = F.regexp_count(phrase, F.lit("[A-Za-z]{2,}"))
+    ok = (words >= 2) & (F.char_length(phrase) >= 10) & ~F.rlike(phrase, F.lit("(?i)" + D.OBJECT_JUNK))
+    return F.when(ok, 2.5 + F.least(words, F.lit(12)) / 12 - F.when(words > 40, 1.0).otherwise(0.0))
+
+
+def table_customer(said: Column) -> Column:
+    """Y2: who awards the order, as a table in running text has it; not who it is awarded to."""
+    name = F.regexp_extract(_row_of_table(said, D.TABLE_ENTITY + r"(?=.{0,100}?awarding)", 220), r"^(.*?)(?:;|\s\d{1,2}\s*[.)]?(?:\s|$)|\.\s+(?=[A-Z])|$)", 1)
+    return scoring.bind(name, lambda n: F.when(F.char_length(n).between(3, 100), n))
+
+
+def fallback_title(headline: Column, body: Column) -> Column:
+    """A filing's own title: a quoted one, what the exchange was informed about, a headline that says something."""
+    quoted = lambda x: F.nullif(F.rtrim(F.regexp_extract(x, "(?i)" + D.TITLE_QUOTED, 1)), F.lit(""))
+    says = lambda x: ~F.rlike(x, F.lit("(?i)" + D.TITLE_GENERIC)) & ~F.rlike(x, F.lit("(?i)" + D.OBJECT_JUNK))
+    told = lambda x: scoring.bind(tidy(F.regexp_extract(x, "(?i)" + D.TITLE_INFORMED, 1)), lambda t: F.when((F.char_length(t) >= 20) & says(t), F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 400))))
+    from_head = lambda x: F.when((F.char_length(x) >= 25) & says(x), F.substring(F.regexp_replace(x, r"[ .]+$", ""), 1, 220))
+    two = F.struct(text.clean_text(headline).alias("h"), text.clean_text(body).alias("b"))
+    return scoring.bind(two, lambda t: F.coalesce(quoted(t["b"]), quoted(t["h"]), told(t["b"]), from_head(t["h"])))
+
+
+def good_customer(name: Column) -> Column:
+    """Whether a name can stand in a description: no parse cut short, no boilerplate."""
+    n = F.trim(name)
+    count = lambda p: F.regexp_count(n, F.lit(p))
+    whole = (count(r"\(") == count(r"\)")) & (count(r"(?:^|\s)'|'(?:\s|$)") % 2 == 0)
+    return F.coalesce(F.rlike(n, F.lit("^[A-Z]")) & ~F.rlike(n, F.lit("(?i)" + D.CUSTOMER_JUNK)) & whole & (F.contains(n, F.lit(" ")) | (n == F.upper(n))), F.lit(False))
+
+
+def _short_customer(n: Column) -> Column:
+    """A name (white space squeezed) without its legal form; a very long one by its first part, its acronym or without brackets."""
+    long = lambda x: F.char_length(x) > 45
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, "(?i)" + D.LEGAL_TAIL, ""), r"^[ ,.]+|[ ,.]+$", "")
+    acronym = lambda x: F.nullif(F.trim(F.regexp_extract(x, r"\(([A-Z][A-Z0-9&.\- ]{2,15})\)", 1)), F.lit(""))
+    shorter = lambda x: F.when(long(x), F.coalesce(acronym(x), bare(F.regexp_replace(x, r"(?:\s*\([^()]*\))+\s*$", "")))).otherwise(bare(x))
+    return scoring.bind(F.when(long(n), F.substring_index(n, ",", 1)).otherwise(n), shorter)
+
+
+def fit(x: Column, room: Column) -> Column:
+    """A phrase in so many characters: cut at a break that keeps most of it, or between words. `x` and `room` are plain columns."""
+    head = F.substring(x, F.lit(1), room + 1)
+    part = F.regexp_extract(head, rf"(?s)^(.*){D.PHRASE_BREAKS}", 1)
+    cut = scoring.bind(part, lambda p: F.when(F.char_length(p) >= room * 0.6, p).otherwise(F.coalesce(F.nullif(F.regexp_extract(head, r"(?s)^(.*) ", 1), F.lit("")), F.substring(x, F.lit(1), room))))
+    return F.when(F.char_length(x) <= room, x).otherwise(tidy(cut))
+
+
+def period_words(months: Column) -> Column:
+    """Months as a description has them: days, months or whole years; null for none."""
+    n = F.bround(months)
+    many = lambda k, unit: F.concat(k.cast("int").cast("string"), F.lit(f" {unit}"), F.when(k == 1, "").otherwise("s"))
+    years = F.bround(months / 12)
+    return F.when((months < 3) & (F.abs(months - n) > 0.1), many(F.bround(months * 30.44), "day")).when((months >= 12) & (F.abs(months / 12 - years) < 0.01), many(years, "year")).when(months > 0, many(n, "month"))
+
+
+def summarise(d: DataFrame, what: str, customer: Column, kind: str, value: str, months: str, title: Column, most: int = LONGEST) -> DataFrame:
+    """`d` with summary, one sentence: value and kind, from whom, for what, over how long. The object is cut to fit; a customer
+    that leaves it under 40 characters goes. Without object and customer the filing's title stands, or nothing.
+
+    What is named more than once is a column of its own, so that no expression is copied.
+    """
+    noun = F.when(F.col(kind).isin("letter of award", "loa"), "Letter of Award")
+    for firmness, name in D.ORDER_NOUNS.items():
+        noun = noun.when(F.col(kind).isin(D.FIRMNESS[firmness]), name)
+    noun = noun.when(F.col(kind) == "amendment", "change to an order").otherwise("order")
+    what_, who, c = F.col(what), F.col("__who"), F.col
+    d = d.withColumns({"__name": F.trim(F.regexp_replace(customer, r"\s+", " ")), "__cost": money.short_rupees(c(value)), "__title": title, "__for": F.when(F.startswith(F.lower(what_), F.lit("for ")), " ").otherwise(" for ")})
+    d = d.withColumns({"__who": F.when(good_customer(c("__name")), _short_customer(c("__name"))), "__lead": F.concat_ws(" ", "__cost", noun), "__tail": F.concat(F.coalesce(F.concat(F.lit(", over "), period_words(c(months))), F.lit("")), F.lit("."))})
+    said = F.when(F.rlike(who, F.lit(r"^(?:A|An|One)\b")), F.concat(F.lower(F.substring(who, 1, 1)), F.substring(who, 2, 200))).otherwise(who)
+    d = d.withColumn("__lead", F.concat(F.upper(F.substring("__lead", 1, 1)), F.substring("__lead", 2, 400)))
+    d = d.withColumn("__named", F.concat("__lead", F.when(c(kind).isin(D.FIRMNESS[0.40] + D.FIRMNESS[0.30]), " with ").otherwise(" from "), said))
+    room = lambda head: F.lit(most) - F.char_length(c(head)) - F.char_length(c("__for")) - F.char_length(c("__tail"))
+    d = d.withColumn("__head", F.when(room("__named") >= 40, c("__named")).otherwise(c("__lead"))).withColumn("__room", room("__head"))
+    shown = F.contains(c("__title"), F.regexp_extract("__cost", r"([\d,.]+)", 1))
+    d = d.withColumn("__figure", F.coalesce(F.when(shown, ""), F.concat(F.lit(" ("), c("__cost"), F.lit(")")), F.lit(""))).withColumn("__title_room", F.lit(most - 1) - F.char_length("__figure"))
+    line = F.when(what_.isNotNull(), F.concat(c("__head"), c("__for"), fit(what_, c("__room")), c("__tail"))).when(c("__title").isNotNull(), F.concat(fit(c("__title"), c("__title_room")), c("__figure"), F.lit("."))).when(who.isNotNull(), F.concat(c("__named"), c("__tail")))
+    return d.withColumn("summary", line).drop("__name", "__cost", "__title", "__for", "__who", "__lead", "__tail", "__named", "__head", "__room", "__figure", "__title_room")
+
+
+def scoped(filings: DataFrame) -> DataFrame:
+    """`filings` (headline, body, attachment) with scope and stated_customer, from sentences or from a table in the text."""
+    d = filings.withColumn("__all", F.concat_ws("\n", "body", "attachment", "headline"))
+    d = d.withColumns({"__said": order_scope("headline", "body", "attachment"), "__phrase": table_phrase(F.col("__all")), "stated_customer": table_customer(F.col("__all"))})
+    d = d.withColumn("__points", table_points(F.col("__phrase")))
+    scope = F.when(F.col("__points") > F.coalesce("__said.points", F.lit(0.0)), F.col("__phrase")).otherwise(F.col("__said.phrase"))
+    return d.withColumn("scope", scope).drop("__all", "__said", "__phrase", "__points")
+
+
+def named(stated: Column, guessed: Column) -> Column:
+    """The customer a filing states where that name can stand, else the one read out of its sentences."""
+    return F.when(good_customer(stated), stated).otherwise(guessed)
+
+
+def describe(filings: DataFrame) -> DataFrame:
+    """`filings` (headline, body, attachment, customer, order_value_inr, execution_months, order_type) with scope, stated_customer and summary."""
+    d = scoped(filings).withColumn("__customer", named(F.col("stated_customer"), F.col("customer")))
+    title = F.when(F.col("scope").isNull(), fallback_title(F.col("headline"), F.col("body")))
+    return summarise(d, "scope", F.col("__customer"), "order_type", "order_value_inr", "execution_months", title).drop("__customer")
 
 
 def related_party(said: Column) -> Column:
@@ -137,7 +254,7 @@ def extract(filings: DataFrame) -> DataFrame:
     can = can.withColumn("__said", receipt_statement("__full")).withColumn("evidence", evidence(h, b, a, sub, F.col("__said"), said("t_customer") | said("t_size")))
     yes = can.filter("evidence.received")
     value = F.coalesce(money.pick_order_value(lead), money.pick_order_value(a))
-    yes = yes.withColumns({"value": value, "scope": order_scope("__full"), "guidance": money.extract_guidance("__full", calendar.fiscal_year(F.col("filed_at")))})
+    yes = yes.withColumns({"value": value, "guidance": money.extract_guidance("__full", calendar.fiscal_year(F.col("filed_at")))})
     amended = text.amendment(lead)
     kind = text.order_type(F.col("__full"))
     yes = yes.withColumns({
@@ -146,11 +263,13 @@ def extract(filings: DataFrame) -> DataFrame:
     })
     yes = yes.withColumns({"customer": F.col("__customer.name"), "customer_type": text.customer_type(F.col("__customer.name"), F.col("__full")), "is_related_party": F.coalesce(related_party(F.col("__full")), F.lit(False)) | F.col("__customer.is_self")})
     yes = yes.withColumn("extraction_conf", F.coalesce("value.confidence", F.lit(0.2)))
+    yes = scoped(yes).withColumn("customer", named(F.col("stated_customer"), F.col("customer"))).drop("stated_customer")
     yes = apply_table(yes) if table else yes
     # what corroborates the reading: a customer, months, a firm kind of order
     bonus = F.when(F.col("customer").isNotNull(), 0.08).otherwise(0.0) + F.when(F.col("execution_months").isNotNull(), 0.05).otherwise(0.0) + F.when(~F.col("is_amendment") & F.col("order_type").isin(FIRM), 0.05).otherwise(0.0)
     yes = yes.withColumn("extraction_conf", F.least(F.lit(0.95), F.col("extraction_conf") + bonus))
-    yes = yes.withColumn("summary", order_summary("scope", "customer", "order_value_inr", "execution_months"))
+    titled = F.when(F.col("scope").isNull(), fallback_title(h, b))
+    yes = summarise(yes, "scope", F.col("customer"), "order_type", "order_value_inr", "execution_months", titled)
     # F8: readings that a second reader should check
     yes = yes.withColumn("needs_check", F.col("order_value_inr").isNull() | (F.col("extraction_conf") < 0.55) | (F.col("execution_months").isNull() & (F.col("order_value_inr") > 5e8)))
     no = can.filter("NOT evidence.received").unionByName(rest, allowMissingColumns=True).withColumn("is_order", F.lit(False))
