@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
-from . import filed, ingests, notices, relational, rules, scored, series, texts
+from . import filed, ingests, notices, relational, replays, rules, scored, series, texts
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,6 +20,6 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-MODULES = (scored, relational, series, texts, ingests, filed, rules, notices)
+MODULES = (scored, relational, series, texts, ingests, filed, rules, notices, replays)
 QUERIES = {name: _shipped(f) for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

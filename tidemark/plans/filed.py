@@ -76,8 +76,9 @@ def watch_digest(spark, sf):
 
 
 #: The score as it is stored, rounded before the tier is taken of it.
+ROUNDED = scored._SCORED.replace("CASE WHEN is_amendment THEN 25 ELSE 100 END) AS s FROM l)", "CASE WHEN is_amendment THEN 25 ELSE 100 END) AS u FROM l), mm AS (SELECT *, round_even(u, 2) AS s FROM m)").replace("END AS t FROM m)", "END AS t FROM mm)")
 _ALERTS = (
-    scored._SCORED.replace("CASE WHEN is_amendment THEN 25 ELSE 100 END) AS s FROM l)", "CASE WHEN is_amendment THEN 25 ELSE 100 END) AS u FROM l), mm AS (SELECT *, round_even(u, 2) AS s FROM m)").replace("END AS t FROM m)", "END AS t FROM mm)")
+    ROUNDED
     + """, a AS (SELECT z.*, c_name FROM z JOIN customer ON c_custkey = company_id WHERE tier IN ('HIGH', 'MEDIUM') AND NOT EXISTS (SELECT 1 FROM f b WHERE b.company_id = z.company_id AND b.order_id < z.order_id
    AND abs(z.order_value_inr - b.order_value_inr) <= greatest(1.0, 0.005::DOUBLE * z.order_value_inr) AND abs(epoch(z.filed_at) - epoch(b.filed_at)) <= 3 * 86400)),
  p AS (SELECT order_id, row_number() OVER (PARTITION BY order_id ORDER BY -round(share * w, 2), label, share) AS k, repeat('#', CAST(round_even(greatest(0.0, least(1.0, share)) * 10, 0) AS INTEGER)) || repeat('.', 10 - CAST(round_even(greatest(0.0, least(1.0, share)) * 10, 0) AS INTEGER)) || ' ' || label AS line

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..config import CRORE
 from ..functions.calendar import stale, stamp
+from ..functions.markup import annuals, basis, market_cap, number
 from ..functions.text import clean_html
 
 
@@ -111,3 +112,71 @@ def pdf_files(spark: SparkSession, path: str, most_mb: float = 12.0) -> DataFram
     """Landed attachments that are PDFs, by the sha1 of their address in the file name."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
     return f.filter((F.col("length") <= int(most_mb * 1e6)) & F.startswith("content", F.lit(b"%PDF"))).select(F.regexp_extract("path", r"([0-9a-f]{40})\.pdf$", 1).alias("key"), "content")
+
+
+#: Names under which the landed results of a quarter give one figure, first to last: fixed values.
+RESULTS = {
+    "revenue": ("income", "re_income", "totalIncome", "revenue", "incomeFromOperations", "net_sales"), "pbt": ("proLossBefTax", "reProLossBefTax", "pbt"), "pat": ("proLossAftTax", "reProLossAftTax", "net_prof", "pat"),
+    "expenditure": ("exp", "expenditure", "re_exp"),
+}
+RESULT_ENDS = ("to_date", "re_to_date", "toDate", "quarter_ended")
+
+
+def results(raw: DataFrame) -> DataFrame:
+    """Landed quarterly results (company_id, position, newest first, and any of the names above, as text in lakhs) in rupees.
+
+    Quarters without revenue are left out; a figure that is no number counts as missing.
+    """
+    has = lambda names: [n for n in names if n in raw.columns]
+    figure = lambda names: F.coalesce(*[number(F.col(n).cast("string")) for n in has(names)], F.lit(None).cast("double")) * 1e5
+    end = first_filled(*has(RESULT_ENDS)) if has(RESULT_ENDS) else F.lit(None).cast("string")
+    return raw.select("company_id", "position", end.alias("quarter"), *[figure(names).alias(k) for k, names in RESULTS.items()]).filter(F.col("revenue").isNotNull())
+
+
+def metrics(quarters: DataFrame, source: Column, confidence: Column | None = None) -> DataFrame:
+    """One row a company of its newest eight quarters (company_id, position, quarter, revenue, expenditure, pat): the
+    latest quarter, the sums of four and of the four before, growth on the year, margins, how sure it is."""
+    nth = quarters.withColumn("k", F.row_number().over(W.partitionBy("company_id").orderBy("position"))).filter("k <= 8")
+    at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    four = lambda a, n: F.when(F.count("*") >= n, F.sum(F.when(F.col("k").between(a, a + 3), F.col("revenue"))))
+    m = nth.groupBy("company_id").agg(at("quarter", 1).alias("latest_quarter"), at("revenue", 1).alias("q_revenue_inr"), four(1, 4).alias("ttm_revenue_inr"), four(5, 8).alias("prev_ttm_revenue_inr"), at("expenditure", 1).alias("__exp"), at("pat", 1).alias("__pat"), at("revenue", 5).alias("__ago"))
+    some = lambda n: F.nullif(F.col(n), F.lit(0.0))
+    m = m.withColumns({"ebitda_margin": 1 - some("__exp") / some("q_revenue_inr"), "net_margin": some("__pat") / some("q_revenue_inr"), "q_revenue_yoy": F.col("q_revenue_inr") / some("__ago") - 1})
+    sure = F.when(F.col("ttm_revenue_inr").isNotNull() & (F.col("ttm_revenue_inr") != 0), 0.9).otherwise(0.65) if confidence is None else confidence
+    return m.withColumns({"source": source, "confidence": sure}).drop("__exp", "__pat", "__ago")
+
+
+#: Names of revenue in the second vendor's statements, first to last: fixed values.
+VENDOR_REVENUE = ("total revenue", "operating revenue", "revenue")
+VENDOR_EARNINGS = ("ebitda", "normalized ebitda")
+
+
+def vendor(statements: DataFrame, companies: DataFrame) -> DataFrame:
+    """The same metrics from landed statements (ticker, item, quarter as a date, amount) by the venue's tickers.
+
+    A company's symbol with .NS is tried first, then its code with .BO: the first that has revenue is taken. Of the names of
+    revenue the first in the list that the ticker has counts. The margin is its earnings over the revenue of its latest quarter.
+    """
+    rank = lambda names: F.when(F.col("item").isin(*names), F.array_position(F.array(*map(F.lit, names)), F.col("item")))
+    s = statements.filter(F.col("amount").isNotNull()).withColumn("item", F.lower("item"))
+
+    def best(names: tuple[str, ...]) -> DataFrame:
+        first = s.withColumn("__r", rank(names)).filter(F.col("__r").isNotNull())
+        return first.withColumn("__least", F.min("__r").over(W.partitionBy("ticker"))).filter("__r = __least").select("ticker", "quarter", "amount")
+
+    tickers = companies.select("company_id", F.posexplode(F.array(F.concat("symbol", F.lit(".NS")), F.concat("bse_code", F.lit(".BO")))).alias("turn", "ticker")).filter(F.col("ticker").isNotNull())
+    had = tickers.join(best(VENDOR_REVENUE), "ticker").withColumn("__first", F.min("turn").over(W.partitionBy("company_id"))).filter("turn = __first")
+    earned = best(VENDOR_EARNINGS).groupBy("ticker").agg(F.max_by("amount", "quarter").alias("__earned"))
+    q = had.select("company_id", "ticker", F.col("quarter").cast("string").alias("quarter"), F.col("amount").alias("revenue"), (-F.unix_date(F.col("quarter").cast("date"))).alias("position"), F.lit(None).cast("double").alias("expenditure"), F.lit(None).cast("double").alias("pat"))
+    own = had.select("company_id", "ticker").distinct()
+    m = metrics(q, F.lit(None).cast("string"), F.lit(0.7)).drop("source").join(own, "company_id").join(earned, "ticker", "left")
+    return m.withColumns({"ebitda_margin": F.col("__earned") / F.nullif(F.col("q_revenue_inr"), F.lit(0.0)), "source": F.concat(F.lit("vendor:"), "ticker")}).drop("__earned", "ticker")
+
+
+def company_pages(consolidated: DataFrame, standalone: DataFrame) -> DataFrame:
+    """Of two landed pages a company (company_id, page) the market cap of the first that is there, and the last year of the first with sales."""
+    both = consolidated.withColumn("turn", F.lit(0)).unionByName(standalone.withColumn("turn", F.lit(1))).filter(F.col("page").isNotNull())
+    done = F.filter(annuals(F.col("page")), lambda y: F.coalesce(y["sales"], F.lit(0.0)) != 0)
+    p = both.select("company_id", "turn", market_cap(F.col("page")).alias("cap"), basis(F.col("page")).alias("basis"), F.array_max(F.transform(done, lambda y: F.struct(y["fy"].alias("fy"), y["sales"].alias("sales")))).alias("year"))
+    first = p.groupBy("company_id").agg(F.min_by(F.struct("cap"), "turn").alias("c"), F.min_by(F.struct("year", "basis"), F.when(F.col("year").isNotNull(), F.col("turn"))).alias("y"))
+    return first.select("company_id", F.col("c.cap").alias("market_cap_inr"), F.col("y.year.fy").alias("last_fy"), F.col("y.year.sales").alias("last_fy_revenue_inr"), F.when(F.col("y.year").isNotNull(), F.col("y.basis")).alias("revenue_basis"))
