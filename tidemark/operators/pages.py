@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
-from ..functions import text
+from ..functions import scoring, text
 from ..functions.calendar import period_text
 from ..functions.money import rupees
 from . import sequences
@@ -56,11 +56,28 @@ def gainers(rows: DataFrame, n: int = 12) -> DataFrame:
 PARTS = {"f_annualised": ("size by year", 40), "f_quarterly": ("size by quarter", 20), "f_firmness": ("firmness", 15), "f_margin": ("margin", 10), "f_novelty": ("novelty", 10), "f_capacity": ("capacity", 5)}
 
 
-def message(scored: DataFrame) -> DataFrame:
-    """A line a fact, and the three components that carry most."""
+def notes_shown(notes: Column, most: int = 2) -> Column:
+    """The readable ones of an order's extraction notes ("a; b; ..."), without their steps of confidence."""
+    parts = F.transform(F.split(notes, ";"), lambda p: F.trim(p))
+    said = F.filter(parts, lambda p: (p != "") & ~F.rlike(p, F.lit(r"^[+-]\d")))
+    return F.transform(F.slice(said, 1, most), lambda p: text.clip(F.regexp_replace(p, r"(?i)^order evidence:\s*", ""), 110))
+
+
+def message(scored: DataFrame, company_url: str | None = None) -> DataFrame:
+    """A line a fact, the three components that carry most, three reasons, two notes, and links to filing and company.
+
+    Columns extraction_notes, pdf_url and symbol are used where `scored` has them; `company_url` has {key} for the symbol.
+    """
+    has = lambda n: F.col(n) if n in scored.columns else F.lit(None).cast("string")
     parts = F.array(*[F.struct((-F.round(F.col(c) * w, 2)).alias("minus"), F.lit(label).alias("label"), F.col(c).alias("share")) for c, (label, w) in PARTS.items()])
     top = F.transform(F.slice(F.array_sort(parts), 1, 3), lambda p: F.concat(text.bar(p["share"]), F.lit(" "), p["label"]))
-    lines = F.concat_ws("\n", F.concat(F.lit("<b>"), text.escape(F.col("company_name")), F.lit("</b> "), F.col("tier"), F.lit(" "), F.format_number("score", 1)), F.concat(rupees(F.col("order_value_inr")), F.lit(" over "), period_text(F.col("execution_months"))), F.when(F.col("ratio_quarter").isNotNull(), F.concat(F.format_number(F.col("ratio_quarter") * 100, 0), F.lit("% of a quarter"))), F.array_join(top, "\n"))
+    why = F.transform(F.slice(scoring.reasons(), 1, 3), lambda r: F.concat(F.lit("• "), text.escape(text.clip(r, 110))))
+    notes = F.transform(notes_shown(has("extraction_notes")), lambda n: F.concat(F.lit("? "), text.escape(n)))
+    detail = F.concat(F.coalesce(why, F.array().cast("array<string>")), F.coalesce(notes, F.array().cast("array<string>")))
+    link = lambda url, label: F.concat(F.lit('<a href="'), text.escape(url), F.lit(f'">{label}</a>'))
+    about = F.replace(F.lit(company_url or ""), F.lit("{key}"), has("symbol")) if company_url else F.lit(None).cast("string")
+    links = F.nullif(F.concat_ws(" ", link(has("pdf_url"), "filing"), link(about, "company")), F.lit(""))
+    lines = F.concat_ws("\n", F.concat(F.lit("<b>"), text.escape(F.col("company_name")), F.lit("</b> "), F.col("tier"), F.lit(" "), F.format_number("score", 1)), F.concat(rupees(F.col("order_value_inr")), F.lit(" over "), period_text(F.col("execution_months"))), F.when(F.col("ratio_quarter").isNotNull(), F.concat(F.format_number(F.col("ratio_quarter") * 100, 0), F.lit("% of a quarter"))), F.array_join(top, "\n"), F.nullif(F.array_join(detail, "\n"), F.lit("")), links)
     return scored.select("order_id", text.clip(lines, 4000).alias("message"))
 
 

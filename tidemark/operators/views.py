@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,23 +85,33 @@ def catch_up_start(last_to: Column, to: Column, overlap: int, hours: int, lookba
 def near_duplicates(orders: DataFrame, share: float, days: int) -> DataFrame:
     """Orders for which the same company has another of nearly the same value within some days.
 
-    Cells of `days` make the time test an equality on two adjacent cells, so a company of many orders is not joined whole.
+    Times and values are dealt to cells four times as wide as what counts as near, and the other side goes to every cell that its
+    near ones can be in (one or two of each), so the join is an equality on company, time cell and value cell: a company of many
+    orders meets only those like it. Of ln(1 + share * value) two near values differ by -ln(1 - share) at most.
     """
-    span = days * 86400
-    o = orders.select("company_id", "order_id", "order_value_inr", F.unix_seconds("filed_at").alias("at")).withColumn("cell", F.floor(F.col("at") / span))
-    other = o.select("company_id", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), F.col("order_id").alias("other_id"), F.col("order_value_inr").alias("other_value"), F.col("at").alias("other_at"))
+    span, wide = days * 86400, -math.log(1 - share) * (1 + 1e-9)
+    o = orders.select("company_id", "order_id", "order_value_inr", F.unix_seconds("filed_at").alias("at")).withColumn("__v", F.log1p(share * F.greatest(F.col("order_value_inr"), F.lit(0.0))))
+    cell = lambda x, near, off: F.floor((x + off * near) / (4 * near))
+    both = lambda x, near: F.array_distinct(F.array(cell(x, near, -1), cell(x, near, 1)))
+    other = o.select("company_id", F.col("order_id").alias("other_id"), F.col("order_value_inr").alias("other_value"), F.col("at").alias("other_at"), "__v", F.explode(both(F.col("at"), span)).alias("time_cell"))
+    other = other.select("company_id", "other_id", "other_value", "other_at", "time_cell", F.explode(both(F.col("__v"), wide)).alias("value_cell"))
+    o = o.withColumns({"time_cell": cell(F.col("at"), span, 0), "value_cell": cell(F.col("__v"), wide, 0)})
     near = (F.col("other_id") != F.col("order_id")) & (F.abs(F.col("order_value_inr") - F.col("other_value")) <= F.greatest(F.lit(1.0), share * F.col("order_value_inr"))) & (F.abs(F.col("at") - F.col("other_at")) <= span)
-    pairs = o.join(other, ["company_id", "cell"]).filter(near)
+    pairs = o.join(other, ["company_id", "time_cell", "value_cell"]).filter(near)
     return pairs.groupBy("order_id").agg(F.min("other_id").alias("duplicate_of"))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_year: Column, year: str, value: list[str]) -> DataFrame:
-    """For each row the right row of the latest year up to the wanted one."""
-    r = right.select(F.col(key), F.struct(F.col(year), *value).alias("__r"))
-    packed = r.groupBy(key).agg(F.array_sort(F.collect_list("__r")).alias("__all"))
-    out = left.join(packed, key, "left").withColumn("__want", left_year)
-    last = F.try_element_at(F.filter("__all", lambda x: x[year] <= F.col("__want")), F.lit(-1))
-    return out.withColumn("__last", last).select(*left.columns, F.col(f"__last.{year}").alias(year), *[F.col(f"__last.{v}").alias(v) for v in value])
+    """For each row the right row of the latest year up to the wanted one; of equal years the largest by its values.
+
+    One window over both sides, a company's right rows before its left ones: nothing is packed, and a row holds one match. A row
+    without key or wanted year matches nothing.
+    """
+    seen = right.filter(F.col(key).isNotNull() & F.col(year).isNotNull()).select(F.col(key), F.col(year).alias("__y"), F.struct(F.col(year), *value).alias("__r"))
+    rows = left.select(F.col(key), left_year.alias("__y"), F.struct(*left.columns).alias("__l"))
+    w = W.partitionBy(key).orderBy("__y", F.col("__l").isNotNull(), "__r").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = seen.unionByName(rows, allowMissingColumns=True).withColumn("__last", F.last("__r", ignorenulls=True).over(w)).filter(F.col("__l").isNotNull())
+    return both.select("__l.*", F.col(f"__last.{year}").alias(year), *[F.col(f"__last.{v}").alias(v) for v in value])
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:

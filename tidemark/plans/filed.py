@@ -77,6 +77,10 @@ def watch_digest(spark, sf):
 
 #: The score as it is stored, rounded before the tier is taken of it.
 ROUNDED = scored._SCORED.replace("CASE WHEN is_amendment THEN 25 ELSE 100 END) AS s FROM l)", "CASE WHEN is_amendment THEN 25 ELSE 100 END) AS u FROM l), mm AS (SELECT *, round_even(u, 2) AS s FROM m)").replace("END AS t FROM m)", "END AS t FROM mm)")
+#: Why an order stands where it does, as a list with gaps.
+REASONS = """[CASE WHEN gate < 1 THEN 'materiality gate ' || format('{:,.0f}', gate * 100) || '%' END, CASE WHEN conf < 0.6 THEN 'low extraction confidence (' || format('{:,.2f}', conf) || ')' END, CASE WHEN ttm IS NULL THEN 'no revenue data; score capped' END,
+ CASE WHEN is_amendment THEN 'amendment/cancellation, not a new order' END, CASE WHEN implausible THEN 'implausible: order is ' || format('{:,.0f}', rq) || 'x last quarter''s revenue' END, CASE WHEN order_value_inr < 1e7 THEN 'below absolute order-value floor' END,
+ CASE WHEN s >= 75 AND t = 'MEDIUM' THEN 'capped at MEDIUM: not a firm order' END, CASE WHEN tier <> t THEN 'override: order is ' || format('{:,.0f}', rq * 100) || '% of last quarter''s revenue' END]"""
 _ALERTS = (
     ROUNDED
     + """, a AS (SELECT z.*, c_name FROM z JOIN customer ON c_custkey = company_id WHERE tier IN ('HIGH', 'MEDIUM') AND NOT EXISTS (SELECT 1 FROM f b WHERE b.company_id = z.company_id AND b.order_id < z.order_id
@@ -86,7 +90,7 @@ _ALERTS = (
  t AS (SELECT order_id, string_agg(line, chr(10) ORDER BY k) AS top FROM p WHERE k <= 3 GROUP BY 1)
  SELECT order_id, '<b>' || replace(replace(replace(c_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</b> ' || tier || ' ' || format('{:,.1f}', s) || chr(10)
   || CASE WHEN order_value_inr >= 1e7 THEN 'Rs ' || format('{:,.2f}', order_value_inr / 1e7) || ' Cr' WHEN order_value_inr >= 1e5 THEN 'Rs ' || format('{:,.2f}', order_value_inr / 1e5) || ' L' ELSE 'Rs ' || format('{:,.0f}', order_value_inr) END || ' over ' || CASE WHEN execution_months IN (24, 36) THEN CAST(execution_months / 12 AS INTEGER) || ' years' ELSE CAST(execution_months AS INTEGER) || ' months' END
-  || CASE WHEN rq IS NOT NULL THEN chr(10) || format('{:,.0f}', rq * 100) || '% of a quarter' ELSE '' END || chr(10) || top AS message FROM a JOIN t USING (order_id)"""
+  || CASE WHEN rq IS NOT NULL THEN chr(10) || format('{:,.0f}', rq * 100) || '% of a quarter' ELSE '' END || chr(10) || top || coalesce((SELECT chr(10) || string_agg('• ' || replace(replace(replace(r, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10) ORDER BY k) FROM (SELECT unnest(list_filter(""" + REASONS + """, lambda x: x IS NOT NULL)[1:3]) AS r, generate_subscripts(list_filter(""" + REASONS + """, lambda x: x IS NOT NULL)[1:3], 1) AS k)), '') AS message FROM a JOIN t USING (order_id)"""
 )
 
 

@@ -44,12 +44,7 @@ def rescored_orders(spark, sf):
     return replay.rescore(orders, seen, own, figures).select("order_id", F.round("score", 1).alias("score"), "tier")
 
 
-_REASONS = """[CASE WHEN gate < 1 THEN 'materiality gate ' || format('{:,.0f}', gate * 100) || '%' END, CASE WHEN conf < 0.6 THEN 'low extraction confidence (' || format('{:,.2f}', conf) || ')' END, CASE WHEN ttm IS NULL THEN 'no revenue data; score capped' END,
- CASE WHEN is_amendment THEN 'amendment/cancellation, not a new order' END, CASE WHEN implausible THEN 'implausible: order is ' || format('{:,.0f}', rq) || 'x last quarter''s revenue' END, CASE WHEN order_value_inr < 1e7 THEN 'below absolute order-value floor' END,
- CASE WHEN s >= 75 AND t = 'MEDIUM' THEN 'capped at MEDIUM: not a firm order' END, CASE WHEN tier <> t THEN 'override: order is ' || format('{:,.0f}', rq * 100) || '% of last quarter''s revenue' END]"""
-
-
-@query(filed.ROUNDED + f"SELECT order_id, array_to_string(list_filter({_REASONS}, lambda x: x IS NOT NULL), '; ') AS reasons FROM z")
+@query(filed.ROUNDED + f"SELECT order_id, array_to_string(list_filter({filed.REASONS}, lambda x: x IS NOT NULL), '; ') AS reasons FROM z")
 def score_reasons(spark, sf):
     """Why each order stands where it does."""
     s = scoring.with_breakdown(scored.scored(spark, sf))
