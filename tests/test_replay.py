@@ -5,8 +5,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import filing, scoring
 from tidemark.operators import pages, replay, views
-from tidemark.functions import scoring
 
 AT = datetime(2026, 1, 1)
 
@@ -82,3 +82,10 @@ def test_backfill_days(spark):
     f = spark.createDataFrame([(k, AT - timedelta(hours=h), k % 2 == 0) for k, h in enumerate([0, 1, 24, 25, 48, 49, 73])], "n int, filed_at timestamp, is_order_like boolean")
     got = sorted((r.day, r.announcements, r.order_like) for r in replay.day_totals(replay.by_days(f, F.lit(AT), 3)).collect())
     assert got == [(1, 2, 1), (2, 2, 1), (3, 1, 0)]
+
+
+def test_functions_by_sql_name(spark):
+    filing.register(spark)
+    said = "We have received a work order from Jal Nigam for design and supply of water pumps. Our order book stands at Rs 450 crore."
+    r = spark.createDataFrame([(said,)], "said string").selectExpr("find_order_books(said, DATE '2026-01-31', 'update')[0].value_inr AS book", "order_scope(NULL, said, NULL).phrase AS scope", "receipt_statement(said) AS receipt").first()
+    assert (r.book, r.scope) == (450e7, "design and supply of water pumps") and r.receipt.startswith("received a work order")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dictionaries as D
-from . import calendar, money, scoring, text
+from . import calendar, money, orderbook, scoring, text
 
 _RECEIPTS = [re.compile(p, re.I) for p in D.RECEIPTS]
 _BEFORE, _AFTER, _PENDING, _LEAD, _STOP, _JUNK = (re.compile(p, re.I) for p in (D.RECEIPT_VETO_BEFORE, D.RECEIPT_VETO_AFTER, D.RECEIPT_PENDING, D.OBJECT_LEAD, D.OBJECT_STOP, D.OBJECT_JUNK))
@@ -314,3 +314,10 @@ def apply_table(extracted: DataFrame) -> DataFrame:
         order = F.when(~F.col("is_amendment"), order)
         d = d.withColumn("__order", order).withColumns({"order_type": F.coalesce("__order.order_type", "order_type"), "firmness": F.coalesce("__order.firmness", "firmness")}).drop("__order")
     return d.withColumn("customer_type", kind).drop("__size", "__months", "__named", "__both")
+
+
+def register(spark) -> None:
+    """All text functions under SQL names."""
+    money.register(spark)
+    for name, f in (("find_order_books", orderbook.find_order_books), ("order_scope", order_scope), ("receipt_statement", receipt_statement)):
+        spark.udf.register(name, f)

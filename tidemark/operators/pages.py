@@ -10,7 +10,7 @@ from .. import dictionaries as D
 from ..functions import scoring, text
 from ..functions.calendar import period_text
 from ..functions.money import rupees
-from . import sequences
+from . import sequences, views
 
 
 def company(company_id, companies: DataFrame, fundamentals: DataFrame, orders: DataFrame) -> dict[str, DataFrame]:
@@ -30,7 +30,7 @@ def order_books(series: DataFrame, companies: DataFrame, revenue: DataFrame, ord
     last = series.groupBy("company_id").agg(F.max_by(F.struct("as_of", "order_book_inr", "source_kind"), "as_of").alias("last"), F.array_sort(F.collect_list(F.struct("as_of", "order_book_inr"))).alias("ps"))
     last = last.select("company_id", "last.*", F.transform(F.slice("ps", F.greatest(F.size("ps") - 11, F.lit(1)), F.lit(12)), lambda p: p["order_book_inr"]).alias("history"))
     grown = sequences.growth(series, days).select("company_id", "pct", "days", "suspect")
-    wins = orders.filter(F.to_date("filed_at") >= F.date_sub(as_of, days)).groupBy("company_id").agg(F.count("*").alias("wins"), F.sum("order_value_inr").alias("wins_inr"))
+    wins = views.wins(orders, F.date_sub(as_of, days)).select("company_id", "wins", "wins_inr")
     out = last.join(companies, "company_id", "left").join(grown, "company_id", "left").join(revenue, "company_id", "left").join(wins, "company_id", "left")
     return out.withColumn("ratio", F.col("order_book_inr") / F.nullif(F.col("annual_revenue_inr"), F.lit(0.0)))
 

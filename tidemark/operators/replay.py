@@ -31,8 +31,7 @@ def rescore(orders: DataFrame, filings: DataFrame, companies: DataFrame, fundame
     d = orders.drop(*[c for c in gone if c in orders.columns])
     d = d.join(filings.select(F.col("ann_id").alias("order_id"), "seen_at"), "order_id", "left")
     d = d.join(companies.select("company_id", *COMPANY), "company_id", "left").join(fundamentals.select("company_id", *FIGURES), "company_id", "left")
-    told = lambda path: F.get_json_object("breakdown", f"$.components.{path}").try_cast("double")
-    d = d.withColumns({"firmness": F.coalesce(told("firmness.firmness"), firmness_of(F.coalesce("order_type", F.lit("unknown")))), "quality_adj": F.coalesce(told("margin_quality.keyword_adj"), F.lit(0.0))})
+    d = d.withColumns({"firmness": F.coalesce(scoring.read_back("breakdown", "components.firmness.firmness"), firmness_of(F.coalesce("order_type", F.lit("unknown")))), "quality_adj": F.coalesce(scoring.read_back("breakdown", "components.margin_quality.keyword_adj"), F.lit(0.0))})
     return scoring.with_breakdown(scoring.score(sequences.novelty_history(d)))
 
 

@@ -46,6 +46,16 @@ def top_companies(orders: DataFrame, value: str, n: int = 15) -> DataFrame:
     return g.orderBy(F.desc("v"), "company_id").limit(n)
 
 
+def wins(orders: DataFrame, since: Column) -> DataFrame:
+    """Of each company its orders from a day on: how many, their value, amendments among them, the newest."""
+    return orders.filter(F.to_date("filed_at") >= since).groupBy("company_id").agg(F.count("*").alias("wins"), F.sum("order_value_inr").alias("wins_inr"), F.count_if("is_amendment").alias("amendments"), F.max("filed_at").alias("newest"))
+
+
+def kinds(candidates: DataFrame) -> DataFrame:
+    """How many candidates there are of each kind of document."""
+    return candidates.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def tracked(orders: DataFrame, books: DataFrame) -> DataFrame:
     """Companies with an order or an order book."""
     return orders.select("company_id").union(books.select("company_id")).distinct()

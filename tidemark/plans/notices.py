@@ -107,6 +107,13 @@ def document_kinds(spark, sf):
     return base.filings(spark, sf).select("order_id", text.document_kind(F.lit(""), F.lit(""), said, F.lit(False)).alias("kind"), text.mentions_book(said).alias("mentions"))
 
 
+@query("SELECT ['transcript', 'presentation', 'annual', 'update', 'results', 'press_release', 'other'][o_orderkey % 7 + 1] AS kind, count(*) AS n FROM orders GROUP BY 1")
+def candidate_kinds(spark, sf):
+    """How many candidates there are of each kind."""
+    said = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("order_id") % 7).cast("int") + 1)
+    return views.kinds(base.filings(spark, sf).select(text.document_kind(F.lit(""), F.lit(""), said, F.lit(False)).alias("kind")))
+
+
 @query("SELECT c_custkey AS company_id FROM customer WHERE c_acctbal >= 1000 AND c_custkey % 3 <> 0 AND c_name ILIKE '%1%' AND c_custkey % 5 <> 0")
 def book_page_rows(spark, sf):
     """the filter of the order-book page; companies without a market cap fall out under a least one."""

@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
+from ..functions import calendar, scoring
 from ..functions.calendar import days_apart
 from ..operators import views
+from ..sources import landed
 from . import base
 
 Q: dict = {}
@@ -131,20 +133,20 @@ def catchup_window(spark, sf):
 def lateness_stale(spark, sf):
     """Seen long after filing (days stand for hours in these tables)."""
     li, o = base.table(spark, sf, "lineitem"), base.table(spark, sf, "orders")
-    late = F.unix_seconds(F.col("l_shipdate").cast("timestamp")) - F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
-    return li.join(o, li.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", (late > 48 * 86400).alias("stale"))
+    late = calendar.stale(F.col("o_orderdate").cast("timestamp"), F.col("l_shipdate").cast("timestamp"), 48)
+    return li.join(o, li.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", late.alias("stale"))
 
 
 @query("SELECT o_orderkey AS order_id, sha1(CASE WHEN o_orderkey % 2 = 0 THEN 'NSE' ELSE 'BSE' END || '|' || CAST(o_orderkey AS VARCHAR)) AS ann_id FROM orders")
 def hash_ids(spark, sf):
     """X6."""
-    return base.filings(spark, sf).select("order_id", F.sha1(F.concat_ws("|", "exchange", F.col("order_id").cast("string"))).alias("ann_id"))
+    return landed.keyed(base.filings(spark, sf).withColumn("native_id", F.col("order_id").cast("string"))).select("order_id", "ann_id")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 50")
 def json_path(spark, sf):
     """X3."""
-    e = base.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    e = base.table(spark, sf, "events").select("event_id", scoring.read_back("props", "k").cast("long").alias("k"))
     return e.filter("k > 50")
 
 
@@ -173,9 +175,8 @@ def nations_both(spark, sf):
 @query("SELECT c_custkey AS company_id, count(o_orderkey) AS n, coalesce(count_if(o_orderstatus = 'P'), 0) AS amendments, max(CAST(o_orderdate AS TIMESTAMP)) AS newest FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1999-01-01' GROUP BY 1")
 def wins_in_period(spark, sf):
     """Orders won in the period, pre-aggregated before the join."""
-    o = base.filings(spark, sf).filter(F.col("filed_at") >= F.lit("1999-01-01").cast("timestamp"))
-    w = o.groupBy("company_id").agg(F.count("*").alias("n"), F.count_if("is_amendment").alias("amendments"), F.max("filed_at").alias("newest"))
-    return base.companies(spark, sf).select("company_id").join(w, "company_id", "left").select("company_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("amendments", F.lit(0)).alias("amendments"), "newest")
+    w = views.wins(base.filings(spark, sf), F.lit("1999-01-01").cast("date"))
+    return base.companies(spark, sf).select("company_id").join(w, "company_id", "left").select("company_id", F.coalesce("wins", F.lit(0)).alias("n"), F.coalesce("amendments", F.lit(0)).alias("amendments"), "newest")
 
 
 @query("SELECT order_key, max(v) AS v, arg_max(status, ver) AS status FROM (SELECT o_orderkey AS order_key, 0 AS ver, o_totalprice AS v, o_orderstatus AS status FROM orders UNION ALL SELECT l_orderkey, 1, NULL, 'S' FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 = 0) GROUP BY 1")
