@@ -101,7 +101,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             at = to
 
 
-def append(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list], text: str = "text") -> DataFrame:
+def append(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list], text: str = "text", limit: int = STEP_BYTES) -> DataFrame:
     """`df` with columns that `fn` derives from pieces of its rows, every row and column kept, in one pass, no shuffle.
 
     A column of `df` whose name (in any case) is one of the new names gives way to the new one.
@@ -112,7 +112,7 @@ def append(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBa
     schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in steps(batches, text):
+        for piece in steps(batches, text, limit):
             arrays = [a if isinstance(a, pa.Array) else pa.array(a) for a in fn(piece)]
             yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], names=[*piece.schema.names, *(f.name for f in fields)])
 

@@ -26,3 +26,21 @@ MINHASH = rf"""WITH RECURSIVE p AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT
  r AS (SELECT doc_id AS node, doc_id AS reach FROM p UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach),
  g AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1)
  SELECT p.doc_id, coalesce(size, 0) AS n_shingles, component_id, component_id = p.doc_id AS kept FROM p JOIN g ON g.node = p.doc_id LEFT JOIN c USING (doc_id)"""
+
+RESAMPLE = rf"""WITH RECURSIVE bits AS (SELECT b, b::BIGINT AS v, 0 AS k FROM range(256) t(b) UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+ one AS (SELECT b, v AS x FROM bits WHERE k = 8),
+ d AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents)),
+ e AS (SELECT ws, len(ws) AS n FROM (SELECT regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark)),
+ g AS (SELECT unnest([1, 2, 3]) AS k),
+ df AS (SELECT doc_id, array_to_string(ws[i:i + k - 1], ' ') AS f, count(*) AS c FROM d, g, unnest(range(1, n - k + 2)) t(i) GROUP BY 1, 2),
+ ef AS (SELECT array_to_string(ws[i:i + k - 1], ' ') AS f, count(*) AS c FROM e, g, unnest(range(1, n - k + 2)) t(i) GROUP BY 1),
+ f AS (SELECT f, hex(encode(f)) AS h, strlen(f) AS n FROM (SELECT f FROM df UNION SELECT f FROM ef)),
+ far AS (SELECT b, x AS v, 0 AS k FROM one UNION ALL SELECT 256, 4294967295, 0 UNION ALL SELECT far.b, xor(far.v >> 8, one.x), far.k + 1 FROM far JOIN one ON one.b = far.v & 255 WHERE far.k < (SELECT max(n) FROM f)),
+ c AS (SELECT f.f, (xor(bit_xor(far.v), xor(any_value(z.v), 4294967295))) % 10000 AS bucket FROM f, unnest(range(0, f.n)) t(i), far, far z WHERE far.k = f.n - 1 - i AND far.b = ('0x' || h[2 * i + 1:2 * i + 2])::INT AND z.b = 256 AND z.k = f.n GROUP BY f.f),
+ s AS (SELECT bucket, sum(df.c) AS s FROM df JOIN c USING (f) GROUP BY 1), t AS (SELECT bucket, sum(ef.c) AS t FROM ef JOIN c USING (f) GROUP BY 1),
+ n AS (SELECT coalesce((SELECT sum(c) FROM df), 0)::DOUBLE AS s_all, coalesce((SELECT sum(c) FROM ef), 0)::DOUBLE AS t_all),
+ gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (t_all + 10000)))) AS gain FROM s FULL JOIN t USING (bucket), n),
+ w AS (SELECT doc_id, sum(df.c) AS n_features, sum(gain * df.c)::BIGINT AS weight FROM df JOIN c USING (f) JOIN gain USING (bucket) GROUP BY 1),
+ p AS (SELECT d.doc_id, d.n, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w ON w.doc_id IS NOT DISTINCT FROM d.doc_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 AND doc_id IS NOT NULL ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n >= 20 AND doc_id IS NOT NULL) AS many FROM p)
+ SELECT doc_id, n_features, weight, score, CASE WHEN n >= 20 AND doc_id IS NOT NULL AND place <= 5 * many // 100 THEN place END AS rank FROM r"""
