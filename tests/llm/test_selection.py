@@ -95,3 +95,65 @@ def F_lit(x):
     from pyspark.sql import functions as F
 
     return F.lit(x)
+
+
+def brute_audit(data, labels):
+    """Filter by filter, order by order, over lists of documents."""
+    from itertools import permutations
+
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    least = {}
+    for i, t, _ in data:
+        if i is not None:
+            least[t or ""] = min(least.get(t or "", i), i)
+    fails = {
+        "A": lambda i, t: len(words(t)) < 200, "B": lambda i, t: 100 * len(set(words(t))) < 50 * len(words(t)), "C": lambda i, t: 100 * sum("A" <= c <= "Z" for c in t) > 3 * len(t),
+        "D": lambda i, t: bool(set(t) & set("#$%&*|")), "E": lambda i, t: i is not None and i > least[t],
+    }
+    docs = [(lang or "", {x for x, f in fails.items() if f(i, t or "")}, labels.get(i, (0, 0))) for i, t, lang in data]
+    out, shapley = {}, Counter()
+    for part in {p for p, _, _ in docs}:
+        for order in permutations("ABCDE"):
+            here = [(f, told) for p, f, told in docs if p == part]
+            gone = []
+            for k, x in enumerate(order):
+                lost = [d for d in here if x in d[0]]
+                here = [d for d in here if x not in d[0]]
+                out[part, "".join(order), k + 1] = [len(here), len(lost), sum(x in d[0] for d in gone), sum(f == {x} for p, f, _ in docs if p == part), sum(d[1][0] for d in lost), sum(d[1][1] for d in lost)]
+                gone += lost
+                shapley[part, x] += len(lost)
+    return sorted((p, o, k, *v, shapley[p, o[k - 1]]) for (p, o, k), v in out.items())
+
+
+AUDITED = ("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+@pytest.mark.parametrize("batches", [1, 9])
+def test_audit_of_filters(spark, tmp_path, batches):
+    """Copies of a text come in every order of ids, over many files and batches: what was counted is taken back."""
+    from tidemark.llm import audit
+
+    long = cases.prose(1, 300)
+    texts = [*cases.rows(), (30, long), (20, long), (40, long), (25, long), (19, long), (19, long), (18, long + " #"), (50, long + " #"), (17, long + " #"), (None, long), (60, "A b C d"), (61, "a a a a b " * 50), (16, ""), (3, None)]
+    data = [(i, t, (None, "", "en", "de")[k % 4]) for k, (i, t) in enumerate(texts)]
+    labels = {3: (1, 0), 20: (1, 0), 19: (0, 1), 61: (1, 1), 25: (1, 0), 13: (1, 1)}
+    for k, r in enumerate(data):
+        cases.documents(spark, [r[:2]]).selectExpr("doc_id", "text", f"cast({'null' if r[2] is None else repr(r[2])} AS string) AS lang", "'mine' AS mask", "'x' AS part").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    told = spark.createDataFrame([(i, g, t) for i, (g, t) in labels.items()] + [(13, 0, None), (3, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    counted = audit.counters(spark, f"{tmp_path}/documents.parquet", told, batches=batches)
+    assert collected(audit.orders(counted), *AUDITED) == brute_audit(data, labels)
+
+
+def test_audit_of_nothing(spark, tmp_path):
+    from tidemark.llm import audit
+
+    cases.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    told = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert audit.report(spark, f"{tmp_path}/documents.parquet", told).count() == 0
+
+
+def test_audit_keeps_the_settings_of_the_session(spark, tmp_path):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    with core.settings(spark, {"spark.sql.streaming.stateStore.providerClass": "x", "spark.tidemark.unset": "1"}):
+        assert spark.conf.get("spark.tidemark.unset") == "1"
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before and spark.conf.get("spark.tidemark.unset", None) is None

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,19 @@ STEP_BYTES = 1 << 20
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the time of a block; afterwards each is as it was, unset if it was unset."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Written tables of one operator call; ``drop`` frees those no longer read."""
 
@@ -35,13 +49,9 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes `df` and reads it back; its shuffle files go as soon as it is written, for nothing reads them again."""
-        path, conf = f"{self.base}/{name}", self.spark.conf
-        before = conf.get(_CLEAN, "false")
-        conf.set(_CLEAN, "true")
-        try:
+        path = f"{self.base}/{name}"
+        with settings(self.spark, {_CLEAN: "true"}):
             df.write.option("compression", "zstd").parquet(path)
-        finally:
-            conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -44,3 +44,17 @@ RESAMPLE = rf"""WITH RECURSIVE bits AS (SELECT b, b::BIGINT AS v, 0 AS k FROM ra
  p AS (SELECT d.doc_id, d.n, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w ON w.doc_id IS NOT DISTINCT FROM d.doc_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 AND doc_id IS NOT NULL ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n >= 20 AND doc_id IS NOT NULL) AS many FROM p)
  SELECT doc_id, n_features, weight, score, CASE WHEN n >= 20 AND doc_id IS NOT NULL AND place <= 5 * many // 100 THEN place END AS rank FROM r"""
+
+AUDIT = r"""WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+ t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ d AS (SELECT part, doc_id, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+  coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails FROM t),
+ c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+ f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ s AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS pos, list_transform(range(1, step), lambda k: ascii(filter_order[k]) - 64) AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+ r AS (SELECT part, filter_order, step, pos, sum(CASE WHEN NOT here AND NOT earlier THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND NOT earlier THEN n ELSE 0 END) AS removed, sum(CASE WHEN here AND earlier THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN here AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN here AND NOT earlier THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN here AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost
+  FROM (SELECT *, fails[pos] AS here, len(list_filter(before, lambda k: fails[k])) > 0 AS earlier FROM c, s) GROUP BY 1, 2, 3, 4)
+ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, pos))::BIGINT AS shapley FROM r"""
