@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import core, resample
+from tidemark.llm import core, jaccard, links, resample
 
 from . import cases
-from .test_texts import ITEMS, LOWER, collected
+from .test_texts import ITEMS, LOWER, brute_components, collected, look_alikes, templates
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -129,10 +129,11 @@ AUDITED = ("part", "filter_order", "step", "kept", "removed", "redundant", "uniq
 
 
 @pytest.mark.parametrize("batches", [1, 9])
-def test_audit_of_filters(spark, tmp_path, batches):
+def test_audit_of_filters(spark, tmp_path, monkeypatch, batches):
     """Copies of a text come in every order of ids, over many files and batches: what was counted is taken back."""
     from tidemark.llm import audit
 
+    monkeypatch.setattr(audit, "PER_BUCKET", 9)
     long = cases.prose(1, 300)
     texts = [*cases.rows(), (30, long), (20, long), (40, long), (25, long), (19, long), (19, long), (18, long + " #"), (50, long + " #"), (17, long + " #"), (None, long), (60, "A b C d"), (61, "a a a a b " * 50), (16, ""), (3, None)]
     data = [(i, t, (None, "", "en", "de")[k % 4]) for k, (i, t) in enumerate(texts)]
@@ -157,3 +158,75 @@ def test_audit_keeps_the_settings_of_the_session(spark, tmp_path):
     with core.settings(spark, {"spark.sql.streaming.stateStore.providerClass": "x", "spark.tidemark.unset": "1"}):
         assert spark.conf.get("spark.tidemark.unset") == "1"
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before and spark.conf.get("spark.tidemark.unset", None) is None
+
+
+def brute_join(data):
+    return [r[:3] for r in brute_components(data, 3, 90)]
+
+
+def near_copies():
+    """Documents of many sizes, each with copies on both sides of the bound, one word of difference at a time."""
+    out = []
+    for k, n in enumerate((3, 5, 9, 10, 11, 12, 13, 20, 30, 45, 60, 100, 200, 400)):
+        w = cases.prose(900 + k, n).split()
+        for j in range(6):
+            changed = list(w)
+            for x in range(j * max(1, n // 60)):
+                changed[(x * 37 + 5) % n] = f"other{j}"
+            out.append((1000 * k + j, " ".join(changed)))
+        out += [(1000 * k + 50 + j, " ".join(w[: n - j])) for j in (1, 2, n // 12)]
+    return out
+
+
+def test_linked_sets_share_a_part():
+    """No link is missed: sets at the very bound, grown, shrunk and changed, of all sizes up to a few thousand."""
+    r = np.random.default_rng(5)
+    tried = 0
+    for trial in range(1500):
+        n = int(r.integers(9, 60) if trial % 2 else r.integers(60, 3000))
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        most = 2 * n * 10 // 190
+        gone = int(r.integers(0, most + 1))
+        b = np.unique(np.concatenate([a[gone:], r.integers(0, 2**63, int(r.integers(0, most - gone + 1))).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 90 * (len(a) + len(b) - both) and len(np.setxor1d(a, b)):
+            key, cuts = jaccard.parts(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            assert len(np.intersect1d(key[: cuts[1]], key[cuts[1] :])), (len(a), len(b), both)
+            tried += 1
+    assert tried > 1000
+
+
+def test_unlike_sets_share_no_part():
+    r = np.random.default_rng(6)
+    values = [np.unique(r.integers(0, 2**63, int(n)).astype(np.uint64)) for n in r.integers(40, 2000, 300)]
+    key, _ = jaccard.parts(np.concatenate(values), np.append(0, np.cumsum([len(v) for v in values])))
+    assert len(key) - len(np.unique(key)) < len(values) / 10
+
+
+def test_bands_cover_all_sizes_and_hold_the_distance():
+    lows, many, spares = jaccard.bands(5000)
+    size = np.arange(1, 4500)
+    who, band = jaccard.members(size, lows)
+    homes = {}
+    for i, b in zip(size[who].tolist(), band.tolist()):
+        homes.setdefault(i, set()).add(b)
+    for y in range(10, 4500):
+        for x in {y, -(-90 * y // 100)}:
+            if 2 * min(x, y) * 10 // 190 >= 1 or (x + y) * 10 // 190 >= 1:
+                shared = homes[x] & homes[y]
+                assert any(many[b] - spares[b] > (x + y) * 10 // 190 for b in shared), (x, y)
+
+
+@pytest.mark.parametrize("fold", [1 << 20, 7])
+def test_parity_join(spark, monkeypatch, fold):
+    monkeypatch.setattr(jaccard, "FOLD", fold)
+    monkeypatch.setattr(links, "TILE", 4)
+    monkeypatch.setattr(links, "RARE", 2)
+    data = [*cases.rows(), *near_copies(), *templates(12, 50_000, frame=200, rest=6), (70_000, templates(12, 50_000, frame=200, rest=6)[4][1] + " z"), (70_000, cases.prose(3, 40)), (70_000, None), *[(80_000 + k, t) for k, (_, t) in enumerate(look_alikes())]]
+    got = jaccard.groups(cases.documents(spark, data, extra=True))
+    assert collected(got, "doc_id", "n_shingles", "component_id") == sorted(brute_join(data), key=repr)
+
+
+def test_parity_join_of_nothing(spark):
+    assert jaccard.groups(cases.empty(spark)).count() == 0
+    assert collected(jaccard.groups(cases.documents(spark, [(1, None), (2, ""), (None, "a b c d")])), "doc_id", "n_shingles", "component_id") == sorted([(1, 0, 1), (2, 0, 2), (None, 2, None)], key=repr)

@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import bpe, core, decontaminate, minhash, substring, tokencount
+from tidemark.llm import bpe, core, decontaminate, links, minhash, substring, tokencount
 
 from . import cases
 
@@ -60,12 +60,12 @@ def test_bpe_with_ids(spark, tiktoken_):
     assert [x.token_ids for x in sorted(r, key=lambda x: x.doc_id)] == [tiktoken_.encode_ordinary("Hello world"), []]
 
 
-def brute_components(data):
+def brute_components(data, shingle=5, percent=75):
     sets = defaultdict(list)
     sizes = []
     for i, t in data:
         w = SPLIT.findall((t or "").translate(LOWER))
-        s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        s = {tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)} if len(w) >= shingle else ({tuple(w)} if w else set())
         sizes.append((i, len(s)))
         if i is not None and s:
             sets[i].append(s)
@@ -79,7 +79,7 @@ def brute_components(data):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and any(100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
+            if a < b and any(100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
                 ra, rb = root(a), root(b)
                 parent[max(ra, rb)] = min(ra, rb)
     return sorted([(i, n, None if i is None else root(i), i is None or root(i) == i) for i, n in sizes], key=repr)
@@ -95,9 +95,9 @@ def test_minhash_groups(spark):
 def test_minhash_large_groups_in_tiles(spark, monkeypatch, hot):
     """A chain of near copies, each linked to its neighbours only, and templates of one frame, over many tiles; with keys that count as hot."""
     monkeypatch.setattr(core, "HOT", hot)
-    monkeypatch.setattr(minhash, "TILE", 4)
+    monkeypatch.setattr(links, "TILE", 4)
     monkeypatch.setattr(minhash, "BUCKET", 3)
-    monkeypatch.setattr(minhash, "RARE", 2)
+    monkeypatch.setattr(links, "RARE", 2)
     words = cases.prose(11, 200).split()
     data = []
     for k in range(30):
@@ -118,7 +118,7 @@ def templates(n, first, frame=60, rest=20):
 
 def test_minhash_rows_grow_with_templates_not_with_their_pairs(spark, monkeypatch):
     """Unlinked documents of one frame that all become candidates: the rows written in between must grow in proportion."""
-    monkeypatch.setattr(minhash, "TILE", 20)
+    monkeypatch.setattr(links, "TILE", 20)
     monkeypatch.setattr(minhash, "BUCKET", 10)
     rows, write = [0], core.Scratch.write
 
@@ -140,7 +140,7 @@ def test_minhash_rows_grow_with_templates_not_with_their_pairs(spark, monkeypatc
 
 
 def test_minhash_estimate_is_corrected():
-    values, more, bounds = minhash.sets(pa.array([cases.prose(1, 400), cases.prose(1, 400)[:-1] + "z", cases.prose(77, 400)], pa.large_string()), both=True)
+    values, more, bounds = links.sets(pa.array([cases.prose(1, 400), cases.prose(1, 400)[:-1] + "z", cases.prose(77, 400)], pa.large_string()), 5, both=True)
     _, _, sig = minhash.sketch(values, more, bounds)
     assert minhash.estimate(sig[:1], sig[1:2])[0] > 0.9
     assert abs(minhash.estimate(sig[:1], sig[2:3])[0]) < 0.2

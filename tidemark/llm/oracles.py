@@ -58,3 +58,11 @@ AUDIT = r"""WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxi
   FROM (SELECT *, fails[pos] AS here, len(list_filter(before, lambda k: fails[k])) > 0 AS earlier FROM c, s) GROUP BY 1, 2, 3, 4)
  SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
   (sum(removed) OVER (PARTITION BY part, pos))::BIGINT AS shapley FROM r"""
+
+JACCARD = rf"""WITH RECURSIVE p AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS k FROM p, unnest(range(1, greatest(n - 2, 1) + 1)) t(i) WHERE n > 0),
+ c AS (SELECT doc_id, count(*) AS size FROM s GROUP BY 1),
+ e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2) JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * shared >= 90 * (ca.size + cb.size - shared)),
+ r AS (SELECT doc_id AS node, doc_id AS reach FROM p UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach),
+ g AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1)
+ SELECT p.doc_id, coalesce(size, 0) AS n_shingles, component_id FROM p JOIN g ON g.node = p.doc_id LEFT JOIN c USING (doc_id)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, audit, bpe, core, decontaminate, langid, minhash, oracles, quality, resample, substring, tokencount, toxicity, warc
+from . import ann, audit, bpe, core, decontaminate, jaccard, langid, minhash, oracles, quality, resample, substring, tokencount, toxicity, warc
 
 #: The id the rank file leaves free.
 EOD = 50256
@@ -59,5 +59,9 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.report(core.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_token_counts, op4_minhash, op5_ann, op6_byte_bpe, op7_langid, op8_substring, op9_toxicity, op10_decontaminate, op11_filter_audit, op12_resample)}
-ORACLES: dict[str, str] = {"op4_minhash": oracles.MINHASH, "op8_substring": oracles.SUBSTRING, "op10_decontaminate": oracles.DECONTAMINATE, "op11_filter_audit": oracles.AUDIT, "op12_resample": oracles.RESAMPLE}
+def op13_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(core.documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_token_counts, op4_minhash, op5_ann, op6_byte_bpe, op7_langid, op8_substring, op9_toxicity, op10_decontaminate, op11_filter_audit, op12_resample, op13_parity_join)}
+ORACLES: dict[str, str] = {"op4_minhash": oracles.MINHASH, "op8_substring": oracles.SUBSTRING, "op10_decontaminate": oracles.DECONTAMINATE, "op11_filter_audit": oracles.AUDIT, "op12_resample": oracles.RESAMPLE, "op13_parity_join": oracles.JACCARD}
