@@ -270,6 +270,29 @@ def test_warc_bodies_are_decoded(spark):
     assert digests["chunks"] == warc.digest(page.encode()) == digests["utf"] and digests["both"] == digests["gzip"]
 
 
+def test_warc_broken_chunks_end(spark):
+    """Chunk sizes that are no sizes, or do not fit: the body is read as it is, and soon."""
+    bad = [b"-6\r\nabc", b"+3\r\nabc\r\n0\r\n", b"1_0\r\nabcdefghijklmnop\r\n0\r\n", b"0x3\r\nabc\r\n0\r\n", b"\r\nabc", b"ffffffffffffffff\r\nabc", b"9\r\nabc\r\n0\r\n", b"2\r\nabc\r\n0\r\n", b" 3\r\nabc\r\n", b"zz\r\nabc", b"3\r\nabc\r\n-1\r\n", b"11111111111111111\r\nabc"]
+    for body in bad:
+        assert warc._unchunked(body) == body
+    assert warc._unchunked(b"3;x=1\r\nabc\r\n0\r\n\r\n") == b"abc" == warc._unchunked(b"3 \r\nabc\r\n") == warc._unchunked(b"3\r\nabc")
+    rows = [(str(k), "http://x.example/", "2024-01-01T00:00:00Z", bytearray(response(b, "Transfer-Encoding: chunked"))) for k, b in enumerate(bad)]
+    out = warc.derive(spark.createDataFrame(rows, "record_id string, target_uri string, warc_date string, block binary"), keep=["record_id"]).filter("warc_type = 'conversion'").collect()
+    assert {r.source_record_id: bytes(r.block).decode() for r in out} == {str(k): warc.plain(b.decode()) for k, b in enumerate(bad)}
+
+
+def test_warc_bodies_that_would_grow_too_large(monkeypatch):
+    import gzip
+    import zlib
+
+    import zstandard
+
+    monkeypatch.setattr(warc, "MOST_DECODED", 1000)
+    for pack, encoding in ((gzip.compress, "gzip"), (zlib.compress, "deflate"), (zstandard.compress, "zstd")):
+        assert warc._unpacked(pack(b"a" * 900), encoding) == b"a" * 900
+        assert warc._unpacked(pack(b"a" * 5000), encoding) == pack(b"a" * 5000)
+
+
 def test_warc_records_by_another_reader(spark):
     """Records as written, read by the standard library's header parser, HTML parser and digests."""
     import email.parser

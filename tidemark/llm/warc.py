@@ -72,37 +72,58 @@ def read_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, s, v in (x.partition(":") for x in lines[1:]) if s], body
 
 
+#: Bytes that a body may decode to; one that would be larger is read as it is.
+MOST_DECODED = 1 << 28
+_SIZE = re.compile(rb"[0-9A-Fa-f]{1,16}(?=[ \t]*(?:;|$))")
+
+
 def _unchunked(body: bytes) -> bytes:
-    """A body without its chunk sizes; as it is where they do not fit."""
+    """A body without its chunk sizes; as it is where any does not fit: no hexadecimal digits, or a chunk that goes on past the body or has no line end.
+
+    A body that stops between two chunks is what came before.
+    """
     out, at = [], 0
     while (end := body.find(b"\r\n", at)) >= 0:
-        try:
-            size = int(body[at:end].split(b";")[0], 16)
-        except ValueError:
-            return body
+        size = _SIZE.match(body[at:end])
         if not size:
+            return body
+        if not (n := int(size[0], 16)):
             return b"".join(out)
-        out.append(body[end + 2 : end + 2 + size])
-        at = end + 2 + size + 2
-    return b"".join(out) if out else body
+        start, at = end + 2, end + 2 + n
+        if at > len(body) or body[at : at + 2] not in (b"\r\n", b""):
+            return body
+        out.append(body[start:at])
+        at += 2
+    return b"".join(out) if out and at >= len(body) else body
 
 
 def _unpacked(body: bytes, encoding: str) -> bytes:
-    """A body without one content encoding; as it is where that does not fit or is not known."""
+    """A body without one content encoding; as it is where that does not fit, is not known, or gives over MOST_DECODED bytes."""
     import zlib
 
     import zstandard
 
+    def inflated(bits: int) -> bytes:
+        d = zlib.decompressobj(bits)
+        out = d.decompress(body, MOST_DECODED)
+        return body if d.unconsumed_tail else out
+
     try:
         if encoding in ("gzip", "x-gzip"):
-            return zlib.decompressobj(47).decompress(body)
+            return inflated(47)
         if encoding == "deflate":
             try:
-                return zlib.decompressobj().decompress(body)
+                return inflated(15)
             except zlib.error:
-                return zlib.decompressobj(-15).decompress(body)
+                return inflated(-15)
         if encoding == "zstd":
-            return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+            out = bytearray()
+            with zstandard.ZstdDecompressor().stream_reader(body) as reader:
+                while part := reader.read(1 << 20):
+                    out += part
+                    if len(out) > MOST_DECODED:
+                        return body
+            return bytes(out)
     except (zlib.error, zstandard.ZstdError):
         pass
     return body
