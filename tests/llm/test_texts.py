@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import bpe, core, decontaminate, links, minhash, substring, tokencount
+from tidemark.llm import bpe, core, decontaminate, graph, links, minhash, substring, tokencount
 
 from . import cases
 
@@ -91,6 +91,30 @@ def test_minhash_groups(spark):
     assert minhash.groups(cases.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [graph.CHUNK, 9])
+def test_components_in_chunks(spark, monkeypatch, chunk):
+    """A chain, a hub and random pairs: the same components from one chunk and from rounds over many."""
+    import random
+
+    r = random.Random(2)
+    order = list(range(90))
+    r.shuffle(order)
+    edges = [*zip(order, order[1:]), *((200, 201 + k) for k in range(40)), *((r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)), (7, 7), (500, 500)]
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"), core.Scratch(spark, "t"), "g").collect()
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    assert {g.node: g.component for g in got} == {x: root(x) for x in parent}
+
+
 @pytest.mark.parametrize("hot", [core.HOT, 3])
 def test_minhash_large_groups_in_tiles(spark, monkeypatch, hot):
     """A chain of near copies, each linked to its neighbours only, and templates of one frame, over many tiles; with keys that count as hot."""

@@ -44,7 +44,7 @@ GROWTH = 1.25
 #: Bits of a part, and set bits under which a part is weak.
 BITS, WEAK = 512, 3
 #: Rows that a task folds by key at a time.
-FOLD = 1 << 20
+FOLD = 1 << 18
 _SEED = np.random.default_rng(13_000_027).integers(0, 2**64 - 1, 4, np.uint64, endpoint=True)
 
 
