@@ -74,7 +74,7 @@ def test_messages_with_notes_and_links(spark):
     o = stored(spark).filter("order_id = 'a'").withColumns({"extraction_notes": F.lit("+0.12 o&m; order evidence: states a <b> receipt; second; third"), "pdf_url": F.lit("https://example.invalid/a?b&c"), "symbol": F.lit("SYM")})
     lines = pages.message(scoring.score(o), "https://example.invalid/{key}/").first().message.split("\n")
     assert "? states a &lt;b&gt; receipt" in lines and "? second" in lines and "? third" not in lines
-    assert "• no revenue data; score capped" in lines
+    assert "• revenue unknown, so the score stops at its cap" in lines
     assert lines[-1] == '<a href="https://example.invalid/a?b&amp;c">filing</a> <a href="https://example.invalid/SYM/">company</a>'
 
 

@@ -17,7 +17,7 @@ DURATION_LEADS = r"with(?:in)?|over|period of|completion (?:period|time|timeline
 DURATION_TAILS = r"from the date of|from date of|execution period|completion period|order period|contract period"
 DURATION_LABEL = r"time\s*period[^.\n]{0,80}?(?:by\s+which|associated\s+with|for\s+(?:the\s+)?(?:execution|completion)|of\s+(?:the\s+)?(?:order|contract))"
 
-ORDER_TRIGGERS = ["letter of award", "letter of intent", "loa", "lol", "work order", "purchase order", "supply order", "order received", "receipt of order", "award of order", "bagged", "secured an order", "secured order", "wins order", "won order", "awarded", "award of contract", "contract won", "new order", "order book", "order intake", "emerged as l1", "lowest bidder", "l-1 bidder", "declared l1", "notice to proceed", "contract agreement", "framework agreement", "rate contract", "order win", "receipt of work order", "bags order", "bags contract", "development agreement", "epc contract", "o&m contract", "export order", "domestic order", "order worth", "order valued", "received an order", "receipt of an order", "supply contract", "memorandum of understanding", "mou", "notification of award", "confirmed order", "order confirmation", "repeat order"]
+ORDER_TRIGGERS = ["letter of award", "letter of intent", "loa", "lol", "work order", "purchase order", "supply order", "order received", "receipt of order", "award of order", "secured an order", "secured order", "wins order", "won order", "awarded", "award of contract", "contract won", "new order", "order book", "order intake", "emerged as l1", "lowest bidder", "l-1 bidder", "declared l1", "notice to proceed", "contract agreement", "framework agreement", "rate contract", "order win", "receipt of work order", "bags order", "bags contract", "development agreement", "epc contract", "o&m contract", "export order", "domestic order", "order worth", "order valued", "received an order", "receipt of an order", "supply contract", "memorandum of understanding", "mou", "notification of award", "confirmed order", "order confirmation", "repeat order"]
 ORDER_PATTERNS = [
     r"\b(?:receiv|secur|bagg?|won|win[s]?|award|obtain|procur|land)\w*\b[^.\n]{0,60}?\b(?:orders?|contracts?|loa|tenders?|projects?)\b",
     r"\b(?:orders?|contracts?)\b[^.\n]{0,40}?\b(?:worth|valued at|value of|aggregating|amounting)\b",
@@ -84,7 +84,7 @@ BOOK_UNIT = r"lakh\s+crores?|crores?|crs?\b\.?|lakhs?|lacs?|millions?|mn\b|m\b|b
 BOOK_UNITS = {"crore": 1e7, "cr": 1e7, "lakh": 1e5, "lac": 1e5, "lakh crore": 1e12, "million": 1e6, "mn": 1e6, "m": 1e6, "billion": 1e9, "bn": 1e9, "b": 1e9, "k": 1e3}
 BOOK_INDIAN = ["crore", "cr", "lakh", "lac", "lakh crore"]
 BOOK_APPROX = r"approximately|approx\.?|about|around|nearly|over|above|beyond|more than|close to|exceeds?|crosse?s|~"
-BOOK_OTHER_QUANTITY = r"\b(?:inflows?|intake|new\s+orders?|wins?|won|addition|added|adds|orders?\s+(?:received|secured|negotiated)|negotiated|excluding\s+orders|revenues?|turnover|ebitda|pat|profits?|margins?|income|debt|cash|capex|guidance|pipeline|bids?|bidding|enquir\w*|tenders?|l-?1|market\s+cap\w*|valuation|share\s+capital|net\s+worth|reduction|while|whereas|of\s+which|out\s+of\s+which|comprising|representing|accounting|secured|bagged|received)\b"
+BOOK_OTHER_QUANTITY = r"\b(?:inflows?|intake|new\s+orders?|wins?|won|addition|added|adds|orders?\s+(?:received|secured|negotiated)|negotiated|excluding\s+orders|revenues?|turnover|ebitda|pat|profits?|margins?|income|debt|cash|capex|guidance|pipeline|bids?|bidding|enquir\w*|tenders?|l-?1|market\s+cap\w*|valuation|share\s+capital|net\s+worth|reduction|while|whereas|of\s+which|out\s+of\s+which|comprising|representing|accounting|secured|received)\b"
 BOOK_INFLOW_AFTER = r"\s*(?:\(?[^)]{0,30}\)\s*)?(?:of|in|worth\s+of)?\s*(?:new|fresh|additional)?\s*(?:orders?\b(?!\s*book)|order\s+(?:inflow|intake|wins?))"
 BOOK_ORDER_BEFORE = r"\b(?:worth|valued|value\s+of|orders?\s+of|secur\w*|bag\w*|wins?|won|adds?|added|received|targeting|target\s+of(?:\s+a)?|reiterat\w*)\b[^.]{0,22}$"
 BOOK_BINDING = r"\b(?:stands?|stood|is|was|of|at|reached|reaches|crossed|crosses|increased|grew|rose|touched|totals?|totalled|amounts?|aggregat\w*|valued|worth|to|now|currently|approximately|record|robust|healthy|strong|position|remains?|swells?|exceeds?|beyond)\b|[:–\-]"
@@ -93,7 +93,7 @@ BOOK_SEGMENT_NEXT = r"\b(?:division|segment|vertical|(?<!key\s)(?<!our\s)busines
 BOOK_SEGMENT = r"\b(?:division|segment|vertical|export|domestic|overseas|transmission|smart\s+meter\w*|o&m)\b"
 BOOK_TOTAL = r"\b(?:total|overall|consolidated|group(?:'s|’s)?|company(?:'s|’s)|aggregate|entire)\b"
 BOOK_FIGURE_NOT_BOOK = r"^\W{0,3}(?:crores?|cr\.?)?\s*(?:\(?\s*)?(?:(?:is|was|has\s+been|have\s+been)\s+)?(?:billed|executed|completed|recognised|recognized|invoiced|delivered)\b|^[^.;]{0,25}\bincluding\s+(?:the\s+)?(?:\w+\s+){0,3}(?:negotiat\w*|l-?1|pending\s+receipt)"
-BOOK_REGION = r"^\s+(?:in|for)\s+(?!(?i:(?:the\s+)?(?:company|group|fiscal|fy|financial|year|quarter|current|next|coming|period)\b))(?:the\s+)?[A-Z][a-z]+"
+BOOK_REGION = r"^\s+(?:in|for)\s+(?!(?i:(?:the\s+)?(?:company|group|fiscal|fy|financial|year|quarter|current|next|coming|period)\b))(?:the\s+)?[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\b"
 BOOK_PART_AFTER = r"^\s*(?:of|for|in)\s+(?:the|its|our)?\s*(?:company['’]s\s+)?[\w&\s]{0,30}?\b(?:business|division|segment|vertical)\b"
 BOOK_SUBSIDIARY = r"\bsubsidiar(?:y|ies)\b"
 BOOK_WITH_SUBSIDIARY = r"(?:including|with|along\s+with)\s+(?:its\s+)?subsidiar|consolidated"
@@ -103,7 +103,10 @@ BOOK_CLOSING = r"\bto\s+(?:a\s+record\s+(?:of\s+)?|approximately\s+|approx\.?\s+
 BOOK_COMPARED = r"\b(?:compared|relative|as\s+against|against|versus|vs\.?)\s+(?:to\s+)?(?:\w+\s+)?$"
 BOOK_LABEL_GAP = r"[\s:\-–(]*(?:(?:total|consolidated|unexecuted|outstanding|current|healthy|robust|strong|record|executable|open|confirmed)\s+)*"
 BOOK_CONNECTIVES = ["comprising", "of", "with", "and", "including", "against", "vs", "versus", "increasing", "up", "from", "to", "which", "where"]
-BOOK_BREAK = r"\.\s+(?=[A-Z“\"(₹])|\.\s*\n|[•●▪■◆❖➢✓►]|\s\|\|\s|\n\s*\n|;\s+|\s\?\s(?=[A-Z])|\so\s(?=[A-Z])|\s›\s"
+# A break is also a bullet as PDF text has it, a letter of private use.
+BOOK_BREAK = r"\.\s+(?=[A-Z“\"(₹\uf000-\uf8ff])|\.\s*\n|[•●▪■◆❖➢✓►\uf000-\uf8ff]|\s\|\|\s|\n\s*\n|;\s+|\s\?\s(?=[A-Z])|\so\s(?=[A-Z])|\s›\s"
+# A question mark that stands where the rupee sign was lost.
+BOOK_LOST_RUPEE = r"(?<![\w?])\?\s?(?=\d[\d,]*(?:\.\d+)?\+?\s*(?:cr|crore|lakh|lac|mn|bn)\b)"
 BOOK_DATES = {
     "dmy": r"\b(?P<d>\d{1,2})(?:st|nd|rd|th)?[\s\-/.,]*(?P<m>jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?[\s\-/.,’']*(?P<y>20\d{2}|\d{2})\b",
     "mdy": r"\b(?P<m>jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(?P<d>\d{1,2})(?:st|nd|rd|th)?,?\s+(?P<y>20\d{2})\b",
@@ -133,10 +136,10 @@ ABBREVIATIONS = ["rs", "approx", "no", "nos", "mr", "ms", "mrs", "dr", "ltd", "p
 # Statements that an order was received.
 RECEIPT_NOUN = r"(?:(?:purchase|work|supply|service|export|repeat|new|pilot)\s+)?(?:orders?|contracts?|letters?\s+of\s+(?:award|intent|acceptance|commencement)|lo[ai]s?|lol|notifications?\s+of\s+award|awards?\s+of\s+contract)"
 RECEIPTS = [
-    r"\b(?:received|receives|secured|secures|bagged|bags|won|wins|obtained|awarded)\b[^.;:?]{0,140}?\b" + RECEIPT_NOUN + r"\b",
+    r"\b(?:received|receives|secured|secures|bags|won|wins|obtained|awarded)\b[^.;:?]{0,140}?\b" + RECEIPT_NOUN + r"\b",
     r"\b" + RECEIPT_NOUN + r"\b[^.;:?]{0,80}?\b(?:has|have|was|were)\s+been\s+(?:received|awarded|placed|issued)\b",
     r"\breceipt\s+of\s+(?:an?\s+|the\s+)?" + RECEIPT_NOUN + r"\b",
-    r"\b" + RECEIPT_NOUN + r"\s+(?:received|bagged|secured|won)\b",
+    r"\b" + RECEIPT_NOUN + r"\s+(?:received|secured|won)\b",
     r"\b(?:contract|order)\s+wins?\b",
 ]
 RECEIPT_VETO_BEFORE = r"\bwhether\b|\bif\s+yes\b|\bnot\b"

@@ -1,7 +1,7 @@
 """From a filing's texts to an order.
 
-`extract` adds one struct of columns. Cheap expressions decide first whether a filing can be an order at all; only those
-rows reach the Arrow functions.
+`extract` first decides which filings can be orders: one scan of each text for all word lists (`scan`), the statement of a
+receipt, the evidence. That is written once; only filings with evidence go on to what reads figures, names and phrases.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dictionaries as D
-from . import calendar, money, orderbook, scoring, text
+from ..shared import cut
+from . import calendar, money, orderbook, scan, scoring, text
 
 _RECEIPTS = [re.compile(p, re.I) for p in D.RECEIPTS]
 _BEFORE, _AFTER, _PENDING, _LEAD, _STOP, _JUNK = (re.compile(p, re.I) for p in (D.RECEIPT_VETO_BEFORE, D.RECEIPT_VETO_AFTER, D.RECEIPT_PENDING, D.OBJECT_LEAD, D.OBJECT_STOP, D.OBJECT_JUNK))
@@ -199,14 +200,14 @@ def related_party(said: Column) -> Column:
     return F.exists(found, lambda lead: ~F.rlike(lead, F.lit(question)))
 
 
-def evidence(headline: Column, body: Column, attachment: Column, subcategory: Column, statement: Column, table_named: Column) -> Column:
-    """struct(received, reason)."""
+def evidence(headline: Column, body: Column, attachment: Column, subcategory: Column, statement: Column, table_named: Column, topical: Column, changed: Column) -> Column:
+    """struct(received, reason). `topical` and `changed` say whether the filing's titles are about another topic, and whether its lead amends anything."""
     say = lambda ok, why: F.struct(F.lit(ok).alias("received"), why.alias("reason"))
     full, lead = text.joined(headline, body, attachment), text.joined(headline, text.subject(attachment), body)
-    changed = text.amendment(lead) & F.rlike(lead, F.lit(r"(?i)\b(?:orders?|contracts?|lo[ai])\b"))
+    changed = changed & F.rlike(lead, F.lit(r"(?i)\b(?:orders?|contracts?|lo[ai])\b"))
     filed_as = F.rlike(F.lower(F.coalesce(subcategory, F.lit(""))), F.lit(text.any_part(D.ORDER_CATEGORIES)))
     return (
-        F.when(text.not_order_topic(subcategory, headline, text.subject(attachment)), say(False, F.lit("about another topic")))
+        F.when(topical, say(False, F.lit("about another topic")))
         .when(changed, say(True, F.lit("an amendment or cancellation of an order")))
         .when(statement.isNotNull(), say(True, F.concat(F.lit("states "), statement)))
         .when(F.rlike(full, F.lit("(?i)" + D.LOWEST_BIDDER)), say(False, F.lit("lowest bidder only")))
@@ -216,6 +217,21 @@ def evidence(headline: Column, body: Column, attachment: Column, subcategory: Co
     )
 
 
+def weighed(filings: DataFrame) -> DataFrame:
+    """`filings` with evidence (null where a filing cannot be an order at all), its text and the marks of that, written once."""
+    said = lambda c: F.nullif(F.trim(c), F.lit("")).isNotNull() if c in filings.columns else F.lit(False)
+    h, b, a, sub = (F.col(c) for c in ("headline", "body", "attachment", "subcategory"))
+    d = filings.withColumns({"__full": F.concat_ws("\n", h, b, a), "__head": text.joined(h, F.substring(b, 1, 400))})
+    d = d.withColumns({"__marks": scan.marks(F.concat("__full", F.lit(" "))), "__head_marks": scan.marks("__head")})
+    gate = scan.looks_like_order("__marks") & scan.non_order("__head_marks", "__head").isNull() & ~scan.own_project("__marks")
+    d = d.withColumn("__gate", gate)
+    d = d.withColumn("__subject", F.when(F.col("__gate"), text.subject(a)))
+    can = lambda x: F.when(F.col("__gate"), x)  # noqa: E731  the functions below return at once for null
+    d = d.withColumns({"__said": receipt_statement(can(F.col("__full"))), "__topics": scan.marks(can(text.joined(sub, h, F.col("__subject")))), "__lead": scan.marks(can(text.joined(h, F.col("__subject"), b)))})
+    shown = evidence(h, b, a, sub, F.col("__said"), said("t_customer") | said("t_size"), scan.has("__topics", "topic"), scan.has("__lead", "amendment"))
+    return cut(d.withColumn("evidence", can(shown)).drop("__head", "__head_marks", "__gate", "__subject", "__said", "__topics", "__lead"), "weighed")
+
+
 def end_date(said: Column) -> Column:
     """D6."""
     month = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
@@ -245,23 +261,20 @@ def extract(filings: DataFrame) -> DataFrame:
     Answers of the disclosure table (`ANSWERS`), where the filing has such columns, override what the text says.
     """
     table = [c for c in ANSWERS if c in filings.columns]
-    said = lambda c: F.nullif(F.trim(c), F.lit("")).isNotNull() if c in table else F.lit(False)
-    h, b, a, sub = (F.col(c) for c in ("headline", "body", "attachment", "subcategory"))
-    full, lead = F.concat_ws("\n", h, b, a), F.concat_ws("\n", h, b)
-    gate = text.looks_like_order(full) & text.non_order(h, F.substring(b, 1, 400)).isNull() & ~text.own_project(full)
-    d = filings.withColumn("__full", full).withColumn("__gate", F.coalesce(gate, F.lit(False)))
-    can, rest = d.filter("__gate"), d.filter("NOT __gate")
-    can = can.withColumn("__said", receipt_statement("__full")).withColumn("evidence", evidence(h, b, a, sub, F.col("__said"), said("t_customer") | said("t_size")))
-    yes = can.filter("evidence.received")
+    h, b, a = (F.col(c) for c in ("headline", "body", "attachment"))
+    lead = F.concat_ws("\n", h, b)
+    d = weighed(filings)
+    yes = d.filter("evidence.received")
     value = F.coalesce(money.pick_order_value(lead), money.pick_order_value(a))
     yes = yes.withColumns({"value": value, "guidance": money.extract_guidance("__full", calendar.fiscal_year(F.col("filed_at")))})
-    amended = text.amendment(lead)
-    kind = text.order_type(F.col("__full"))
+    amended = F.exists("__marks", lambda m: (m["list"] == scan.NUMBER["amendment"]) & (m["stop"] <= F.char_length(lead)))
+    kind = scan.order_type("__marks")
     yes = yes.withColumns({
         "is_order": F.lit(True), "order_value_inr": F.col("value.value_inr"), "execution_months": calendar.duration_months(F.col("__full"), F.col("filed_at")),
-        "__customer": text.customer(F.col("__full"), F.col("company_name")), "is_amendment": amended, "order_type": F.when(amended, "amendment").otherwise(kind["order_type"]), "firmness": F.when(amended, 0.0).otherwise(kind["firmness"]), "quality_adj": text.quality_adjustment(F.col("__full")),
+        "__customer": text.customer(F.col("__full"), F.col("company_name")), "is_amendment": amended, "order_type": F.when(amended, "amendment").otherwise(kind["order_type"]), "firmness": F.when(amended, 0.0).otherwise(kind["firmness"]), "quality_adj": scan.quality_adjustment("__marks"),
     })
-    yes = yes.withColumns({"customer": F.col("__customer.name"), "customer_type": text.customer_type(F.col("__customer.name"), F.col("__full")), "is_related_party": F.coalesce(related_party(F.col("__full")), F.lit(False)) | F.col("__customer.is_self")})
+    yes = yes.withColumn("__name", scan.marks(text.joined(F.col("__customer.name"), F.substring("__full", 1, 40))))
+    yes = yes.withColumns({"customer": F.col("__customer.name"), "customer_type": scan.customer_type(F.col("__customer.name"), "__name", "__marks"), "is_related_party": F.coalesce(related_party(F.col("__full")), F.lit(False)) | F.col("__customer.is_self")})
     yes = yes.withColumn("extraction_conf", F.coalesce("value.confidence", F.lit(0.2)))
     yes = scoped(yes).withColumn("customer", named(F.col("stated_customer"), F.col("customer"))).drop("stated_customer")
     yes = apply_table(yes) if table else yes
@@ -272,8 +285,8 @@ def extract(filings: DataFrame) -> DataFrame:
     yes = summarise(yes, "scope", F.col("customer"), "order_type", "order_value_inr", "execution_months", titled)
     # F8: readings that a second reader should check
     yes = yes.withColumn("needs_check", F.col("order_value_inr").isNull() | (F.col("extraction_conf") < 0.55) | (F.col("execution_months").isNull() & (F.col("order_value_inr") > 5e8)))
-    no = can.filter("NOT evidence.received").unionByName(rest, allowMissingColumns=True).withColumn("is_order", F.lit(False))
-    return yes.unionByName(no, allowMissingColumns=True).drop("__full", "__gate", "__said", "__customer", "value")
+    no = d.filter("evidence IS NULL OR NOT evidence.received").withColumn("is_order", F.lit(False))
+    return yes.drop("__name").unionByName(no, allowMissingColumns=True).drop("__full", "__marks", "__customer", "value")
 
 
 #: Phrases of a letter of award or a work order.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import company_key
-from ..shared import cut
+from .components import components
 
 
 def mint(isin: Column, symbol: Column, code: Column, name: Column) -> Column:
@@ -23,22 +23,25 @@ def ranked(isin: Column, symbol: Column, code: Column, name: Column) -> Column:
 
 
 def _closed(pairs: DataFrame) -> DataFrame:
-    """Rows (isin, key, best): the best-ranked id among all rows that are joined by equal ISINs and equal keys."""
-    while True:
-        by_isin = pairs.filter("isin IS NOT NULL").groupBy("isin").agg(F.min("best").alias("i"))
-        by_key = pairs.filter("key IS NOT NULL").groupBy("key").agg(F.min("best").alias("k"))
-        new = pairs.join(by_isin, "isin", "left").join(by_key, "key", "left").withColumn("was", F.col("best")).withColumn("best", F.least("best", "i", "k"))
-        new = cut(new.select("isin", "key", "best", "was"), "identity")
-        pairs = new.drop("was")
-        if new.filter("best.rank <> was.rank OR best.id <> was.id").isEmpty():
-            return pairs
+    """Rows (isin, key, best): the best-ranked id among all rows that are joined by equal ISINs and equal keys.
+
+    ISINs and keys are the nodes, rows with both the edges; the rounds grow with the logarithm of a chain's length.
+    """
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c))
+    edges = pairs.filter("isin IS NOT NULL AND key IS NOT NULL").select(node("i", "isin").alias("a"), node("k", "key").alias("b"))
+    of = components(edges)
+    own = F.coalesce(node("i", "isin"), node("k", "key"))
+    pairs = pairs.withColumn("node", own).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = pairs.filter("component IS NOT NULL").groupBy("component").agg(F.min("best").alias("least"))
+    return pairs.join(best, "component", "left").select("isin", "key", F.coalesce("least", "best").alias("best"))
 
 
 def resolve(filings: DataFrame, companies: DataFrame, least_key: int = 6) -> DataFrame:
     """`filings` with company_id: the known company of the ISIN, else of the normalised name, else one id for all filings of
     the batch that are joined by ISIN or name, however many steps apart: a known one of any of them, else the best minted.
 
-    ISINs rank before symbols, codes and names, so a name match never takes an ISIN away. Names of under `least_key`
+    ISINs rank before symbols, codes and names. Two ISINs under one name are one company, of the smaller ISIN, unless both are
+    known already: a new ISIN under a known name is taken for another listing of that company. Names of under `least_key`
     letters join nothing.
     """
     key = company_key(F.col("company_name"))

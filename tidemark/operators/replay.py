@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
-from ..functions import filing, scoring, text
+from ..functions import filing, scan, scoring
 from ..shared import cut
 from . import sequences
 
@@ -41,10 +41,11 @@ def recheck(filings: DataFrame, orders: DataFrame) -> DataFrame:
     `outcome` is dropped (a stored order that is none any more), refreshed, created, needs_text (a new order whose attachment was
     never read, so its figure is not there) or none; `old_value_inr` and `old_months` are what the stored order holds.
     """
-    like = F.coalesce("is_order_like", F.lit(False)) | F.coalesce(text.looks_like_order(F.col("headline"), F.col("body"), F.col("subcategory")), F.lit(False))
+    filings = filings.withColumn("__said", scan.marks(F.concat_ws(" ", "headline", "body", "subcategory")))
+    like = F.coalesce("is_order_like", F.lit(False)) | scan.looks_like_order("__said")
     says = F.concat_ws("", "headline", "body", "attachment") != ""
     held = orders.select(F.col("order_id").alias("ann_id"), F.col("order_value_inr").alias("old_value_inr"), F.col("execution_months").alias("old_months"), F.lit(True).alias("__held"))
-    d = filing.extract(filings.filter(like & says)).join(held, "ann_id", "left")
+    d = filing.extract(filings.filter(like & says).drop("__said")).join(held, "ann_id", "left")
     is_held, unread = F.coalesce("__held", F.lit(False)), F.coalesce("attachment", F.lit("")).eqNullSafe("") & F.col("pdf_url").isNotNull()
     what = F.when(is_held, F.when(F.col("is_order"), "refreshed").otherwise("dropped")).when(~F.col("is_order"), "none").when(unread, "needs_text").otherwise("created")
     return d.withColumn("outcome", what).drop("__held")

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
 from ..functions.calendar import quarter_label
+from .components import components
+from .windows import trailing_median
 
 
 def novelty_history(orders: DataFrame, days: int = 720) -> DataFrame:
     """Median and number of a company's earlier orders in the trailing days, strictly before each."""
-    o = orders.withColumn("__at", F.unix_seconds("filed_at"))
-    w = W.partitionBy("company_id").orderBy("__at").rangeBetween(-days * 86400, -1)
     counted = (F.col("order_value_inr") > 0) & ~F.coalesce("is_amendment", F.lit(False))
-    values = F.when(counted, F.col("order_value_inr"))
-    h, n = F.col("__h"), F.size("__h")
-    median = F.when(n > 0, (F.get(h, F.floor((n - 1) / 2).cast("int")) + F.get(h, F.floor(n / 2).cast("int"))) / 2)
-    return o.withColumn("__h", F.array_sort(F.collect_list(values).over(w))).withColumn("history_median", median).withColumn("history_n", n.cast("long")).drop("__at", "__h")
+    return trailing_median(orders, ["company_id"], F.unix_seconds("filed_at"), F.when(counted, F.col("order_value_inr")), days * 86400, "history_median", "history_n")
 
 
 def quarterly_metrics(quarters: DataFrame, value: str = "revenue") -> DataFrame:
@@ -98,15 +97,43 @@ def same_order(a: Column, b: Column) -> Column:
     return F.when(both, close).otherwise(loose)
 
 
+#: Of ln(1 + share * value) two values that `same_order` takes for equal differ by this at most.
+_NEAR = -math.log(1 - 0.005) * (1 + 1e-9)
+
+
+def possible_twins(orders: DataFrame) -> DataFrame:
+    """Edges (a, b) between filings (company_id, order_id, at, order_value_inr, order_type) that join all `same_order` can hold of.
+
+    Equal values are in one of two grids of value cells, less than four days apart; a filing without a value is of the day and
+    kind of its like. In each cell a filing is tied to the one before it, so there are at most three edges a filing, and a
+    company that files all the time is as many groups as it has values and days.
+    """
+    x = F.log1p(0.005 * F.greatest(F.col("order_value_inr"), F.lit(0.0))) / (2 * _NEAR)
+    day = F.floor(F.col("at") / 86400)
+    valued = F.array(F.struct(F.lit("a").alias("grid"), F.floor(x).alias("cell"), F.lit("").alias("kind")), F.struct(F.lit("b").alias("grid"), F.floor(x + 0.5).alias("cell"), F.lit("").alias("kind")))
+    dated = F.array(F.struct(F.lit("d").alias("grid"), day.alias("cell"), F.coalesce("order_type", F.lit("")).alias("kind")))
+    cells = orders.select("company_id", "order_id", "at", F.col("order_value_inr").isNull().alias("bare"), F.inline(F.when(F.col("order_value_inr").isNull(), dated).otherwise(F.concat(valued, dated))))
+    w = W.partitionBy("company_id", "grid", "cell", "kind")
+    row = w.orderBy("at", "order_id")
+    before = F.struct(F.lag("order_id").over(row).alias("id"), F.lag("at").over(row).alias("at"))
+    ties = cells.withColumns({"before": before, "some": F.max("bare").over(w)})
+    close = F.when(F.col("grid") == "d", F.col("some")).otherwise(F.col("at") - F.col("before.at") <= 4 * 86400)
+    return ties.filter(F.col("before.id").isNotNull() & close).select(F.col("order_id").alias("a"), F.col("before.id").alias("b"))
+
+
 def collapse(orders: DataFrame) -> DataFrame:
     """Filings of one order as one row, newest first: each joins the first group whose head it matches.
 
-    The best-read filing stays (a value, then months, then the score; the earlier in order on ties); `exchanges` and
-    `duplicate_filings` say what it stands for.
+    The fold over heads runs inside components of `possible_twins`, which no match leaves; a filing that may match no other
+    needs none. The best-read filing stays (a value, then months, then the score; the earlier in order on ties);
+    `exchanges` and `duplicate_filings` say what it stands for. An order_id stands for one filing.
     """
-    row = F.struct((-F.unix_seconds("filed_at")).alias("__newest"), "order_id", F.unix_seconds("filed_at").alias("at"), "exchange", "order_value_inr", "order_type", "execution_months", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
-    orders = sessions(orders, ["company_id"], F.unix_seconds("filed_at"), 4 * 86400, descending=True)
-    g = orders.groupBy("company_id", "__session").agg(F.array_sort(F.collect_list(row)).alias("rs"))
+    d = orders.select("company_id", "order_id", "filed_at", F.unix_seconds("filed_at").alias("at"), "exchange", "order_value_inr", "order_type", "execution_months", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
+    of = components(possible_twins(d)).select(F.col("node").alias("order_id"), F.col("component").alias("__of"))
+    d = d.withColumn("__newest", -F.col("at")).join(of, "order_id", "left")
+    alone = d.filter("__of IS NULL").select("company_id", "order_id", "order_value_inr", F.when(F.col("exchange").isNotNull(), F.array("exchange")).otherwise(F.array().cast("array<string>")).alias("exchanges"), F.lit(1).cast("long").alias("duplicate_filings"))
+    row = F.struct("__newest", "order_id", "at", "exchange", "order_value_inr", "order_type", "execution_months", "score")
+    g = d.filter("__of IS NOT NULL").groupBy("company_id", "__of").agg(F.array_sort(F.collect_list(row)).alias("rs"))
     none = F.array().cast("array<int>")
     find = lambda rs, heads, x: F.get(F.filter(heads, lambda h: same_order(F.element_at(rs, h), x)), 0)
     # the fold keeps the positions of the heads, and for each row the head it joins
@@ -117,9 +144,10 @@ def collapse(orders: DataFrame) -> DataFrame:
         return F.struct(F.when(own == k, F.concat(acc["heads"], F.array(k))).otherwise(acc["heads"]).alias("heads"), F.concat(acc["of"], F.array(own)).alias("of"))
 
     of = F.aggregate(F.sequence(F.lit(1), F.size("rs")), acc0, step, lambda acc: acc["of"])
-    rows = g.select("company_id", "__session", F.explode(F.arrays_zip(F.col("rs").alias("r"), of.alias("head"))).alias("z")).select("company_id", "__session", "z.r.*", F.col("z.head").alias("head"))
+    rows = g.select("company_id", "__of", F.explode(F.arrays_zip(F.col("rs").alias("r"), of.alias("head"))).alias("z")).select("company_id", "__of", "z.r.*", F.col("z.head").alias("head"))
     best = F.struct(F.col("order_value_inr").isNotNull(), F.col("execution_months").isNotNull(), "score", -F.col("__newest"), -F.col("order_id"))
-    return rows.groupBy("company_id", "__session", "head").agg(F.max_by("order_id", best).alias("order_id"), F.max_by("order_value_inr", best).alias("order_value_inr"), F.array_sort(F.collect_set("exchange")).alias("exchanges"), F.count("*").alias("duplicate_filings")).drop("head", "__session")
+    folded = rows.groupBy("company_id", "__of", "head").agg(F.max_by("order_id", best).alias("order_id"), F.max_by("order_value_inr", best).alias("order_value_inr"), F.array_sort(F.collect_set("exchange")).alias("exchanges"), F.count("*").alias("duplicate_filings")).drop("head", "__of")
+    return folded.unionByName(alone)
 
 
 def feed_alarm(runs: DataFrame) -> DataFrame:

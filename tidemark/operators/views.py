@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
+from .windows import last_before
 
 
 def orders_view(orders: DataFrame, companies: DataFrame, *, name: str | None = None, tier: str | None = None, exchange: str | None = None, since: Column | None = None, min_score: float | None = None, min_ratio: float | None = None, amendments: bool = False, has_value: bool = False, limit: int = 5000) -> DataFrame:
@@ -111,16 +112,16 @@ def near_duplicates(orders: DataFrame, share: float, days: int) -> DataFrame:
     return pairs.groupBy("order_id").agg(F.min("other_id").alias("duplicate_of"))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_year: Column, year: str, value: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, left_year: Column, year: str, value: list[str], hot: int | None = None) -> DataFrame:
     """For each row the right row of the latest year up to the wanted one; of equal years the largest by its values.
 
-    One window over both sides, a company's right rows before its left ones: nothing is packed, and a row holds one match. A row
-    without key or wanted year matches nothing.
+    One order over both sides, a key's right rows before its left ones: nothing is packed, and a row holds one match. A key of
+    over `hot` rows is dealt out over many tasks (`windows.last_before`). A row without key or wanted year matches nothing.
     """
     seen = right.filter(F.col(key).isNotNull() & F.col(year).isNotNull()).select(F.col(key), F.col(year).alias("__y"), F.struct(F.col(year), *value).alias("__r"))
     rows = left.select(F.col(key), left_year.alias("__y"), F.struct(*left.columns).alias("__l"))
-    w = W.partitionBy(key).orderBy("__y", F.col("__l").isNotNull(), "__r").rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = seen.unionByName(rows, allowMissingColumns=True).withColumn("__last", F.last("__r", ignorenulls=True).over(w)).filter(F.col("__l").isNotNull())
+    both = seen.unionByName(rows, allowMissingColumns=True).withColumn("__left", F.col("__l").isNotNull())
+    both = last_before(both, key, ["__y", "__left", "__r"], "__r", hot).filter("__left")
     return both.select("__l.*", F.col(f"__last.{year}").alias(year), *[F.col(f"__last.{v}").alias(v) for v in value])
 
 

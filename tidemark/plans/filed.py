@@ -41,10 +41,10 @@ def extract_filings(spark, sf):
     return e.select("order_id", "is_order", F.bround("order_value_inr").cast("long").alias("value"), F.col("execution_months").alias("months"), "customer", "customer_type", "is_amendment", "firmness", "scope")
 
 
-@query("SELECT o_orderkey AS order_id, CAST(o_totalprice AS BIGINT) * 10000000 AS value, make_date(year(o_orderdate), 1 + 3 * (quarter(o_orderdate) - 1), 1) - 1 AS as_of, CASE WHEN o_orderkey % 2 = 0 THEN 'total' ELSE 'segment' END AS scope FROM orders WHERE CAST(o_totalprice AS BIGINT) BETWEEN 1 AND 1900000")
+@query("SELECT o_orderkey AS order_id, CASE WHEN k THEN c * 10000000 END AS value, CASE WHEN k THEN make_date(year(o_orderdate), 1 + 3 * (quarter(o_orderdate) - 1), 1) - 1 END AS as_of, CASE WHEN NOT k THEN NULL WHEN o_orderkey % 2 = 0 THEN 'total' ELSE 'segment' END AS scope FROM (SELECT *, CAST(o_totalprice AS BIGINT) AS c, CAST(o_totalprice AS BIGINT) BETWEEN 1 AND 1999999 AS k FROM orders)")
 def rendered_order_book(spark, sf):
-    """B1-B5, D9, D11, D12, M12."""
-    f = base.filings(spark, sf, heavy=True).withColumn("crore", F.bround(F.col("order_value_inr") / 1e5).cast("long")).filter("crore BETWEEN 1 AND 1900000")
+    """A book of every order's size; one past what a book can be is not read."""
+    f = base.filings(spark, sf, heavy=True).withColumn("crore", F.bround(F.col("order_value_inr") / 1e5).cast("long"))
     label = F.when(F.col("order_id") % 2 == 0, "unexecuted order book").otherwise("railway order book")
     said = F.concat(F.lit("Results were good. We ended the quarter with a "), label, F.lit(" of Rs. "), F.col("crore").cast("string"), F.lit(" crore. Order inflow was Rs. 12 crore."))
     b = f.select("order_id", F.get(orderbook.find_order_books(said, F.to_date("filed_at"), F.lit("results")), 0).alias("b"))
@@ -78,9 +78,9 @@ def watch_digest(spark, sf):
 #: The score as it is stored, rounded before the tier is taken of it.
 ROUNDED = scored._SCORED.replace("CASE WHEN is_amendment THEN 25 ELSE 100 END) AS s FROM l)", "CASE WHEN is_amendment THEN 25 ELSE 100 END) AS u FROM l), mm AS (SELECT *, round_even(u, 2) AS s FROM m)").replace("END AS t FROM m)", "END AS t FROM mm)")
 #: Why an order stands where it does, as a list with gaps.
-REASONS = """[CASE WHEN gate < 1 THEN 'materiality gate ' || format('{:,.0f}', gate * 100) || '%' END, CASE WHEN conf < 0.6 THEN 'low extraction confidence (' || format('{:,.2f}', conf) || ')' END, CASE WHEN ttm IS NULL THEN 'no revenue data; score capped' END,
- CASE WHEN is_amendment THEN 'amendment/cancellation, not a new order' END, CASE WHEN implausible THEN 'implausible: order is ' || format('{:,.0f}', rq) || 'x last quarter''s revenue' END, CASE WHEN order_value_inr < 1e7 THEN 'below absolute order-value floor' END,
- CASE WHEN s >= 75 AND t = 'MEDIUM' THEN 'capped at MEDIUM: not a firm order' END, CASE WHEN tier <> t THEN 'override: order is ' || format('{:,.0f}', rq * 100) || '% of last quarter''s revenue' END]"""
+REASONS = """[CASE WHEN gate < 1 THEN 'size of the order counts the rest at ' || format('{:,.0f}', gate * 100) || '%' END, CASE WHEN conf < 0.6 THEN 'read with little confidence (' || format('{:,.2f}', conf) || ')' END, CASE WHEN ttm IS NULL THEN 'revenue unknown, so the score stops at its cap' END,
+ CASE WHEN is_amendment THEN 'changes or ends an order and is no new one' END, CASE WHEN implausible THEN 'hard to believe: the order is ' || format('{:,.0f}', rq) || ' times what the last quarter brought' END, CASE WHEN order_value_inr < 1e7 THEN 'worth less than the least value that is told' END,
+ CASE WHEN s >= 75 AND t = 'MEDIUM' THEN 'not firm, so MEDIUM at most' END, CASE WHEN tier <> t THEN 'raised: the order is ' || format('{:,.0f}', rq * 100) || '% of what the last quarter brought' END]"""
 _ALERTS = (
     ROUNDED
     + """, a AS (SELECT z.*, c_name FROM z JOIN customer ON c_custkey = company_id WHERE tier IN ('HIGH', 'MEDIUM') AND NOT EXISTS (SELECT 1 FROM f b WHERE b.company_id = z.company_id AND b.order_id < z.order_id

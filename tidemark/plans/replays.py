@@ -65,13 +65,13 @@ def recheck_outcomes(spark, sf):
     return replay.recheck(filings, held).select(F.col("ann_id").alias("order_id"), "outcome")
 
 
-@query("""SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 7 = 0 THEN 'kept' ELSE '₹' || (o_orderkey % 900 + 100) || ' Cr order from Jal Nigam for design and supply of water pumps, over '
- || CASE WHEN m = 1 THEN '1 month' WHEN m = 12 THEN '1 year' WHEN m % 12 = 0 THEN m // 12 || ' years' ELSE m || ' months' END || '.' END AS summary FROM (SELECT o_orderkey, o_orderkey % 36 + 1 AS m FROM orders WHERE o_orderkey % 4 = 0)""")
+@query("""SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 7 = 0 THEN 'kept' WHEN o_orderkey % 4 = 2 THEN 'Company declared L1 bidder in tender (₹' || (o_orderkey % 900 + 100) || ' Cr).' ELSE '₹' || (o_orderkey % 900 + 100) || ' Cr order from Jal Nigam' || CASE WHEN o_orderkey % 4 = 0 THEN ' for design and supply of water pumps' ELSE '' END || ', over '
+ || CASE WHEN m = 1 THEN '1 month' WHEN m = 12 THEN '1 year' WHEN m % 12 = 0 THEN m // 12 || ' years' ELSE m || ' months' END || '.' END AS summary FROM (SELECT o_orderkey, o_orderkey % 36 + 1 AS m FROM orders)""")
 def resummarised_orders(spark, sf):
-    """Descriptions rebuilt from stored texts; a model's own stays."""
+    """Descriptions of all orders rebuilt from stored texts: with the work they name, by the filing's own title, or without either; a model's own stays."""
     k = F.col("order_id")
     f = filed._filings(spark, sf)
-    orders = f.filter(k % 4 == 0).select("order_id", F.lit("Jal Nigam").alias("customer"), F.lit("work order").alias("order_type"), ((k % 900 + 100) * 1e7).alias("order_value_inr"), (k % 36 + 1).cast("double").alias("execution_months"), F.lit(None).cast("string").alias("scope"), F.lit("kept").alias("summary"), F.when(k % 7 == 0, "rules+llm").otherwise("rules").alias("extraction_method"))
+    orders = f.select("order_id", F.lit("Jal Nigam").alias("customer"), F.lit("work order").alias("order_type"), ((k % 900 + 100) * 1e7).alias("order_value_inr"), (k % 36 + 1).cast("double").alias("execution_months"), F.lit(None).cast("string").alias("scope"), F.lit("kept").alias("summary"), F.when(k % 7 == 0, "rules+llm").otherwise("rules").alias("extraction_method"))
     return replay.resummarise(orders, f.withColumn("ann_id", k)).select("order_id", "summary")
 
 
@@ -96,13 +96,13 @@ def tracked_snapshot(spark, sf):
     return replay.of_tracked(base.filings(spark, sf), snapshot).select("order_id")
 
 
-@query("SELECT DISTINCT c_name AS company_name, 'doc-' || o_orderkey % 1000 AS pdf_url FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0")
+@query("SELECT DISTINCT c_name AS company_name, 'doc-' || o_orderkey % 1000 AS pdf_url FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 <> 0")
 def order_documents(spark, sf):
     """The distinct attachments of filings that gave an order."""
     k = F.col("order_id")
     f = base.filings(spark, sf).join(base.companies(spark, sf), "company_id")
     docs = f.select(k.alias("ann_id"), "company_name", F.when(k % 3 != 0, F.concat(F.lit("doc-"), (k % 1000).cast("string"))).alias("pdf_url"))
-    return replay.order_documents(f.filter(k % 2 == 0), docs)
+    return replay.order_documents(f, docs)
 
 
 def _quarters(spark, sf) -> DataFrame:

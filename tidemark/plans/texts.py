@@ -134,13 +134,15 @@ def headline_ladder(spark, sf):
     return f.select("order_id", text.looks_like_order(h).alias("is_order_like"), text.non_order(h).alias("veto"), text.worth_probe(h, F.lit("")).alias("probe"), text.amendment(h).alias("amendment"), text.order_type(h)["firmness"].alias("firmness"), text.book_candidate(h).alias("book"))
 
 
-@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'psu' WHEN s_suppkey % 4 = 1 THEN 'government' WHEN s_suppkey % 4 = 2 THEN 'export' ELSE 'private' END AS kind, CASE s_suppkey % 4 WHEN 0 THEN 'NTPC Limited' WHEN 1 THEN 'Jal Nigam' WHEN 2 THEN 'Acme Trading Qatar' ELSE 'Godrej Properties' END AS customer FROM supplier")
+@query("SELECT o_orderkey AS order_id, ['psu', 'government', 'export', 'private'][o_orderkey % 4 + 1] AS kind, ['NTPC Limited', 'Jal Nigam', 'Acme Trading Qatar', 'Godrej Properties'][o_orderkey % 4 + 1] || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' Unit ' || o_orderkey % 9973 END AS customer FROM orders")
 def customer_ladder(spark, sf):
-    """The counterparty out of a sentence, and its kind."""
-    name = F.element_at(F.array(*map(F.lit, ("NTPC Limited", "Jal Nigam", "Acme Trading Qatar", "Godrej Properties"))), (F.col("s_suppkey") % 4).cast("int") + 1)
-    s = base.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("We have received a work order from "), name, F.lit(" for pumps")).alias("t"))
+    """The counterparty out of every order's sentence, and its kind."""
+    k = F.col("order_id")
+    name = F.element_at(F.array(*map(F.lit, ("NTPC Limited", "Jal Nigam", "Acme Trading Qatar", "Godrej Properties"))), (k % 4).cast("int") + 1)
+    name = F.concat(name, F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(" Unit "), (k % 9973).cast("string"))))
+    s = base.filings(spark, sf, heavy=True).select("order_id", F.concat(F.lit("We have received a work order from "), name, F.lit(" for pumps")).alias("t"))
     s = s.withColumn("c", text.customer(F.col("t"), F.lit("Our Own Pumps Limited")))
-    return s.select("id", text.customer_type(F.col("c.name"), F.lit("")).alias("kind"), F.col("c.name").alias("customer"))
+    return s.select("order_id", text.customer_type(F.col("c.name"), F.lit("")).alias("kind"), F.col("c.name").alias("customer"))
 
 
 @query("SELECT o_orderkey AS order_id, '<b>' || replace(replace(replace(c_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</b> ' || CASE WHEN o_totalprice * 1e5 >= 1e7 THEN 'Rs ' || format('{:,.2f}', o_totalprice * 1e5 / 1e7) || ' Cr' WHEN o_totalprice >= 1 THEN 'Rs ' || format('{:,.2f}', o_totalprice) || ' L' END || CASE WHEN o_orderkey % 36 + 1 IN (24, 36) THEN ' over ' || CAST((o_orderkey % 36 + 1) / 12 AS INTEGER) || ' years' ELSE ' over ' || (o_orderkey % 36 + 1) || ' months' END AS message FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

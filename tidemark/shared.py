@@ -32,3 +32,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, by its own file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+class Tables:
+    """Written tables of one piece of work, in a folder of their own: dropped one by one, or all at the end of a block that fails.
+
+    What a block returns may still read some: `keep` lets those stay, until the shared folder is cleaned.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.kept = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", False
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is not None or not self.kept:
+            self.drop("")
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept = True
+        return df
+
+    def drop(self, name: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}".rstrip("/"))
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -13,18 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import text
+from ..functions import scan
 from ..operators import sequences, views
 from ..shared import cut, exists
 from ..sources import landed
 
 
 def silver(filings: DataFrame, seen_at) -> DataFrame:
-    """Keyed, classified filings; cheap filters only, so they run before any Python."""
+    """Keyed, classified filings; one scan of each text for all word lists."""
     f = landed.keyed(filings)
-    order = (F.col("targeted") | text.looks_like_order(F.col("headline"), F.col("body"))) & text.non_order(F.col("headline"), F.col("subcategory")).isNull()
+    lead = F.substring(F.concat_ws(" ", "headline", "body"), 1, 400)
+    f = f.withColumns({"__said": scan.marks(F.concat_ws(" ", "headline", "body")), "__title": F.concat_ws(" ", "headline", "subcategory")}).withColumns({"__lead": scan.marks(lead), "__marks": scan.marks("__title")})
+    order = (F.col("targeted") | scan.looks_like_order("__said")) & scan.non_order("__marks", "__title").isNull()
     late = F.unix_seconds(seen_at) - F.unix_seconds("filed_at") > 48 * 3600
-    return f.withColumns({"is_order_like": F.coalesce(order, F.lit(False)), "is_amendment": F.coalesce(text.amendment(F.substring(F.concat_ws(" ", "headline", "body"), 1, 400)), F.lit(False)), "seen_at": seen_at, "late": F.coalesce(late, F.lit(False))})
+    return f.withColumns({"is_order_like": F.coalesce(order, F.lit(False)), "is_amendment": scan.has("__lead", "amendment"), "seen_at": seen_at, "late": F.coalesce(late, F.lit(False))}).drop("__said", "__title", "__lead", "__marks")
 
 
 def append_new(batch: DataFrame, table: str, key: str = "ann_id", *, number: int | None = None) -> DataFrame:
