@@ -8,14 +8,16 @@ E the same text in a document of a smaller id. A to D are of the text alone. E i
 2. Before rows are dealt out by key, each Arrow batch is folded: of the rows of a key those of its smallest id are counted
    without E and go on to the key's state; all others fail E for good and are only counted. A text that a third of all
    rows share is so a row or so for each 10,000.
-3. The state of a key holds its smallest id so far and what that was counted as. A smaller id that comes later takes its
-   place, and the count of the one before it is retracted (minus one at its mask, plus one at its mask with E); a larger
-   one is retracted itself. The stream writes signed counts of (part, mask, labels) with its own log of batches, so a batch
-   that is run again counts once.
+3. The state holds for each key its smallest id so far and what that was counted as. A smaller id that comes later takes
+   its place, and the count of the one before it is retracted (minus one at its mask, plus one at its mask with E); a
+   larger one is retracted itself. The stream writes signed counts of (part, mask, labels) with its own log of batches, so
+   a batch that is run again counts once. Keys are kept by buckets of some `PER_BUCKET` (by their hash; their number grows
+   with the table), for a call for each key costs some 3 ms and a call for a bucket little more.
 4. The sums of those are at most 32 masks times 4 pairs of labels a part. Every figure of every order follows from them.
 
-State grows with distinct texts and is kept by RocksDB in the shared checkpoint folder; lost executors load it from there.
-The label table is read once for each of the `batches` micro-batches.
+State grows with distinct texts (some 30 bytes each) and is logged to the shared checkpoint folder, from which lost executors
+load it. It is held as the session's `spark.sql.streaming.stateStore.providerClass` says: in memory as Spark comes, which a
+cluster whose state outgrows its executors should set to RocksDB. The label table is read once for each of the `batches` micro-batches.
 
 Defined cases: null text is empty (no words: fails A, and not B to D); a null lang is the part of the empty string. A null
 doc_id is smaller than none and larger than none: it never fails E and makes none fail it, and has no labels. Rows that
@@ -48,6 +50,8 @@ LETTERS = "ABCDE"
 SAME = 1 << LETTERS.index("E")
 #: Micro-batches in which a table is taken.
 BATCHES = 4
+#: Rows of the table for each bucket of keys.
+PER_BUCKET = 4096
 
 
 @dataclass(frozen=True)
@@ -96,60 +100,57 @@ def _facts(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.Rec
 
 _COUNTED = ["part", "mask", "good", "toxic"]
 _DELTA = "part string, mask int, good boolean, toxic boolean, n long"
-_FOLDED = f"k1 long, k2 long, doc_id long, {_DELTA}"
+_KEPT = ["k1", "k2", "doc_id", *_COUNTED]
+_FOLDED = f"bucket long, k1 long, k2 long, doc_id long, {_DELTA}"
 
 
-def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    out = rows.groupby(_COUNTED, as_index=False, sort=False)["n"].sum()
-    return out[out.n != 0]
+def _summed(rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    return rows.groupby(by, as_index=False, sort=False)["n"].sum()
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows for the states of texts, and counts, which have no doc_id and a key of what they count."""
+def _least(rows: pd.DataFrame) -> pd.Series:
+    """Whether a row has the smallest id of its key."""
+    return rows.groupby(["k1", "k2"], sort=False)["doc_id"].transform("min") == rows.doc_id
+
+
+def _fold(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows for the states of texts, and counts, which have no doc_id and a bucket by what they count."""
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch]).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
         rows["n"] = 1
         known = rows[rows.doc_id.notna()]
-        first = known.groupby(["k1", "k2"], sort=False)["doc_id"].transform("min") == known.doc_id
-        later = known[~first].copy()
-        later["mask"] |= SAME
-        ahead = known[first].groupby(["k1", "k2", "doc_id", *_COUNTED], as_index=False, sort=False)["n"].sum()
-        counted = _summed(pd.concat([rows[rows.doc_id.isna()], later, ahead])[[*_COUNTED, "n"]])
-        counted["k1"] = [zlib.crc32(repr(r).encode()) for r in zip(*(counted[c] for c in _COUNTED))]
-        out = pd.concat([ahead, counted.assign(k2=0, doc_id=pd.array([None] * len(counted), "Int64"))])
-        yield pa.RecordBatch.from_pandas(out[["k1", "k2", "doc_id", *_COUNTED, "n"]], preserve_index=False, schema=_ARROW)
+        first = _least(known)
+        ahead = _summed(known[first], _KEPT)
+        counted = _summed(pd.concat([rows[rows.doc_id.isna()], known[~first].assign(mask=known["mask"][~first] | SAME), ahead])[[*_COUNTED, "n"]], _COUNTED)
+        ahead["bucket"] = ahead.k1 % buckets
+        counted["bucket"] = [zlib.crc32(repr(r).encode()) % buckets for r in zip(*(counted[c] for c in _COUNTED))]
+        out = pd.concat([ahead, counted.assign(k1=0, k2=0, doc_id=pd.array([None] * len(counted), "Int64"))])
+        yield pa.RecordBatch.from_pandas(out[["bucket", *_KEPT, "n"]], preserve_index=False, schema=_ARROW)
 
 
-_ARROW = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("good", pa.bool_()), ("toxic", pa.bool_()), ("n", pa.int64())])
+_ARROW = pa.schema([*((c, pa.int64()) for c in ("bucket", "k1", "k2", "doc_id")), ("part", pa.string()), ("mask", pa.int32()), ("good", pa.bool_()), ("toxic", pa.bool_()), ("n", pa.int64())])
 
 
-def _settle(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _settle(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Counts pass through; of a text the smallest id so far stays counted without E, and any other that was is retracted."""
-    held = json.loads(state.get[0]) if state.exists else None
-    before, changed, counts = held, False, []
-    for part in rows:
-        ids = part["doc_id"].tolist()
-        for i, (doc, *what, n) in enumerate(zip(ids, *(part[c].tolist() for c in _COUNTED), part["n"].tolist())):
-            if doc is None or doc != doc:
-                counts.append((*what, n))
-                continue
-            doc = int(doc)
-            if held is None or doc < held[0]:
-                loser, held = held, [doc, what[1], [[what[0], *what[2:], n]]]
-            elif doc == held[0]:
-                loser = None
-                held[2].append([what[0], *what[2:], n])
-            else:
-                loser = [doc, what[1], [[what[0], *what[2:], n]]]
-            changed |= loser is None or loser[0] != doc
-            for p, good, toxic, m in loser[2] if loser else ():
-                counts += [(p, loser[1], good, toxic, -m), (p, loser[1] | SAME, good, toxic, m)]
-    if changed or (held is not None and before is None):
-        state.update((json.dumps(held),))
-    if counts:
-        yield _summed(pd.DataFrame(counts, columns=[*_COUNTED, "n"]))
+    rows = pd.concat(list(parts))
+    counts = rows[rows.doc_id.isna()][[*_COUNTED, "n"]]
+    rows = rows[rows.doc_id.notna()][[*_KEPT, "n"]].astype({"doc_id": "int64"})
+    if len(rows):
+        if state.exists:
+            rows = pd.concat([pa.ipc.open_stream(bytes(state.get[0])).read_pandas(), rows])
+        least = _least(rows)
+        sink = pa.BufferOutputStream()
+        held = pa.Table.from_pandas(_summed(rows[least], _KEPT), preserve_index=False)
+        with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(held)
+        state.update((sink.getvalue().to_pybytes(),))
+        gone = rows[~least][[*_COUNTED, "n"]]
+        counts = pd.concat([counts, gone.assign(n=-gone.n), gone.assign(mask=gone["mask"] | SAME)])
+    counts = _summed(counts, _COUNTED)
+    yield counts[counts.n != 0]
 
 
 def _streamed(spark: SparkSession, path: str) -> str:
@@ -164,14 +165,14 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, *, limits: Limit
     table = spark.read.parquet(path)
     says = lambda c: F.coalesce(F.max(F.col(c) == 1), F.lit(False))
     told = scratch.write(labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(says("quality").alias("good"), says("toxic").alias("toxic")), "labels")
+    buckets = table.count() // PER_BUCKET + 1
     files = max(1, -(-len(table.inputFiles()) // batches))
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(_streamed(spark, path))
     facts = stream.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).mapInArrow(lambda b: _facts(b, limits), _FACTS)
     known = facts.join(told, "doc_id", "left").select("k1", "k2", "doc_id", "part", "mask", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
-    settled = known.mapInArrow(_fold, _FOLDED).groupBy("k1", "k2").applyInPandasWithState(_settle, _DELTA, "held string", "append", GroupStateTimeout.NoTimeout)
+    settled = known.mapInArrow(lambda b: _fold(b, buckets), _FOLDED).groupBy("bucket").applyInPandasWithState(_settle, _DELTA, "held binary", "append", GroupStateTimeout.NoTimeout)
     out = f"{scratch.base}/counts"
-    with core.settings(spark, {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}):
-        query = settled.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{scratch.base}/log").trigger(availableNow=True).start()
+    query = settled.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{scratch.base}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     deltas = spark.read.schema(_DELTA).parquet(out) if exists(spark, out) else spark.createDataFrame([], _DELTA)
     return deltas.groupBy(*_COUNTED).agg(F.sum("n").alias("n")).filter("n <> 0")
