@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.base import spread
-from ..shared import shared_dir
+from ..shared import settings, shared_dir
 from ..ship import ship
 
 #: Text bytes that one numpy step works on; temporaries are about 40 times that.
@@ -27,19 +26,6 @@ STEP_BYTES = 1 << 20
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Settings of the session for the time of a block; afterwards each is as it was, unset if it was unset."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 class Scratch:
     """Written tables of one operator call; ``drop`` frees those no longer read."""
 
