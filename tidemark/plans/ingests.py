@@ -45,6 +45,14 @@ def run_metrics(spark, sf):
     return ingest.run_metrics(ingest.silver(landed.once(_bse(spark, sf)), F.lit("2030-01-01").cast("timestamp")))
 
 
+@query("SELECT 'bse' AS feed, false AS failed, count(*) AS fetched, count_if(o_orderkey % 5 = 0 OR (o_orderstatus <> 'P' AND o_orderkey % 3 = 0)) AS orders, count_if(o_orderstatus = 'P') AS amendments, count(*) AS late, count(*) AS stored FROM orders UNION ALL SELECT 'gone', true, NULL, NULL, NULL, NULL, NULL")
+def venue_runs(spark, sf):
+    """A run over two venues of which one cannot be read: counters observed in the write of the other, and a flag."""
+    at = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    feeds = {"bse": lambda: landed.once(_bse(spark, sf)), "gone": lambda: spark.read.parquet(f"{at}-landed")}
+    return ingest.run(feeds, at, F.lit("2030-01-01").cast("timestamp"), number=0).select("feed", "failed", "fetched", "orders", "amendments", "late", "stored")
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, sf):
     """Tumbling windows over a batch; tests run the same over a stream."""
