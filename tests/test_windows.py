@@ -115,7 +115,9 @@ def brute_components(edges):
     return {x: root(x) for x in of}
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("chunk", [components.CHUNK, 50])
+def test_components_of_random_graphs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
     r = random.Random(3)
     edges = [(f"n{r.randrange(300):03}", f"n{r.randrange(300):03}") for _ in range(220)] + [("hub", f"h{k}") for k in range(200)] + [("x", "x")]
     got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "a string, b string")).collect()}
@@ -123,7 +125,8 @@ def test_components_of_random_graphs(spark):
     assert got == {k: v for k, v in want.items() if k != "x"}
 
 
-def test_a_long_chain_takes_few_rounds(spark):
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "CHUNK", 4)
     r = random.Random(5)
     names = list(range(1001))
     r.shuffle(names)

@@ -222,12 +222,12 @@ def weighed(filings: DataFrame) -> DataFrame:
     said = lambda c: F.nullif(F.trim(c), F.lit("")).isNotNull() if c in filings.columns else F.lit(False)
     h, b, a, sub = (F.col(c) for c in ("headline", "body", "attachment", "subcategory"))
     d = filings.withColumns({"__full": F.concat_ws("\n", h, b, a), "__head": text.joined(h, F.substring(b, 1, 400))})
-    d = d.withColumns({"__marks": scan.marks(F.concat("__full", F.lit(" "))), "__head_marks": scan.marks("__head")})
+    d = d.withColumns({"__marks": scan.marks(F.concat("__full", F.lit(" "))), "__head_marks": scan.order_marks("__head")})
     gate = scan.looks_like_order("__marks") & scan.non_order("__head_marks", "__head").isNull() & ~scan.own_project("__marks")
     d = d.withColumn("__gate", gate)
     d = d.withColumn("__subject", F.when(F.col("__gate"), text.subject(a)))
     can = lambda x: F.when(F.col("__gate"), x)  # noqa: E731  the functions below return at once for null
-    d = d.withColumns({"__said": receipt_statement(can(F.col("__full"))), "__topics": scan.marks(can(text.joined(sub, h, F.col("__subject")))), "__lead": scan.marks(can(text.joined(h, F.col("__subject"), b)))})
+    d = d.withColumns({"__said": receipt_statement(can(F.col("__full"))), "__topics": scan.word_marks(can(text.joined(sub, h, F.col("__subject")))), "__lead": scan.word_marks(can(text.joined(h, F.col("__subject"), b)))})
     shown = evidence(h, b, a, sub, F.col("__said"), said("t_customer") | said("t_size"), scan.has("__topics", "topic"), scan.has("__lead", "amendment"))
     return cut(d.withColumn("evidence", can(shown)).drop("__head", "__head_marks", "__gate", "__subject", "__said", "__topics", "__lead"), "weighed")
 
@@ -273,7 +273,7 @@ def extract(filings: DataFrame) -> DataFrame:
         "is_order": F.lit(True), "order_value_inr": F.col("value.value_inr"), "execution_months": calendar.duration_months(F.col("__full"), F.col("filed_at")),
         "__customer": text.customer(F.col("__full"), F.col("company_name")), "is_amendment": amended, "order_type": F.when(amended, "amendment").otherwise(kind["order_type"]), "firmness": F.when(amended, 0.0).otherwise(kind["firmness"]), "quality_adj": scan.quality_adjustment("__marks"),
     })
-    yes = yes.withColumn("__name", scan.marks(text.joined(F.col("__customer.name"), F.substring("__full", 1, 40))))
+    yes = yes.withColumn("__name", scan.word_marks(text.joined(F.col("__customer.name"), F.substring("__full", 1, 40))))
     yes = yes.withColumns({"customer": F.col("__customer.name"), "customer_type": scan.customer_type(F.col("__customer.name"), "__name", "__marks"), "is_related_party": F.coalesce(related_party(F.col("__full")), F.lit(False)) | F.col("__customer.is_self")})
     yes = yes.withColumn("extraction_conf", F.coalesce("value.confidence", F.lit(0.2)))
     yes = scoped(yes).withColumn("customer", named(F.col("stated_customer"), F.col("customer"))).drop("stated_customer")

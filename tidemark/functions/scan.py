@@ -58,8 +58,8 @@ def _joins(c: str) -> bool:
     return c.isascii() and c.isalnum()
 
 
-def find(text: str | None) -> list[tuple[int, int, int, int]]:
-    """The first place of each word and pattern of each list: (list, word, start, stop), sorted by list and word."""
+def find(text: str | None, lists: tuple[str, ...] = tuple(PATTERNS)) -> list[tuple[int, int, int, int]]:
+    """The first place of each word of each list, and of each pattern of some lists: (list, word, start, stop), sorted by list and word."""
     if not text:
         return []
     low, out = text.lower(), {}
@@ -78,8 +78,9 @@ def find(text: str | None) -> list[tuple[int, int, int, int]]:
                     continue
             out[number, k] = (start, stop)
     said = low if len(low) == len(text) else text
+    wanted = {NUMBER[name] for name in lists}
     for number, k, need, p in _patterns():
-        if any(w in low for w in need) and (m := p.search(said)):
+        if number in wanted and any(w in low for w in need) and (m := p.search(said)):
             out[number, k] = m.span()
     return [(*key, *at) for key, at in sorted(out.items())]
 
@@ -89,6 +90,18 @@ def marks(text):
     return find(text)
 
 
+@F.udf(MARKS, useArrow=True)
+def order_marks(text):
+    """`marks` without the signs of an own project."""
+    return find(text, ("order_pattern", "non_order_pattern"))
+
+
+@F.udf(MARKS, useArrow=True)
+def word_marks(text):
+    """`marks` of words alone."""
+    return find(text, ())
+
+
 def has(found: str, *lists: str) -> Column:
     """Whether the marks in column `found` hold one of any of these lists."""
     return F.expr(f"exists({found}, m -> m.list IN ({', '.join(str(NUMBER[n]) for n in lists)}))")

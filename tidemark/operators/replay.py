@@ -41,7 +41,7 @@ def recheck(filings: DataFrame, orders: DataFrame) -> DataFrame:
     `outcome` is dropped (a stored order that is none any more), refreshed, created, needs_text (a new order whose attachment was
     never read, so its figure is not there) or none; `old_value_inr` and `old_months` are what the stored order holds.
     """
-    filings = filings.withColumn("__said", scan.marks(F.concat_ws(" ", "headline", "body", "subcategory")))
+    filings = filings.withColumn("__said", scan.order_marks(F.concat_ws(" ", "headline", "body", "subcategory")))
     like = F.coalesce("is_order_like", F.lit(False)) | scan.looks_like_order("__said")
     says = F.concat_ws("", "headline", "body", "attachment") != ""
     held = orders.select(F.col("order_id").alias("ann_id"), F.col("order_value_inr").alias("old_value_inr"), F.col("execution_months").alias("old_months"), F.lit(True).alias("__held"))

@@ -31,7 +31,7 @@ def silver(filings: DataFrame, seen_at) -> DataFrame:
     """Keyed, classified filings; one scan of each text for all word lists."""
     f = landed.keyed(filings)
     lead = F.substring(F.concat_ws(" ", "headline", "body"), 1, 400)
-    f = f.withColumns({"__said": scan.marks(F.concat_ws(" ", "headline", "body")), "__title": F.concat_ws(" ", "headline", "subcategory")}).withColumns({"__lead": scan.marks(lead), "__marks": scan.marks("__title")})
+    f = f.withColumns({"__said": scan.order_marks(F.concat_ws(" ", "headline", "body")), "__title": F.concat_ws(" ", "headline", "subcategory")}).withColumns({"__lead": scan.word_marks(lead), "__marks": scan.order_marks("__title")})
     order = (F.col("targeted") | scan.looks_like_order("__said")) & scan.non_order("__marks", "__title").isNull()
     late = F.unix_seconds(seen_at) - F.unix_seconds("filed_at") > 48 * 3600
     return f.withColumns({"is_order_like": F.coalesce(order, F.lit(False)), "is_amendment": scan.has("__lead", "amendment"), "seen_at": seen_at, "late": F.coalesce(late, F.lit(False))}).drop("__said", "__title", "__lead", "__marks")
