@@ -23,7 +23,7 @@ def _with_fundamentals(f: DataFrame) -> DataFrame:
     return f.withColumn("q_revenue_inr", q1 * 1e3).withColumn("ttm_revenue_inr", q4 * 1e3)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, *, exact: bool = False) -> DataFrame:
     f = base.filings(spark, sf_dir, heavy=True).join(base.companies(spark, sf_dir), "company_id")
     f = f.withColumn("text", base.filing_text()).drop("order_value_inr", "execution_months")
     f = f.withColumn("order_value_inr", F.bround(money.simple_value(F.col("text")))).withColumn("execution_months", duration_months(F.col("text"), F.col("filed_at")))
@@ -35,12 +35,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         "is_sme": F.col("company_id") % 5 == 0, "is_related_party": F.col("order_id") % 17 == 0, "extraction_conf": (F.col("order_id") % 10) / 10,
         "seen_at": F.timestamp_add("HOUR", (F.col("order_id") % 60).cast("int"), F.col("filed_at")),
     })
-    return scoring.score(f)
+    return scoring.score(f, exact=exact)
 
 
 def score_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir)
-    return s.select("order_id", F.round(F.col("score"), 1).alias("score"), "tier", "data_quality", "implausible")
+    s = scored(spark, sf_dir, exact=True)
+    return s.select("order_id", scoring.half_up(F.col("score"), 1).alias("score"), "tier", "data_quality", "implausible")
 
 
 def flagship(spark: SparkSession, sf_dir: str, n: int = 100) -> DataFrame:
@@ -60,7 +60,7 @@ def log_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tier_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir)
+    s = scored(spark, sf_dir, exact=True)
     return s.groupBy("tier").agg(F.count("*").alias("n"), F.count_distinct("company_id").alias("companies"))
 
 
