@@ -6,23 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
+from .scoring import bind
 
 _WORDS = "|".join(sorted(D.NUMBER_WORDS, key=len, reverse=True))
-TOKEN = rf"\d{{1,3}}(?:\.\d+)?|{_WORDS}"
+# The looks ahead tell in one step that nothing can begin at a place: the first letter of a number, the first two of a lead.
+TOKEN = rf"(?=[\d{''.join(sorted({w[0] for w in D.NUMBER_WORDS}))}])(?:\d{{1,3}}(?:\.\d+)?|{_WORDS})"
+LEAD = rf"(?=[cdefiopstvw][aeinoprtuvx])(?:{D.DURATION_LEADS})"
 SPAN = rf"({TOKEN})[-\s]*(months?|years?|yrs?|weeks?|days?)\b"
 
 
 def number(token: Column) -> Column:
     """D1."""
     words = F.create_map(*[F.lit(x) for k, v in D.NUMBER_WORDS.items() for x in (k, float(v))])
-    return F.coalesce(token.try_cast("double"), F.try_element_at(words, F.lower(token)))
+    return bind(token, lambda t: F.coalesce(t.try_cast("double"), F.try_element_at(words, F.lower(t))))
 
 
 def months(n: Column, unit: Column) -> Column:
     """Null outside 0.1 to 240 months."""
-    u = F.lower(F.substring(unit, 1, 1))
-    m = F.when(u == "y", n * 12).when(u == "m", n).when(u == "w", n / 4.33).when(u == "d", n / 30.44)
-    return F.when((m >= 0.1) & (m <= 240), m)
+    length = lambda x: F.when(x["u"] == "y", x["n"] * 12).when(x["u"] == "m", x["n"]).when(x["u"] == "w", x["n"] / 4.33).when(x["u"] == "d", x["n"] / 30.44)
+    # bound: number and unit come out of searches, which an expression that names them often would do again each time
+    read = F.struct(n.alias("n"), F.lower(F.substring(unit, 1, 1)).alias("u"))
+    return bind(bind(read, length), lambda m: F.when((m >= 0.1) & (m <= 240), m))
 
 
 def _first(text: Column, pattern: str, at_end: bool) -> Column:
@@ -36,7 +40,7 @@ def _first(text: Column, pattern: str, at_end: bool) -> Column:
 def duration_months(text: Column, as_of: Column) -> Column:
     """A table label, then leading phrases, trailing phrases, and a completion month counted from `as_of`."""
     labelled = F.when(F.rlike(text, F.lit(r"(?i)time\s*period")), _first(text, rf"(?i){D.DURATION_LABEL}[\s\S]{{0,320}}?\b{SPAN}", True))
-    lead = _first(text, rf"(?i)(?:{D.DURATION_LEADS})\s*(?:a\s+period\s+of\s+)?(?:approximately\s+|about\s+|approx\.?\s+)?{SPAN}", True)
+    lead = _first(text, rf"(?i){LEAD}\s*(?:a\s+period\s+of\s+)?(?:approximately\s+|about\s+|approx\.?\s+)?{SPAN}", True)
     tail = _first(text, rf"(?i)({TOKEN})[-\s]*(months?|years?|yrs?|weeks?|days?)\s*(?:{D.DURATION_TAILS})", False)
     end = r"(?i)(?:by|before|on or before|latest by|complet\w+ by)\s+(?:end of\s+)?(?:FY\s?)?(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*[,\s]+(20\d{2})"
     month = F.ceil(F.position(F.lower(F.regexp_extract(text, end, 1)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) / 3)
