@@ -129,7 +129,8 @@ def quality_adjustment(text: Column) -> Column:
     for w, points in D.QUALITY_BUMPS.items():
         total = total + F.when(F.contains(x, F.lit(w)), points).otherwise(0.0)
     for w, points in D.QUALITY_DINGS.items():
-        total = total + F.when(F.rlike(x, F.lit(any_word([w]))), points).otherwise(0.0)
+        # the search by letter is only for texts that hold the word at all
+        total = total + F.when(F.contains(x, F.lit(w)) & F.rlike(x, F.lit(any_word([w]))), points).otherwise(0.0)
     return F.greatest(F.lit(-0.4), F.least(F.lit(0.5), total))
 
 
