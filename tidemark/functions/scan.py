@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dictionaries as D
+from .repeats import remembered
 
 _KINDS = [(share, w) for share, words in D.FIRMNESS.items() for w in words]
 #: Every list: how its words match, and the words.
@@ -49,15 +50,27 @@ def _automaton():
     return out
 
 
+def sure(pattern: str) -> str:
+    """The longest run of letters that every match of a pattern holds, lower-cased; empty where none is sure.
+
+    Groups, classes, escapes and letters that a quantifier follows are left out; so is all of a pattern of alternatives.
+    """
+    while (bare := re.sub(r"\((?:[^()\\]|\\.)*\)", "\0", pattern)) != pattern:
+        pattern = bare
+    pattern = re.sub(r"\\.|\[[^\]]*\]", "\0", pattern)
+    return "" if "|" in pattern else max(re.findall("[A-Za-z ]+", re.sub(r".[*?{]", "\0", pattern)), key=len, default="").lower()
+
+
 @lru_cache(1)
-def _patterns() -> list[tuple[int, int, list[str], re.Pattern]]:
-    return [(NUMBER[name], k, need, re.compile(p, re.I)) for name, (patterns, need) in PATTERNS.items() for k, p in enumerate(patterns)]
+def _patterns() -> list[tuple[int, int, list[str], str, re.Pattern]]:
+    return [(NUMBER[name], k, need, sure(p), re.compile(p, re.I)) for name, (patterns, need) in PATTERNS.items() for k, p in enumerate(patterns)]
 
 
 def _joins(c: str) -> bool:
     return c.isascii() and c.isalnum()
 
 
+@remembered
 def find(text: str | None, lists: tuple[str, ...] = tuple(PATTERNS)) -> list[tuple[int, int, int, int]]:
     """The first place of each word of each list, and of each pattern of some lists: (list, word, start, stop), sorted by list and word."""
     if not text:
@@ -79,8 +92,9 @@ def find(text: str | None, lists: tuple[str, ...] = tuple(PATTERNS)) -> list[tup
             out[number, k] = (start, stop)
     said = low if len(low) == len(text) else text
     wanted = {NUMBER[name] for name in lists}
-    for number, k, need, p in _patterns():
-        if number in wanted and any(w in low for w in need) and (m := p.search(said)):
+    plain = low if low.isascii() else low.replace("ſ", "s").replace("ı", "i").replace("\u0307", "")  # letters that a pattern takes for these
+    for number, k, need, run, p in _patterns():
+        if number in wanted and run in plain and any(w in low for w in need) and (m := p.search(said)):
             out[number, k] = m.span()
     return [(*key, *at) for key, at in sorted(out.items())]
 

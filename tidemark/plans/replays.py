@@ -48,7 +48,7 @@ def rescored_orders(spark, sf):
 def score_reasons(spark, sf):
     """Why each order stands where it does."""
     s = scoring.with_breakdown(scored.scored(spark, sf))
-    return s.select("order_id", F.array_join(F.from_json(F.get_json_object("breakdown", "$.reasons"), "array<string>"), "; ").alias("reasons"))
+    return s.select("order_id", F.array_join(F.from_json("breakdown", "reasons array<string>")["reasons"], "; ").alias("reasons"))
 
 
 def _stored(spark, sf) -> tuple[DataFrame, DataFrame]:
