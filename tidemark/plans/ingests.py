@@ -15,6 +15,10 @@ Q: dict = {}
 O: dict[str, str] = {}
 
 
+#: Orders of whose filings one task joins, renders or sorts the rows.
+SORTED = 100_000
+
+
 def query(sql: str | None):
     def keep(f):
         Q[f.__name__] = f
@@ -25,32 +29,43 @@ def query(sql: str | None):
     return keep
 
 
-def _bse(spark, sf):
-    """A feed with a targeted and a wide listing of the same records."""
-    f = base.filings(spark, sf, heavy=True).join(base.companies(spark, sf), "company_id")
+def _bse(spark, sf, tasks):
+    """A feed with a targeted and a wide listing of the same records, rendered after its rows are dealt out by order: a company may have many."""
+    f = base.filings(spark, sf).repartition(tasks, "company_id").join(base.companies(spark, sf).repartition(tasks, "company_id"), "company_id").repartition(tasks, "order_id")
     raw = f.select(F.concat(F.lit("N"), F.col("order_id").cast("string")).alias("NEWSID"), F.col("company_id").cast("string").alias("SCRIP_CD"), F.col("company_name").alias("SLONGNAME"), F.lit("Company Update").alias("CATEGORYNAME"), F.lit("-").alias("SUBCATNAME"), F.when(F.col("is_amendment"), "Cancellation of <b>order</b>").when(F.col("order_id") % 3 == 0, "Award &amp; receipt of order").otherwise("Outcome of meeting").alias("HEADLINE"), F.lit(None).cast("string").alias("NEWSSUB"), F.lit("").alias("MORE"), F.concat(F.col("order_id").cast("string"), F.lit(".pdf")).alias("ATTACHMENTNAME"), F.date_format("filed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("News_submission_dt"), F.lit(None).cast("string").alias("DT_TM"), F.lit(False).alias("targeted"))
     return landed.bse(raw.unionByName(raw.filter("CAST(substr(NEWSID, 2) AS BIGINT) % 5 = 0").withColumn("targeted", F.lit(True))))
 
 
+def _tasks(spark, sf):
+    """In how many tasks each step takes the feed: by rows, so that none of them grows with the table."""
+    return base.shares(base.table(spark, sf, "orders"), SORTED)
+
+
+def _once(spark, sf):
+    """The feed with one row a filing."""
+    tasks = _tasks(spark, sf)
+    return landed.once(_bse(spark, sf, tasks), tasks)
+
+
 @query("SELECT sha1('BSE|N' || o_orderkey) AS ann_id, CASE WHEN o_orderstatus = 'P' THEN 'Cancellation of order' WHEN o_orderkey % 3 = 0 THEN 'Award & receipt of order' ELSE 'Outcome of meeting' END AS headline, CAST(o_orderdate AS TIMESTAMP) - INTERVAL 330 MINUTE AS filed_at, o_orderkey % 5 = 0 AS targeted, o_orderkey % 5 = 0 OR (o_orderstatus <> 'P' AND o_orderkey % 3 = 0) AS is_order_like, o_orderstatus = 'P' AS is_amendment FROM orders")
 def feed_normalised(spark, sf):
     """One row a filing, Indian time as UTC, the targeted mark kept."""
-    s = ingest.silver(landed.once(_bse(spark, sf)), F.lit("2030-01-01").cast("timestamp"))
+    s = ingest.silver(_once(spark, sf), F.lit("2030-01-01").cast("timestamp"))
     return s.select("ann_id", "headline", "filed_at", "targeted", "is_order_like", "is_amendment")
 
 
 @query("SELECT count(*) AS fetched, count_if(o_orderkey % 5 = 0 OR (o_orderstatus <> 'P' AND o_orderkey % 3 = 0)) AS orders, count_if(o_orderstatus = 'P') AS amendments, count(*) AS late, max(CAST(o_orderdate AS TIMESTAMP)) - INTERVAL 330 MINUTE AS window_to FROM orders")
 def run_metrics(spark, sf):
     """A12, K8."""
-    return ingest.run_metrics(ingest.silver(landed.once(_bse(spark, sf)), F.lit("2030-01-01").cast("timestamp")))
+    return ingest.run_metrics(ingest.silver(_once(spark, sf), F.lit("2030-01-01").cast("timestamp")))
 
 
 @query("SELECT 'bse' AS feed, false AS failed, count(*) AS fetched, count_if(o_orderkey % 5 = 0 OR (o_orderstatus <> 'P' AND o_orderkey % 3 = 0)) AS orders, count_if(o_orderstatus = 'P') AS amendments, count(*) AS late, count(*) AS stored FROM orders UNION ALL SELECT 'gone', true, NULL, NULL, NULL, NULL, NULL")
 def venue_runs(spark, sf):
     """A run over two venues of which one cannot be read: counters observed in the write of the other, and a flag."""
     at = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
-    feeds = {"bse": lambda: landed.once(_bse(spark, sf)), "gone": lambda: spark.read.parquet(f"{at}-landed")}
-    return ingest.run(feeds, at, F.lit("2030-01-01").cast("timestamp"), number=0).select("feed", "failed", "fetched", "orders", "amendments", "late", "stored")
+    feeds = {"bse": lambda: _once(spark, sf), "gone": lambda: spark.read.parquet(f"{at}-landed")}
+    return ingest.run(feeds, at, F.lit("2030-01-01").cast("timestamp"), number=0, tasks={"bse": lambda: _tasks(spark, sf)}).select("feed", "failed", "fetched", "orders", "amendments", "late", "stored")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -52,8 +52,9 @@ def keyed(filings: DataFrame) -> DataFrame:
     return filings.withColumn("ann_id", F.sha1(F.concat_ws("|", "exchange", "native_id")))
 
 
-def once(filings: DataFrame) -> DataFrame:
-    """One row a native id; a targeted feed wins, and its mark is kept."""
+def once(filings: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row a native id; a targeted feed wins, and its mark is kept. Sorted in so many `tasks`, else in the session's number of partitions."""
+    filings = filings.repartition(tasks, "native_id") if tasks else filings
     w = W.partitionBy("exchange", "native_id").orderBy(F.desc("targeted"), "filed_at", "headline")
     return filings.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 

@@ -37,16 +37,18 @@ def silver(filings: DataFrame, seen_at) -> DataFrame:
     return f.withColumns({"is_order_like": F.coalesce(order, F.lit(False)), "is_amendment": scan.has("__lead", "amendment"), "seen_at": seen_at, "late": F.coalesce(late, F.lit(False))}).drop("__said", "__title", "__lead", "__marks")
 
 
-def append_new(batch: DataFrame, table: str, key: str = "ann_id", *, number: int | str | None = None, watch: Observation | None = None) -> DataFrame:
+def append_new(batch: DataFrame, table: str, key: str = "ann_id", *, number: int | str | None = None, watch: Observation | None = None, tasks: int | None = None) -> DataFrame:
     """The rows of a batch whose key the table does not hold, appended to it; returned as written.
 
     Of rows of one key the earliest stays, then the one of the first venue. With its `number` a batch owns one folder: when it
     is run again, keys of that folder do not count as held and the folder is written anew, so a replay hands over what the
-    first run did. `watch` gets `stored` from the write itself.
+    first run did. `watch` gets `stored` from the write itself. Where the size of a batch is known, `tasks` says in how many it
+    is sorted and written; else the session's number of partitions holds, whatever the rows.
     """
     spark = batch.sparkSession
     first = W.partitionBy(key).orderBy(*[c for c in ("filed_at", "exchange") if c in batch.columns], F.xxhash64(*batch.columns))
-    fresh = batch.withColumn("__turn", F.row_number().over(first)).filter("__turn = 1").drop("__turn")
+    dealt = batch.repartition(tasks, key) if tasks else batch
+    fresh = dealt.withColumn("__turn", F.row_number().over(first)).filter("__turn = 1").drop("__turn")
     name = uuid.uuid4().hex if number is None else str(number)
     if exists(spark, table):
         old = spark.read.option("basePath", table).parquet(table)
@@ -61,11 +63,11 @@ def append_new(batch: DataFrame, table: str, key: str = "ann_id", *, number: int
 RUN = "feed string, failed boolean, error string, fetched long, orders long, amendments long, late long, window_to timestamp, stored long"
 
 
-def run(feeds: dict[str, Callable[[], DataFrame]], table: str, seen_at, *, number: int | None = None) -> DataFrame:
+def run(feeds: dict[str, Callable[[], DataFrame]], table: str, seen_at, *, number: int | None = None, tasks: dict[str, Callable[[], int]] | None = None) -> DataFrame:
     """One run over the landed filings of each venue; a venue that cannot be read is a flag and stops no other.
 
     The counters are observed in the write of a venue's rows, so nothing is read a second time for them. A failed venue has
-    none: what it had got so far is not in the table, for its folder was never finished.
+    none: what it had got so far is not in the table, for its folder was never finished. `tasks` are those of `append_new`, by venue.
     """
     out, spark = [], None
     for feed, landed_rows in feeds.items():
@@ -74,7 +76,7 @@ def run(feeds: dict[str, Callable[[], DataFrame]], table: str, seen_at, *, numbe
             rows = landed_rows()
             spark = rows.sparkSession
             rows = silver(rows, seen_at).observe(seen, *counters())
-            append_new(rows, table, number=None if number is None else f"{number}-{feed}", watch=kept)
+            append_new(rows, table, number=None if number is None else f"{number}-{feed}", watch=kept, tasks=tasks[feed]() if tasks and feed in tasks else None)
             got = {**seen.get, **kept.get}
             out.append((feed, False, None, *(got[c] for c in ("fetched", "orders", "amendments", "late", "window_to", "stored"))))
         except (PySparkException, Py4JJavaError) as e:  # what reading or writing this venue's rows may raise
